@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import matroska, simhash_bytes
+from . import hilbert_pack, huffman_ids, matroska, simhash_bytes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +23,21 @@ def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_pack.pack(_table(spark, sf_dir, "documents"))
+
+
+def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman_ids.round_trip(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op4_simhash_bytes,
+        op8_hilbert_pack,
         op9_matroska,
+        op10_huffman_ids,
     )
 }
 
