@@ -1,0 +1,44 @@
+"""Corpus counts of words, kept per key while a partition is read."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .wordbytes import texts_of
+
+#: different words that a task holds before it hands its counts on
+HELD = 400_000
+
+
+def _counted(lower: bool):
+    def run(batches):
+        held: dict[str | None, Counter] = {}
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), texts_of(b)):
+                if text:
+                    held.setdefault(key, Counter()).update((text.decode().lower().encode() if lower else text).split())
+            if sum(map(len, held.values())) >= HELD:
+                yield from _batches(held)
+                held = {}
+        yield from _batches(held)
+
+    return run
+
+
+def _batches(held):
+    for key, counts in held.items():
+        words = pa.array(counts.keys(), pa.binary())
+        yield pa.record_batch([pa.array([key] * len(counts), pa.string()), words, pa.array(counts.values(), pa.int64())], names=["key", "word", "n"])
+
+
+def word_counts(docs: DataFrame, key: str, lower: bool = False) -> DataFrame:
+    """(key, word, n): how often each word (UTF-8 bytes) stands in the texts of each value of column ``key``.
+
+    Counts are combined in each task before the shuffle; words of hot keys spread over all tasks.
+    """
+    part = docs.select(F.col(key).alias("key"), "text").mapInArrow(_counted(lower), "key string, word binary, n long")
+    return part.groupBy("key", "word").agg(F.sum("n").alias("n"))

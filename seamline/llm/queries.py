@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_pack, huffman_ids, matroska, simhash_bytes
+from . import hilbert_pack, huffman_ids, matroska, simhash_bytes, warc_zstd
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zstd.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op8_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_pack.pack(_table(spark, sf_dir, "documents"))
 
@@ -35,10 +39,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op4_simhash_bytes,
+        op7_warc_zstd,
         op8_hilbert_pack,
         op9_matroska,
         op10_huffman_ids,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc_zstd": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
+        ), k AS (
+            SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS last_id FROM p
+        )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+            CASE WHEN last_id IS NOT NULL AND (page_id IS NULL OR page_id < last_id) THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id IS NULL OR page_id < last_id THEN last_id END AS refers_to
+        FROM k
+    """,
+}
