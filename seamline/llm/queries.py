@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_pack, huffman_ids, matroska, simhash_bytes, warc_zstd
+from . import hilbert_pack, huffman_ids, kneser_ney, language_mixture, matroska, simhash_bytes, warc_zstd
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.judge(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_bytes.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -23,6 +27,10 @@ def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mixture.identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -38,7 +46,9 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_kneser_ney,
         op4_simhash_bytes,
+        op5_language_mixture,
         op7_warc_zstd,
         op8_hilbert_pack,
         op9_matroska,
