@@ -167,11 +167,10 @@ def keep_one(docs: DataFrame, max_bits: int = 2) -> DataFrame:
     first = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct(), "kept")
     ids = first.where("doc_id is not null").select("doc_id").distinct()
     named = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    loose = docs.where("doc_id is null").withColumn("_fp", _fp_of("text"))
+    loose = docs.where("doc_id is null").withColumn("_fp", F.pandas_udf(_fp_series, "long")("text"))
     loose = loose.join(first.where("doc_id is null").select(F.col("fp").alias("_fp")), "_fp", "left_semi").dropDuplicates(["_fp"])
     return named.select(*docs.columns).unionByName(loose.select(*docs.columns))
 
 
-@F.pandas_udf("long")
-def _fp_of(texts: pd.Series) -> pd.Series:
+def _fp_series(texts: pd.Series) -> pd.Series:
     return pd.Series([int.from_bytes(fingerprint(None if t is None else t.encode()), "big", signed=True) for t in texts], dtype="int64")
