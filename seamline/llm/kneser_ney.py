@@ -265,6 +265,10 @@ def _size(n_words: str):
     return F.floor(F.log2(F.greatest(F.col(n_words), F.lit(1)))).cast("int")
 
 
+def _verdict(perplexity, lowest, highest):
+    return F.coalesce((perplexity >= lowest) & (perplexity <= highest), F.lit(True))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, perplexity).
 

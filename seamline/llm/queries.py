@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_pack, huffman_ids, kneser_ney, language_mixture, matroska, simhash_bytes, warc_zstd
+from . import credential_automata, hilbert_pack, huffman_ids, kneser_ney, language_mixture, matroska, simhash_bytes, warc_zstd
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.judge(_table(spark, sf_dir, "documents"))
 
 
+def op3_credential_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credential_automata.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_bytes.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_kneser_ney,
+        op3_credential_automata,
         op4_simhash_bytes,
         op5_language_mixture,
         op7_warc_zstd,
