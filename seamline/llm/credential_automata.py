@@ -37,7 +37,7 @@ SAMPLE = 1000
 #: significance of the compatibility test
 ALPHA = 0.05
 #: a candidate's least gain in likelihood over ordinary words, in nats a character
-GAIN = 1.0
+GAIN = 0.5
 
 
 def base_spans(text: str) -> tuple[list[tuple[int, int, str, str]], list[tuple[int, int]]]:

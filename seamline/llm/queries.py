@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credential_automata, hilbert_pack, huffman_ids, kneser_ney, language_mixture, matroska, simhash_bytes, warc_zstd
+from . import credential_automata, hilbert_pack, html_template, huffman_ids, kneser_ney, language_mixture, matroska, simhash_bytes, warc_zstd
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.judge(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_html_template,
         op2_kneser_ney,
         op3_credential_automata,
         op4_simhash_bytes,
