@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credential_automata, hilbert_pack, html_template, huffman_ids, kneser_ney, language_mixture, matroska, simhash_bytes, warc_zstd
+from . import credential_automata, hilbert_pack, html_template, huffman_ids, kneser_ney, language_mixture, matroska, piece_trie, simhash_bytes, warc_zstd
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_mixture.identify(_table(spark, sf_dir, "documents"))
 
 
+def op6_piece_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_trie.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_credential_automata,
         op4_simhash_bytes,
         op5_language_mixture,
+        op6_piece_trie,
         op7_warc_zstd,
         op8_hilbert_pack,
         op9_matroska,
