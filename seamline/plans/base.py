@@ -7,6 +7,11 @@ above 60 a predicted one, ``props.k`` hundredths its confidence (missing where 7
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +71,7 @@ SENT = f"""sent AS (
 
 #: the same expression in Spark and in DuckDB
 _RAW = """CASE event_id % 14
-    WHEN 0 THEN concat('{"label": "BORDER", "confidence": ', CAST(k / 100.0 AS STRING), '}')
+    WHEN 0 THEN concat('{"label": "BORDER", "confidence": ', concat('0.', lpad(CAST(k AS STRING), 2, '0')), '}')
     WHEN 1 THEN '{"label": "no", "reason": "same place"}'
     WHEN 2 THEN concat('One thing is new.', chr(10), 'Another is not.', chr(10), '{"label": "BORDER", "confidence": "0.9", "reason": "time jump"}')
     WHEN 3 THEN '{"label": "NO'
@@ -117,3 +122,20 @@ PRED = RESP + """, pr AS (
         'text ' || CAST(event_id AS VARCHAR) AS text, k * 10 + 100 AS prompt_tokens, k + 5 AS output_tokens, CASE WHEN event_id % 4 <> 0 THEN k * 3 END AS thought_tokens
     FROM resp
 )"""
+
+
+_FOLDERS: dict[str, str] = {}
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; where none is set (local sessions), a temporary one."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if sc.applicationId not in _FOLDERS:
+            _FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="seamline-")
+            atexit.register(shutil.rmtree, _FOLDERS[sc.applicationId], ignore_errors=True)
+        base = "file://" + _FOLDERS[sc.applicationId]
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
