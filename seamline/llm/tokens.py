@@ -1,15 +1,18 @@
 """Token ids of whole texts by the tokenizers library, with the ids of words kept between texts.
 
 A tokenizer whose normaliser and pre-tokenizer never look across white space gives a text the ids of its
-words, one after another. Distinct words are then few beside all words, so each Python worker keeps the ids
-of words and of pre-tokens that it has seen (bounded; emptied when full). Words with characters for which
-that isn't evident, and all texts of other kinds of tokenizer, go to the library as they are.
+words, and those the ids of their pre-tokens, one after another. Distinct ones are few beside all, so each
+Python worker keeps the ids of those that it has seen (bounded; emptied when full). Latin-1 texts are cut
+into pre-tokens at once; other texts into words, of which those with characters for which the above isn't
+evident, and all texts of other kinds of tokenizer, go to the library as they are.
 """
 
 from __future__ import annotations
 
+import array
 import json
 import os
+import re
 
 import numpy as np
 import regex
@@ -17,10 +20,11 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: words and pre-tokens kept by a worker
-KEPT_WORDS, KEPT_PIECES = 400_000, 700_000
+KEPT_WORDS, KEPT_PIECES = 200_000, 900_000
 #: these end words for str.split, but aren't white space to the tokenizer
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _LATIN = regex.compile("[\x21-į]+")
+_LETTER, _NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
 
 _CODERS: dict[str, "TokenCoder"] = {}
 
@@ -79,6 +83,7 @@ class TokenCoder:
         self.pattern = self._by_words(spec)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.letters = {chr(b): s for b, s in _byte_letters().items()}
+        self.latin, self.code = self._latin_pattern(), "H" if self.dtype.itemsize == 2 else "I"
         self.words, self.pieces = _Words(self), _Pieces(self)
 
     @staticmethod
@@ -93,6 +98,15 @@ class TokenCoder:
             return None
         return regex.compile(split["pattern"]["Regex"])
 
+    def _latin_pattern(self):
+        """The pre-token pattern for lower-case Latin-1 texts, its classes spelled out for the faster engine."""
+        if self.pattern is None:
+            return None
+        plain = self.pattern.pattern
+        for named, spelled in (("[^\\s\\p{L}\\p{N}]", rf"[^\s{_LETTER}{_NUMBER}]"), ("[\\p{L}]", f"[{_LETTER}]"), ("[\\p{N}]", f"[{_NUMBER}]")):
+            plain = plain.replace(named, spelled)
+        return None if "\\p" in plain else re.compile(plain)
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
@@ -103,7 +117,7 @@ class TokenCoder:
 
     def piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() and piece.isalnum() else "".join(map(self.letters.__getitem__, piece.encode().decode("latin-1")))
-        return np.array([t.id for t in self.library.model.tokenize(shown)], self.dtype).tobytes()
+        return array.array(self.code, [t.id for t in self.library.model.tokenize(shown)]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian ids of the text (null: none), each of ``dtype``."""
@@ -111,6 +125,13 @@ class TokenCoder:
             return b""
         if self.pattern is None or _ODD_SPACE.search(text):
             return self._whole(text)
+        if self.latin is not None and not any(s in text for s in self.special):
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                return b"".join(map(self.pieces.__getitem__, self.latin.findall(text.lower())))
         return b"".join(map(self.words.__getitem__, text.split()))
 
     def encode_ids(self, text: str | None, end: int | None = None) -> np.ndarray:
