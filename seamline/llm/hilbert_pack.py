@@ -116,5 +116,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int = END_ID, lengt
     table = stored(token_table(docs, path, end, _keyed, ", curve long"), "curve")
     total = table.agg(F.sum("n_tokens")).head()[0] or 0
     parts = max(1, -(-total // RANGE_IDS))
-    ordered = table.repartitionByRange(parts, "curve", "doc_id", "ids").sortWithinPartitions("curve", "doc_id", "ids")
+    ordered = table.repartitionByRange(parts, "curve", "doc_id", F.xxhash64("ids")).sortWithinPartitions("curve", "doc_id", "ids")
     return ordered.select("doc_id", "ids").mapInArrow(_packer(tokens.coder(path).dtype.str, length), _PIECE)

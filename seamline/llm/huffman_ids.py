@@ -254,7 +254,7 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, end: int = END_ID)
     for r in id_counts(table, dtype, size).collect():
         counts[r["id"]] = r["n"]
     parts = max(1, -(-int(counts.sum()) // FILE_IDS))
-    ordered = table.select("doc_id", "ids").repartitionByRange(parts, "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    ordered = table.select("doc_id", "ids").repartitionByRange(parts, "doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", "ids")
     files = ordered.mapInArrow(_writer(new_path(docs.sparkSession, "id-files"), code_lengths(counts), dtype), "part long, uri string, n_docs long, n_ids long, n_bytes long")
     files = stored(files, "id-manifest")
     drop_stored(table)
