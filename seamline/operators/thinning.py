@@ -13,11 +13,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_W = Window.partitionBy("doc").orderBy("idx")
+
+
+def _by_doc():
+    return Window.partitionBy("doc").orderBy("idx")
 
 
 def ranked(df: DataFrame) -> DataFrame:
-    return df if "pos" in df.columns else df.withColumn("pos", F.row_number().over(_W) - 1)
+    return df if "pos" in df.columns else df.withColumn("pos", F.row_number().over(_by_doc()) - 1)
 
 
 def min_gap(df: DataFrame, gap: int) -> DataFrame:
@@ -78,7 +81,7 @@ def discourse(df: DataFrame, text: str = "text") -> DataFrame:
     """A border goes if the next sentence begins like a continuation, unless the border's own begins a shift or
     either speaks of time."""
     here = F.trim(F.coalesce(F.col(text), F.lit("")))
-    after = F.coalesce(F.lead(text).over(_W), F.lit(""))
+    after = F.coalesce(F.lead(text).over(_by_doc()), F.lit(""))
     keep = here.rlike(SHIFT_START) | (after == "") | F.col(text).rlike(TEMPORAL) | after.rlike(TEMPORAL) | ~F.trim(after).rlike(CONTINUES)
     return df.withColumn("pred", F.col("pred") & F.coalesce(keep, F.lit(True)))
 

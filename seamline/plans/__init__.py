@@ -1,6 +1,6 @@
 """Registered queries, each with the SQL that gives the same rows where SQL can express it."""
 
-from . import ordered, rollup, scoring, texts
+from . import flagship, ordered, rollup, scoring, texts
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "ordered", "rollup", "scoring", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "ordered", "rollup", "scoring", "texts"]
