@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordbytes import code_points, gram_hashes
+from .wordbytes import code_points, gram_hashes, text_slices
 
 #: keys of the grams of each length: at most so many counts a language, whatever the corpus; more grams share keys
 KEY_BITS = {1: 14, 2: 16, 3: 18}
@@ -187,13 +187,15 @@ def predict_texts(model: MixtureModel, texts: list[str | None]) -> list[tuple[st
     return out
 
 
-def with_language(docs: DataFrame, model: MixtureModel) -> DataFrame:
-    """``docs`` with a struct column ``language`` (lang_pred, score, languages)."""
+def with_language(docs: DataFrame, model: MixtureModel, name: str = "_seamline_language") -> DataFrame:
+    """``docs`` with a struct column (lang_pred, score, languages)."""
 
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(predict_texts(model, [t if isinstance(t, str) else None for t in texts]), columns=["lang_pred", "score", "languages"])
+        plain = [t if isinstance(t, str) else None for t in texts]
+        rows = [r for s in text_slices(plain) for r in predict_texts(model, plain[s])]
+        return pd.DataFrame(rows, columns=["lang_pred", "score", "languages"])
 
-    return docs.withColumn("language", F.pandas_udf(run, "lang_pred string, score double, languages string")("text"))
+    return docs.withColumn(name, F.pandas_udf(run, "lang_pred string, score double, languages string")("text"))
 
 
 def identify(docs: DataFrame, model: MixtureModel | None = None) -> DataFrame:
@@ -204,7 +206,7 @@ def identify(docs: DataFrame, model: MixtureModel | None = None) -> DataFrame:
     text and lang are ignored; an empty table gives an empty one.
     """
     model = model or learn(docs)
-    x = with_language(docs.select("doc_id", "text"), model)
+    x = with_language(docs.select("doc_id", "text"), model, "language")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return x.select("doc_id", held.alias("held_out"), "language.lang_pred", "language.score", "language.languages")
 
@@ -212,4 +214,5 @@ def identify(docs: DataFrame, model: MixtureModel | None = None) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows of ``docs`` whose language is known and makes up at least ``least`` of the words."""
     x = with_language(docs, learn(docs))
-    return x.where((F.col("language.lang_pred") != UNKNOWN) & (F.col("language.score") >= least)).select(*[docs[c] for c in docs.columns])
+    found = F.col("_seamline_language")
+    return x.where((found["lang_pred"] != UNKNOWN) & (found["score"] >= least)).drop("_seamline_language")

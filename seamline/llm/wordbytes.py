@@ -14,6 +14,23 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
+#: bytes of texts that are taken apart at a time
+AT_ONCE = 8 << 20
+
+
+def parts(batch: pa.RecordBatch):
+    """The batch in slices of about ``AT_ONCE`` bytes, so that lists of words stay small however many rows come."""
+    step = max(1, batch.num_rows * AT_ONCE // max(1, batch.nbytes))
+    for k in range(0, max(1, batch.num_rows), step):
+        yield batch.slice(k, step)
+
+
+def text_slices(texts: list) -> list[slice]:
+    """Slices of a list of texts (or nulls) of about ``AT_ONCE`` characters each."""
+    step = max(1, len(texts) * AT_ONCE // max(1, sum(len(t) for t in texts if t)))
+    return [slice(k, k + step) for k in range(0, len(texts), step)]
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+``: ``bytes.split`` ends words at exactly these six bytes."""
     return text.split() if text else []
