@@ -62,7 +62,10 @@ def candidates(text: str, spans, long) -> list[tuple[int, int]]:
     for a, b in long:
         while k < len(ends) and ends[k][1] <= a:
             k += 1
-        if any(s < b and e > a for s, e in ends[k:]):
+        j = k
+        while j < len(ends) and ends[j][0] < b and ends[j][1] <= a:
+            j += 1
+        if j < len(ends) and ends[j][0] < b:
             continue
         part = text[a:b]
         if any(map(str.isdigit, part)) and any(map(str.isalpha, part)):
@@ -251,6 +254,6 @@ def redact(docs: DataFrame) -> DataFrame:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([redacted(t, s) if isinstance(t, str) and (s := all_spans(t, formats)[1]) else t for t in texts], dtype=object)
 
-    x = docs.withColumn("_clean", F.pandas_udf(run, "string")("text"))
-    n_chars = F.when(F.col("_clean").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.char_length("_clean").cast("long"))
-    return x.select(*[{"text": F.col("_clean").alias("text"), "n_chars": n_chars.alias("n_chars")}.get(c, F.col(c)) for c in docs.columns])
+    x = docs.withColumn("_seamline_clean", F.pandas_udf(run, "string")("text"))
+    n_chars = F.when(F.col("_seamline_clean").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.char_length("_seamline_clean").cast("long"))
+    return x.select(*[{"text": F.col("_seamline_clean").alias("text"), "n_chars": n_chars.alias("n_chars")}.get(c, F.col(c)) for c in docs.columns])

@@ -86,6 +86,10 @@ class PieceModel:
                 self.shown.append(piece.encode())
         self.unknown = library.unk_id()
         self.longest = max(map(len, self.ids))
+        self.run = max(k for k in range(1, self.longest + 1) if MARK * k in self.ids)
+        self.rest_of_run = [[self.ids[p] for p in self.by_rank(MARK * k)] for k in range(self.run + 1)]
+        if len(self.rest_of_run[self.run]) > 1:
+            raise ValueError("marks don't merge into their longest piece")
         self.apart: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.worst = min(self.scores) - 10
@@ -174,11 +178,18 @@ class PieceModel:
         plain = sorted(MARK + w for w in new if not w.startswith(MARK))
         for w, x in zip(plain, self.encode_sorted(plain)):
             self.words[w[1:]] = np.array(x, self.dtype).tobytes()
-        # words after several spaces: marks have one rank, so these go by merging
+        # several marks before a word: the last goes with the word if it merges with it; the others, of one rank
+        # and below all else, merge from the left, so that the longest piece repeats and the rest follows
+        several = sorted({MARK + w.lstrip(MARK) for w in new if w.startswith(MARK)})
+        rest = dict(zip(several, self.encode_sorted(several)))
         for w in new:
             if w.startswith(MARK):
-                flat = [k for p in self.by_rank(MARK + w) for k in ([self.ids[p]] if p in self.ids else self._char(p))]
-                self.words[w] = np.array(flat, self.dtype).tobytes()
+                body = w.lstrip(MARK)
+                n, ids = len(w) - len(body), rest[MARK + body]
+                if ids[0] == self.ids[MARK]:
+                    n, ids = n + 1, ids[1:]
+                runs = [self.ids[MARK * self.run]] * (n // self.run) + self.rest_of_run[n % self.run]
+                self.words[w] = np.array([*runs, *ids], self.dtype).tobytes()
 
     @staticmethod
     def split(text: str) -> list[str]:

@@ -13,7 +13,7 @@ Only different fingerprints enter the index; documents with equal ones are a cla
 
 from __future__ import annotations
 
-from itertools import combinations, repeat
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -112,7 +112,7 @@ def links_in_lists(group: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np
 def _linker(max_bits: int):
     def run(batches):
         kept_set, kept_post, kept_fp = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in (*batches, None):
+        for b in chain(batches, [None]):
             if b is not None:
                 cols = [np.asarray(c).astype(np.int64) for c in b.columns]
                 s, p, f = (np.concatenate(x) for x in zip((kept_set, kept_post, kept_fp), cols))
@@ -167,8 +167,9 @@ def keep_one(docs: DataFrame, max_bits: int = 2) -> DataFrame:
     first = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct(), "kept")
     ids = first.where("doc_id is not null").select("doc_id").distinct()
     named = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    loose = docs.where("doc_id is null").withColumn("_fp", F.pandas_udf(_fp_series, "long")("text"))
-    loose = loose.join(first.where("doc_id is null").select(F.col("fp").alias("_fp")), "_fp", "left_semi").dropDuplicates(["_fp"])
+    loose = docs.where("doc_id is null").withColumn("_seamline_fp", F.pandas_udf(_fp_series, "long")("text"))
+    wanted = first.where("doc_id is null").select(F.col("fp").alias("_seamline_fp"))
+    loose = loose.join(wanted, "_seamline_fp", "left_semi").dropDuplicates(["_seamline_fp"])
     return named.select(*docs.columns).unionByName(loose.select(*docs.columns))
 
 
