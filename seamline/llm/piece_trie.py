@@ -12,6 +12,7 @@ apart is worked out once a pair.
 
 from __future__ import annotations
 
+import array
 import os
 import re
 import zlib
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*")
 #: different words kept by a worker
-HELD = 400_000
+HELD = 700_000
 
 
 def default_model() -> str:
@@ -72,6 +73,7 @@ class PieceModel:
         library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = library.vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.scores, self.ids, self.shown, self.bytes = [], {}, [], {}
         for k in range(self.size):
             piece = library.id_to_piece(k)
@@ -86,6 +88,12 @@ class PieceModel:
                 self.shown.append(piece.encode())
         self.unknown = library.unk_id()
         self.longest = max(map(len, self.ids))
+        # how long pieces are that end in these two characters, longest first
+        tails: dict[str, set[int]] = {}
+        for piece in self.ids:
+            if len(piece) > 1:
+                tails.setdefault(piece[-2:], set()).add(len(piece))
+        self.tails = {t: (*sorted(n, reverse=True), 1) for t, n in tails.items()}
         self.run = max(k for k in range(1, self.longest + 1) if MARK * k in self.ids)
         self.rest_of_run = [[self.ids[p] for p in self.by_rank(MARK * k)] for k in range(self.run + 1)]
         if len(self.rest_of_run[self.run]) > 1:
@@ -120,7 +128,7 @@ class PieceModel:
 
     def encode_sorted(self, words: list[str]) -> list[list[int]]:
         """Ids of sorted different words that begin with one mark each."""
-        ids, scores, size, apart, longest = self.ids, self.scores, self.size, self.apart, self.longest
+        ids, scores, size, apart, tails = self.ids, self.scores, self.size, self.apart, self.tails
         # of each prefix: its last piece (-1: a character without one), that piece's length, and its best score
         last, length, best = [size], [0], [0.0]
         out, before = [], ""
@@ -134,8 +142,9 @@ class PieceModel:
                     best.append(best[end - 1] + self.worst)
                     continue
                 found = (-1, 1, -np.inf)
-                for start in range(max(0, end - longest), end):
-                    k = ids.get(w[start:end])
+                for n in tails.get(w[end - 2 : end], (1,)) if end > 1 else (1,):
+                    start = end - n
+                    k = ids.get(w[start:end]) if start >= 0 else None
                     if k is None:
                         continue
                     if self.unigram:
@@ -177,7 +186,7 @@ class PieceModel:
             self.words.clear()
         plain = sorted(MARK + w for w in new if not w.startswith(MARK))
         for w, x in zip(plain, self.encode_sorted(plain)):
-            self.words[w[1:]] = np.array(x, self.dtype).tobytes()
+            self.words[w[1:]] = array.array(self.code, x).tobytes()
         # several marks before a word: the last goes with the word if it merges with it; the others, of one rank
         # and below all else, merge from the left, so that the longest piece repeats and the rest follows
         several = sorted({MARK + w.lstrip(MARK) for w in new if w.startswith(MARK)})
@@ -189,7 +198,7 @@ class PieceModel:
                 if ids[0] == self.ids[MARK]:
                     n, ids = n + 1, ids[1:]
                 runs = [self.ids[MARK * self.run]] * (n // self.run) + self.rest_of_run[n % self.run]
-                self.words[w] = np.array([*runs, *ids], self.dtype).tobytes()
+                self.words[w] = array.array(self.code, [*runs, *ids]).tobytes()
 
     @staticmethod
     def split(text: str) -> list[str]:
