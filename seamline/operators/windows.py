@@ -181,3 +181,16 @@ def opposite_near(df: DataFrame, flag: str, other: str, reach: int, doc: str = "
     w = by_doc(doc, idx)
     x = F.coalesce(F.max(F.col(other)).over(w.rowsBetween(-reach, -1)), F.lit(False)) | F.coalesce(F.max(F.col(other)).over(w.rowsBetween(1, reach)), F.lit(False))
     return df.withColumn("near", F.col(flag) & x)
+
+
+def global_position(df: DataFrame, group: list, order: list, name: str = "position") -> DataFrame:
+    """``name``: each row's place from 1 among all rows by ``group``, then ``order``, where ``group`` are columns.
+
+    Groups are counted first; only a row per group meets in one task to be summed, and rows are ranked in
+    their own group, so no task sees all rows.
+    """
+    n = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1))
+    starts = n.withColumn("_start", F.coalesce(before, F.lit(0))).drop("_n")
+    x = df.withColumn("_own", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).join(starts, group)
+    return x.withColumn(name, (F.col("_own") + F.col("_start")).cast("int")).drop("_own", "_start")

@@ -117,12 +117,14 @@ def _upserted(spark, d):
 
 @query(f"WITH {_UP} SELECT slug, idx, label, CAST(row_number() OVER (ORDER BY slug, idx) AS INTEGER) AS position FROM up")
 def a12_upsert(spark, d):
-    return _upserted(spark, d).select("slug", "idx", "label", F.row_number().over(Window.orderBy("slug", "idx")).alias("position"))
+    return W.global_position(_upserted(spark, d), ["slug"], ["idx"]).select("slug", "idx", "label", "position")
 
 
 @query(f"WITH {_UP} SELECT key, label, CAST(row_number() OVER (ORDER BY key) AS INTEGER) AS position FROM up")
 def a13_corpus_merge(spark, d):
-    return _upserted(spark, d).select("key", "label", F.row_number().over(Window.orderBy("key")).alias("position"))
+    # keys sort as strings; those of one slug stand together, as they share what precedes the colon
+    x = _upserted(spark, d).withColumn("prefix", F.concat("slug", F.lit(":")))
+    return W.global_position(x, ["prefix"], ["key"]).select("key", "label", "position")
 
 
 @query(f"WITH {PRED} SELECT slug, array_to_string(list(DISTINCT key ORDER BY key), ',') AS keys, CAST(row_number() OVER (ORDER BY CAST(regexp_extract(slug, '([0-9]+)', 1) AS BIGINT)) AS INTEGER) AS by_number FROM pr WHERE NOT parse_ok GROUP BY slug")
