@@ -49,8 +49,10 @@ NOT_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary searc
 NOT_ARTICLE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay "
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars widget widgets footer masthead topbar toolbar comment comments respond reply replies disqus discussion "
-    "share sharing social related recommended newsletter subscribe subscription signup login search pagination pager skip disclaimer copyright".split()
+    "share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager skip disclaimer copyright "
+    "legal privacy rail teaser teasers trending popular feedback rating poll survey donate paywall".split()
 )
+ARTICLE_NAMES = frozenset("article content post entry story main".split())
 HEADERS = frozenset(("header", "masthead"))
 
 _MARKUP = re.compile(
@@ -220,13 +222,30 @@ def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset(
             return n.hash in template and n.tag not in PROSE and not _is_main(n) and 2 * n.size < start.size
 
         return _blocks(start, gone)
-    plain = _blocks(root, lambda n: named_away(n, False))
+    # no article is marked: a container named like one, if it holds most of what isn't named away
+    away = {id(n) for n in order if named_away(n, False)}
+    plain = _blocks(root, lambda n: id(n) in away)
+    if not plain:
+        # a name on what holds the whole page says nothing of its parts
+        away = {id(n) for n in order if id(n) in away and (n.hidden or n.tag in NEVER or 2 * n.size < root.size)}
+        plain = _blocks(root, lambda n: id(n) in away)
+    named = [n for n in order if id(n) not in away and n.tag in ("div", "section") and _names(n) & ARTICLE_NAMES and 2 * n.size >= len(plain)]
+    top = max((n for n in named if not _any_up(n, away)), key=lambda n: n.size, default=root)
+    plain = _blocks(top, lambda n: id(n) in away)
     if not template:
         return plain
-    less = _blocks(root, lambda n: named_away(n, False) or n.hash in template)
+    less = _blocks(top, lambda n: id(n) in away or n.hash in template)
     return less if len(less) >= LEAST_LEFT * len(plain) else plain
 
 
+def _any_up(n: Node, away: set[int]) -> bool:
+    while n is not None:
+        if id(n) in away:
+            return True
+        n = n.parent
+    return False
+
+
 def _within(n: Node, outer: Node) -> bool:
     while n is not None:
         if n is outer:

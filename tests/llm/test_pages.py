@@ -64,6 +64,9 @@ MARKUP = [
     ("a < b and c", "a < b and c"),
     ("<p>open <i>it", "open it"),
     ("<article class='comment'>c c c c</article><article><p>real text here</p></article>", "real text here"),
+    ("<div class='page with-sidebar'><p>whole page</p></div>", "whole page"),
+    ("<div class='top'>Site name</div><div class='content'><h2>Head</h2><p>Long enough text of the story</p></div><div class='box'>other</div>", "Head\nLong enough text of the story"),
+    ("<p>story</p><div class='comments'><p>a much longer comment than the story itself is</p></div>", "story"),
     ("", ""),
 ]
 
