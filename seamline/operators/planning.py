@@ -30,3 +30,17 @@ def order_key(mode: str, slug: str = "slug", count: str = "n") -> list[Column]:
 def best_gap(scores: DataFrame) -> DataFrame:
     """(doc, gap, f1): the gap with the best f1; the smallest of equals."""
     return scores.groupBy("doc").agg(F.max_by(F.struct("gap", "f1"), F.struct("f1", (-F.col("gap")).alias("g"))).alias("b")).select("doc", "b.*")
+
+
+def improvement_gate(scores: DataFrame, enough: float = 0.76, windows: tuple[int, ...] = (32, 64)) -> DataFrame:
+    """(action, window): stop if the best f1 is enough, else a run with each of the wider windows."""
+    best = scores.agg(F.max(F.coalesce("f1", F.lit(0.0))).alias("_best"))
+    runs = F.array(*[F.struct(F.lit("run").alias("action"), F.lit(w).alias("window")) for w in windows])
+    stop = F.array(F.struct(F.lit("stop").alias("action"), F.lit(None).cast("int").alias("window")))
+    return best.select(F.inline(F.when(F.col("_best") >= enough, stop).otherwise(runs)))
+
+
+def by_precedence(df: DataFrame, names: list[str], layers: list[str]) -> DataFrame:
+    """Each setting from the last of the layers (structs, lowest first) that has it."""
+    keep = [c for c in df.columns if c not in layers]
+    return df.select(*keep, *[F.coalesce(*[F.col(f"{layer}.{n}") for layer in reversed(layers)]).alias(n) for n in names])

@@ -420,3 +420,19 @@ def t8_set_operations(spark, d):
 @query(f"WITH {PRED} SELECT slug, bool_and(label IS NOT NULL) AS complete, bool_and(CASE WHEN idx < 5 THEN parse_ok END) AS head_ok FROM pr GROUP BY slug")
 def t9_completeness(spark, d):
     return predictions(spark, d).groupBy("slug").agg(F.bool_and(F.col("label").isNotNull()).alias("complete"), F.bool_and(F.when(F.col("idx") < 5, F.col("parse_ok"))).alias("head_ok"))
+
+
+@query(f"WITH {SEQ}, {_F3}, b AS (SELECT max(coalesce(f1, 0)) AS best FROM s) SELECT 'stop' AS action, CAST(NULL AS INTEGER) AS \"window\" FROM b WHERE best >= 0.76 UNION ALL SELECT 'run', w FROM b, (VALUES (32), (64)) v(w) WHERE best < 0.76")
+def p15_improvement_gate(spark, d):
+    return planning.improvement_gate(metrics.with_prf(metrics.tolerant(sequence(spark, d), (3,))))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 5 WHEN p_size % 3 = 0 THEN 3 WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS epochs, CASE WHEN p_size % 5 = 0 THEN p_brand WHEN p_size % 2 = 0 THEN p_type ELSE 'base' END AS model FROM part")
+def j12_config_precedence(spark, d):
+    size = F.col("p_size")
+    layer = lambda every, epochs, model: F.when(size % every == 0, F.struct(F.lit(epochs).alias("epochs"), model.alias("model")))
+    none = F.lit(None).cast("string")
+    x = table(spark, d, "part").select(
+        "p_partkey", layer(1, 1, F.lit("base")).alias("defaults"), layer(2, 2, F.col("p_type")).alias("file"), layer(3, 3, none).alias("environment"), layer(5, 5, F.col("p_brand")).alias("job")
+    )
+    return planning.by_precedence(x, ["epochs", "model"], ["defaults", "file", "environment", "job"])

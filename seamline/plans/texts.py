@@ -581,6 +581,13 @@ def s24_grouped_rows(spark, d):
     return x.groupBy("slug").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "event_id"))), lambda s: s["event_id"].cast("string")), ",").alias("ids"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name || '.txt' WHEN p_size % 3 = 1 THEN p_brand || '.txt' WHEN p_size % 2 = 0 THEN 'a.txt' ELSE 'b.txt' END AS source FROM part")
+def s25_resolve_source(spark, d):
+    size, txt = F.col("p_size"), lambda c: F.concat(F.col(c), F.lit(".txt"))
+    found = readers.resolve_source(F.when(size % 3 == 0, txt("p_name")), F.when(size % 3 == 1, txt("p_brand")), [F.when(size % 2 == 0, F.lit("a.txt")), F.lit("b.txt")])
+    return table(spark, d, "part").select("p_partkey", found.alias("source"))
+
+
 # -- sinks -------------------------------------------------------------------------------------------------
 
 _DOCS = "SELECT doc_id, text, lang FROM documents"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.labels import collapse_space, strip
+from ..functions.labels import strip
 
 SENTENCE = "sentence_index int, sentence_text_full string, source_file string"
 GOLD = "sentence_index int, sentence_text_full string, ground_truth_label string, source_file string, scene_id_raw string"
@@ -201,5 +201,6 @@ def members_with_files(members: DataFrame, files: DataFrame) -> DataFrame:
     return members.join(files, members["member"] == files["stem"], "left").select("split", "member", "path", F.col("path").isNull().alias("missing"))
 
 
-def collapse(c):
-    return collapse_space(c)
+def resolve_source(explicit, manifest_first, candidates: list):
+    """The text file to read: the one named, else the manifest's first, else the first candidate there is."""
+    return F.coalesce(explicit, manifest_first, *candidates)
