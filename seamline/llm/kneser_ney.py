@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .ngram_counts import word_counts
 from .scratch import stored
-from .wordbytes import SPACES, Numbering, code_points, gram_hashes, texts_of
+from .wordbytes import SPACES, Numbering, code_points, gram_hashes, parts, text_slices, texts_of
 
 ORDER = 4
 #: keys of the grams of one length and language: at most 2**KEY_BITS, whatever the corpus; more grams share keys
@@ -32,8 +32,8 @@ LEAST_WORDS, REPEATED_PERCENT = 50, 50
 LOW_SPREADS, HIGH_SPREADS, LOW_CUT, HIGH_CUT = 5.0, 6.0, 0.25, 0.75
 #: a class of length with fewer texts has the band of its whole language; a language with fewer has none, and no verdict
 LEAST_TEXTS = 100
-#: different words scored and kept by a worker
-HELD = 300_000
+#: different words scored and kept by a worker, and those scored at a time
+HELD, SCORED = 300_000, 30_000
 
 
 def _decoded(word: bytes) -> str:
@@ -99,16 +99,19 @@ class KneserNey:
     """Per language and length: sorted keys of grams with log-probabilities, sorted keys of contexts with the
     log-weight of the shorter estimate."""
 
-    def __init__(self, rows: pd.DataFrame):
+    def __init__(self, rows: pa.Table):
         self.name = uuid.uuid4().hex
-        self.tables = {str(k): self._one(x) for k, x in rows.groupby("key")}
+        keys = rows["key"].combine_chunks().dictionary_encode()
+        code, columns = np.asarray(keys.indices), [rows[c].to_numpy() for c in ("length", "gram", "context", "suffix", "n")]
+        self.tables = {k: self._one([c[code == i] for c in columns]) for i, k in enumerate(keys.dictionary.to_pylist())}
 
     @staticmethod
-    def _one(rows: pd.DataFrame) -> list[tuple[np.ndarray, ...]]:
+    def _one(columns: list[np.ndarray]) -> list[tuple[np.ndarray, ...]]:
         out, shorter = [], None
         for length in range(1, ORDER + 1):
-            x = rows[rows["length"] == length].sort_values("gram")
-            gram, context, suffix, n = (x[c].to_numpy() for c in ("gram", "context", "suffix", "n"))
+            of = np.flatnonzero(columns[0] == length)
+            of = of[np.argsort(columns[1][of])]
+            gram, context, suffix, n = (c[of] for c in columns[1:])
             seen = [max(1, int((n == k).sum())) for k in range(1, 5)]
             y = seen[0] / (seen[0] + 2 * seen[1])
             cut = np.array([0.0, *(min(k, max(0.05, k - (k + 1) * y * seen[k] / seen[k - 1])) for k in (1, 2, 3))])
@@ -159,7 +162,7 @@ class KneserNey:
 
 def train(docs: DataFrame, key: str = "lang") -> KneserNey:
     """The model of all texts; its bounded table of counts comes to the driver."""
-    return KneserNey(gram_table(docs, key).toPandas())
+    return KneserNey(gram_table(docs, key).toArrow())
 
 
 def base_values(text: bytes | None) -> tuple[list[bytes], int, int, int, int, int]:
@@ -189,7 +192,8 @@ def repeated(words: list[bytes]) -> int:
     if not again.any():
         return 0
     covered = np.zeros(n, bool)
-    covered[:-2], covered[1:-1], covered[2:] = again, covered[1:-1] | again, covered[2:] | again
+    for k in range(3):
+        covered[k : n - 2 + k] |= again
     return int(covered.sum())
 
 
@@ -201,9 +205,9 @@ def _word_table(model: KneserNey, lang: str):
         _WORKERS.clear()
         _WORKERS[model.name] = {}
     kept = _WORKERS[model.name]
-    if lang not in kept or len(kept[lang][0]) >= HELD:
-        kept[lang] = [{}, np.zeros(0), np.zeros(0, np.int64)]
-    return kept[lang]
+    if sum(len(t[0]) for t in kept.values()) >= HELD:
+        kept.clear()
+    return kept.setdefault(lang, [{}, np.zeros(0), np.zeros(0, np.int64)])
 
 
 def perplexities(model: KneserNey, langs: list[str | None], texts: list[list[bytes]]) -> np.ndarray:
@@ -218,9 +222,9 @@ def perplexities(model: KneserNey, langs: list[str | None], texts: list[list[byt
         number = table[0]
         new = list({w for k in rows for w in texts[k]}.difference(number))
         if new:
-            p, n = model.word_scores(lang, [_decoded(w) for w in new])
+            found = [model.word_scores(lang, [_decoded(w) for w in new[k : k + SCORED]]) for k in range(0, len(new), SCORED)]
             number.update(zip(new, range(len(number), len(number) + len(new))))
-            table[1], table[2] = np.concatenate([table[1], p]), np.concatenate([table[2], n])
+            table[1], table[2] = (np.concatenate([table[k + 1], *(f[k] for f in found)]) for k in range(2))
         for k in rows:
             ids = np.fromiter(map(number.__getitem__, texts[k]), np.int64, len(texts[k]))
             out[k] = np.exp(-table[1][ids].sum() / table[2][ids].sum())
@@ -242,7 +246,7 @@ def scores(docs: DataFrame, model: KneserNey) -> DataFrame:
     """(doc_id, lang, base values, base_failed, perplexity) of every row of ``docs``; a null lang is ''."""
 
     def run(batches):
-        for b in batches:
+        for b in (p for whole in batches for p in parts(whole)):
             langs = b.column(1).to_pylist()
             x = _rows(model, langs, texts_of(b))
             cols = [pa.array(x[c].to_numpy(), from_pandas=True) for c in x.columns]
@@ -297,7 +301,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     def run(langs: pd.Series, texts: pd.Series) -> pd.Series:
         langs = [v if isinstance(v, str) else None for v in langs]
-        x = _rows(model, langs, [t.encode() if isinstance(t, str) else None for t in texts])
+        plain = [t.encode() if isinstance(t, str) else None for t in texts]
+        x = pd.concat([_rows(model, langs[s], plain[s]) for s in text_slices(plain)] or [_rows(model, [], [])])
         ends = np.array([limit(v, n) for v, n in zip(langs, x["n_words"].tolist())]).reshape(-1, 2)
         p = x["perplexity"].to_numpy()
         inside = np.isnan(p) | ((p >= ends[:, 0]) & (p <= ends[:, 1]))
