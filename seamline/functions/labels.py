@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BORDER, NOBORDER = "BORDER", "NOBORDER"
+# fixed values: spellings of the labels
 _YES, _NO = ("BORDER", "TRUE", "YES"), ("NOBORDER", "NO_BORDER", "FALSE", "NO")
 
 
@@ -51,7 +52,7 @@ def clean_text(c) -> Column:
 
 def int_or(c, fallback) -> Column:
     """The whole part of a number in a string, else ``fallback``."""
-    return F.coalesce(F.expr("try_cast(v as double)") if c == "v" else col(c).try_cast("double"), col(fallback)).cast("int")
+    return F.coalesce(col(c).try_cast("double"), col(fallback)).cast("int")
 
 
 def slug(c) -> Column:
@@ -177,9 +178,12 @@ def error_kind(c) -> Column:
     )
 
 
+# fixed values: where errors say how long to wait
+RETRY_PATTERNS = (r'(?i)"retry_after_seconds(?:_raw)?"\s*:\s*([\d.]+)', r"(?i)Retry-After['\"]?\s*[:=]\s*['\"]?(\d+)")
+
+
 def retry_after(c, attempt) -> Column:
     """Seconds to wait: what the error says (1 at least), else doubling from 5 up to 60."""
-    said = [F.regexp_extract(col(c), p, 1) for p in (r'(?i)"retry_after_seconds(?:_raw)?"\s*:\s*([\d.]+)', r"(?i)Retry-After['\"]?\s*[:=]\s*['\"]?(\d+)")]
-    said = [F.greatest(F.lit(1.0), F.nullif(x, F.lit("")).try_cast("double")) for x in said]
-    said = [F.when(F.regexp_extract(col(c), p, 1) != "", s) for s, p in zip(said, (r'(?i)"retry_after_seconds(?:_raw)?"\s*:\s*([\d.]+)', r"(?i)Retry-After['\"]?\s*[:=]\s*['\"]?(\d+)"))]
+    said = [F.nullif(F.regexp_extract(col(c), p, 1), F.lit("")).try_cast("double") for p in RETRY_PATTERNS]
+    said = [F.when(s.isNotNull(), F.greatest(F.lit(1.0), s)) for s in said]
     return F.coalesce(*said, F.least(F.lit(60.0), 5 * F.pow(F.lit(2.0), F.least(col(attempt), F.lit(6)))))

@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .responses import _PHRASES
+
 _PAIRS = {"{": "}", "[": "]"}
+# fixed values: spellings of the labels
 _WORDS = {"BORDER": "BORDER", "TRUE": "BORDER", "YES": "BORDER", "NOBORDER": "NOBORDER", "NO_BORDER": "NOBORDER", "FALSE": "NOBORDER", "NO": "NOBORDER"}
 
 
@@ -74,17 +77,11 @@ def tolerant(text: str | None) -> tuple[str, float | None, bool, str, str]:
 
 
 def label_confidence(text: str | None) -> tuple[str, float | None]:
-    """A label in any case, and the confidence of the JSON even if its label was no good."""
-    found = json_object(text)
-    label = label_of(found.get("label", "")) if found is not None else None
-    return label or tolerant(text if found is None else re.sub(r"\{\}", "", text))[0], _float(found.get("confidence")) if found is not None else None
-
-
-_TOKEN_PHRASES = (
-    ("NOBORDER", r"\b(?:does\s+not|doesn't)\s+(?:start|mark|introduce)\b"),
-    ("NOBORDER", r"\b(?:not\s+a|no)\s+new\s+segment\b"),
-    ("BORDER", r"\b(?:starts?|marks?|introduces?)\s+(?:a\s+)?new\s+(?:event|scene|segment)\b"),
-)
+    """A label in any case, and the confidence of the JSON even if the label is the text's."""
+    found = json_object(text) or {}
+    up = (text or "").upper()
+    word = re.search(r"\bNOBORDER\b", up) or re.search(r"\bBORDER\b", up)
+    return label_of(found.get("label", "")) or (word[0] if word else "NOBORDER"), _float(found.get("confidence"))
 
 
 def word_label(text: str | None) -> str | None:
@@ -96,7 +93,7 @@ def word_label(text: str | None) -> str | None:
     for word in ("NOBORDER", "BORDER"):
         if re.search(rf"\b{word}\b", up):
             return word
-    return next((label for label, p in _TOKEN_PHRASES if re.search(p, (text or "").lower())), None)
+    return next((label for p, label in _PHRASES if re.search(p, (text or "").lower())), None)
 
 
 def sentence_word(text: str | None) -> str | None:

@@ -44,19 +44,21 @@ def lines(c) -> Column:
     return F.filter(F.transform(F.split(col(c), "\r?\n"), strip), lambda x: x != "")
 
 
+# fixed values: phrases that mean a label
+_PHRASES = (
+    (r"\b(?:does\s+not|doesn't)\s+(?:start|mark|introduce)\b", NOBORDER),
+    (r"\b(?:not\s+a|no)\s+new\s+segment\b", NOBORDER),
+    (r"\b(?:starts?|marks?|introduces?)\s+(?:a\s+)?new\s+(?:event|scene|segment)\b", BORDER),
+)
+
+
 def label_token(c) -> Column:
     """The label in a noisy answer: a line of the first five that is one, else a whole word, else a phrase."""
     x = col(c)
     first = F.get(F.filter(F.transform(F.slice(lines(c), 1, 5), nullable_label), lambda v: v.isNotNull()), F.lit(0))
     low, up = F.lower(x), F.upper(x)
-    return F.coalesce(
-        first,
-        F.when(up.rlike(r"\bNOBORDER\b"), NOBORDER)
-        .when(up.rlike(r"\bBORDER\b"), BORDER)
-        .when(low.rlike(r"\b(?:does\s+not|doesn't)\s+(?:start|mark|introduce)\b"), NOBORDER)
-        .when(low.rlike(r"\b(?:not\s+a|no)\s+new\s+segment\b"), NOBORDER)
-        .when(low.rlike(r"\b(?:starts?|marks?|introduces?)\s+(?:a\s+)?new\s+(?:event|scene|segment)\b"), BORDER),
-    )
+    tests = [(up.rlike(r"\bNOBORDER\b"), NOBORDER), (up.rlike(r"\bBORDER\b"), BORDER), *((low.rlike(p), label) for p, label in _PHRASES)]
+    return F.coalesce(first, *[F.when(test, label) for test, label in tests])
 
 
 def sentence_token(c) -> Column:
@@ -92,6 +94,7 @@ def first_json_label(c) -> Column:
     return nullable_label(F.get_json_object(F.regexp_extract(col(c), r"(?s)\{[^{}]*\}", 0), "$.label"))
 
 
+# fixed values: what answers look like
 _SURE = ((r"(?i)\b(?:Answer|Final\s*Answer)\s*:\s*BORDER\b", True), (r"(?i)\b(?:Answer|Final\s*Answer)\s*:\s*NOBORDER\b", False))
 _LIST = (
     (r"(?i)\bAnswer\s*:\s*No\b", False),
