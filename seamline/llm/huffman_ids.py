@@ -12,6 +12,7 @@ offset, from which runs of 64 ids decode side by side, each step one table look-
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -228,7 +229,8 @@ def _writer(folder: str, lengths: np.ndarray, dtype: str):
         first = next(rows, None)
         if first is None:
             return
-        uri = f"{folder}/part-{part:06d}.ids"
+        # a name of this attempt: the manifest that Spark keeps names the files of the attempts that it kept
+        uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:12]}.ids"
 
         def all_rows():
             yield first

@@ -81,7 +81,8 @@ def open_fs(uri: str):
 
 
 def write_file(uri: str, chunks) -> int:
-    """Write chunks to ``uri`` under a name of this attempt, then rename: a lost or repeated task leaves whole files only."""
+    """Write chunks to ``uri`` by way of another name, so that a lost task leaves no half file. Callers put a name of
+    their own attempt in ``uri``."""
     fs, path = open_fs(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
     temp, n = f"{path}.{uuid.uuid4().hex}.tmp", 0

@@ -156,7 +156,8 @@ def _writer(folder: str):
         part, number, out, rows, chunks = TaskContext.get().partitionId(), 0, None, [], []
 
         def done():
-            uri = f"{folder}/part-{part:06d}-{number:03d}.warc.zst"
+            # a name of this attempt: the index that Spark keeps names the files of the attempts that it kept
+            uri = f"{folder}/part-{part:06d}-{number:03d}-{uuid.uuid4().hex[:12]}.warc.zst"
             write_file(uri, [*chunks, out.end()])
             cols = list(zip(*rows))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
