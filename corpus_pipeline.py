@@ -9,32 +9,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seamline.llm import credential_automata, hilbert_pack, kneser_ney, language_mixture, simhash_bytes
-from seamline.llm.scratch import stored
+from seamline.llm.scratch import modest_batches, stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters, and texts of which no language makes up half of the words."""
-    return language_mixture.keep_identified(docs)
+    return language_mixture.keep_identified(modest_batches(docs))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts that fail the base rules or leave their language's perplexity band."""
-    return kneser_ney.keep_good(docs)
+    return kneser_ney.keep_good(modest_batches(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group."""
-    return simhash_bytes.keep_one(docs)
+    return simhash_bytes.keep_one(modest_batches(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the text."""
-    return credential_automata.redact(docs)
+    return credential_automata.redact(modest_batches(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs documents along the curve into sequences of 4096 ids."""
-    return hilbert_pack.pack(docs)
+    return hilbert_pack.pack(modest_batches(docs))
 
 
 STAGES = [

@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import worker
 from .ngram_counts import word_counts
 from .scratch import stored
-from .wordbytes import SPACES, Numbering, code_points, gram_hashes, parts, text_slices, texts_of
+from .wordbytes import SPACES, Numbering, code_points, gathered, gram_hashes, parts, text_slices, texts_of
 
 ORDER = 4
 #: keys of the grams of one length and language: at most 2**KEY_BITS, whatever the corpus; more grams share keys
@@ -41,8 +42,8 @@ def _decoded(word: bytes) -> str:
 
 
 def _grams(batches):
-    """(key, gram, n): the longest grams of some different words, in each batch combined."""
-    for b in batches:
+    """(key, gram, n): the longest grams of some different words, combined for many words at a time."""
+    for b in gathered(batches, 20_000):
         lang = np.asarray(b.column(0).to_pylist(), object)
         n = np.asarray(b.column(2))
         for one in dict.fromkeys(lang):
@@ -62,7 +63,7 @@ def _key_of(h: np.ndarray) -> np.ndarray:
 
 def _hashed(batches):
     """Keys of each gram, of its context (all but the last character) and of its suffix (all but the first)."""
-    for b in batches:
+    for b in gathered(batches, 20_000):
         order = np.asarray(b.column(1))
         grams = b.column(2).to_pylist()
         out = np.zeros((3, len(grams)), np.int64)
@@ -198,6 +199,7 @@ def repeated(words: list[bytes]) -> int:
 
 
 _WORKERS: dict[str, dict] = {}
+worker.keeps("kneser_ney", _WORKERS.clear)
 
 
 def _word_table(model: KneserNey, lang: str):
@@ -212,6 +214,7 @@ def _word_table(model: KneserNey, lang: str):
 
 def perplexities(model: KneserNey, langs: list[str | None], texts: list[list[bytes]]) -> np.ndarray:
     """Perplexity per character (and word end) of each list of words; nan without words or model."""
+    worker.begin("kneser_ney")
     out = np.full(len(texts), np.nan)
     by_lang: dict[str, list[int]] = {}
     for k, (lang, words) in enumerate(zip(langs, texts)):

@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import worker
 from .wordbytes import code_points, gram_hashes, text_slices
 
 #: keys of the grams of each length: at most so many counts a language, whatever the corpus; more grams share keys
 KEY_BITS = {1: 14, 2: 16, 3: 18}
-#: different words held by a task while it counts, and kept by a worker while it predicts
-HELD = 300_000
+#: different words held by a task while it counts, kept by a worker while it predicts, and scored at a time
+COUNTED, HELD, SCORED = 60_000, 250_000, 20_000
 #: weight of a shorter gram's estimate, in occurrences
 BACK_OFF = 4.0
 ROUNDS, SETTLED = 30, 1e-4
@@ -44,6 +45,7 @@ def _keys(words: list[str]):
 
 
 def _count_grams(batches):
+    worker.begin("language_mixture")
     held: dict[str, Counter] = {}
     sums: dict[tuple[str, int], np.ndarray] = {}
 
@@ -64,8 +66,8 @@ def _count_grams(batches):
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             held.setdefault(lang, Counter()).update(text.lower().split())
-        if sum(map(len, held.values())) >= HELD:
-            settle()
+            if sum(map(len, held.values())) >= COUNTED:
+                settle()
     settle()
     for (lang, n), total in sums.items():
         used = np.flatnonzero(total)
@@ -154,10 +156,12 @@ def choose(scores: np.ndarray, times: np.ndarray) -> list[tuple[int, float]]:
 
 
 _WORKERS: dict[str, tuple[dict, list]] = {}
+worker.keeps("language_mixture", _WORKERS.clear)
 
 
 def predict_texts(model: MixtureModel, texts: list[str | None]) -> list[tuple[str, float, str]]:
     """(language, its proportion, the chosen set as ``lang:proportion`` joined by commas) of each text."""
+    worker.begin("language_mixture")
     if model.name not in _WORKERS:
         _WORKERS.clear()
         _WORKERS[model.name] = ({}, [np.zeros((0, len(model.langs)), np.float32)])
@@ -173,7 +177,7 @@ def predict_texts(model: MixtureModel, texts: list[str | None]) -> list[tuple[st
         at = iter(range(len(rows[0]), len(rows[0]) + len(kept)))
         number.update((w, next(at) if x else -1) for w, x in zip(new, plain))
         if kept and model.langs:
-            rows[0] = np.concatenate([rows[0], model.word_scores(kept)])
+            rows[0] = np.concatenate([rows[0], *(model.word_scores(kept[k : k + SCORED]) for k in range(0, len(kept), SCORED))])
     out = []
     for ws in split:
         ids = np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))

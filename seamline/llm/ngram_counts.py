@@ -8,22 +8,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import worker
 from .wordbytes import texts_of
 
 #: different words that a task holds before it hands its counts on
-HELD = 400_000
+HELD = 250_000
 
 
 def _counted(lower: bool):
     def run(batches):
+        worker.begin("ngram_counts")
         held: dict[str | None, Counter] = {}
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), texts_of(b)):
                 if text:
                     held.setdefault(key, Counter()).update((text.decode().lower().encode() if lower else text).split())
-            if sum(map(len, held.values())) >= HELD:
-                yield from _batches(held)
-                held = {}
+                if sum(map(len, held.values())) >= HELD:
+                    yield from _batches(held)
+                    held = {}
         yield from _batches(held)
 
     return run

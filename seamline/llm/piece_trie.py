@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import worker
+
 MARK = "▁"
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*")
 #: different words kept by a worker
@@ -231,7 +233,11 @@ class PieceModel:
 _MODELS: dict[str, PieceModel] = {}
 
 
+worker.keeps("piece_trie", _MODELS.clear)
+
+
 def piece_model(path: str) -> PieceModel:
+    worker.begin("piece_trie")
     if path not in _MODELS:
         _MODELS[path] = PieceModel(path)
     return _MODELS[path]

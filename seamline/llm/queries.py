@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import credential_automata, hilbert_pack, html_template, huffman_ids, kneser_ney, language_mixture, matroska, piece_trie, simhash_bytes, warc_zstd
+from .scratch import modest_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return modest_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,19 @@ def _forget(spark: SparkSession, uri: str) -> None:
         shutil.rmtree(local_path(uri), ignore_errors=True)
 
 
+#: rows of texts in an Arrow batch, at most: both sides of each running task hold a few batches
+BATCH_ROWS = 1000
+
+
+def modest_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session set to Arrow batches of ``BATCH_ROWS`` at most. Spark's default is ten times as
+    many, made for rows of a few numbers; it would hold tens of megabytes of texts several times over."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def local_path(uri: str) -> str:
     return "/" + uri.split(":", 1)[1].lstrip("/")
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import stored
-from .wordbytes import texts_of
+from .wordbytes import gathered, texts_of
 
 #: rows of hashes turned to bits at a time
 _ROWS = 1 << 16
@@ -112,7 +112,7 @@ def links_in_lists(group: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np
 def _linker(max_bits: int):
     def run(batches):
         kept_set, kept_post, kept_fp = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in chain(batches, [None]):
+        for b in chain(gathered(batches, 50_000), [None]):
             if b is not None:
                 cols = [np.asarray(c).astype(np.int64) for c in b.columns]
                 s, p, f = (np.concatenate(x) for x in zip((kept_set, kept_post, kept_fp), cols))

@@ -17,6 +17,8 @@ import re
 import numpy as np
 import regex
 
+from . import worker
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: words and pre-tokens kept by a worker
@@ -31,6 +33,7 @@ _CODERS: dict[str, "TokenCoder"] = {}
 
 def coder(path: str) -> "TokenCoder":
     """This process's coder for the tokenizer file."""
+    worker.begin("tokens")
     if path not in _CODERS:
         _CODERS[path] = TokenCoder(path)
     return _CODERS[path]
@@ -49,6 +52,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in shown else next(rest)) for b in range(256)}
 
 
+def _drop() -> None:
+    for c in _CODERS.values():
+        c.words.clear()
+        c.pieces.clear()
+
+
+worker.keeps("tokens", _drop)
+
+
 class _Words(dict):
     def __init__(self, owner: "TokenCoder"):
         self.owner = owner

@@ -15,7 +15,7 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
 
 
 #: bytes of texts that are taken apart at a time
-AT_ONCE = 8 << 20
+AT_ONCE = 2 << 20
 
 
 def parts(batch: pa.RecordBatch):
@@ -25,6 +25,19 @@ def parts(batch: pa.RecordBatch):
         yield batch.slice(k, step)
 
 
+def gathered(batches, rows: int):
+    """The batches put together to ``rows`` or more, for rows of a few bytes."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def text_slices(texts: list) -> list[slice]:
     """Slices of a list of texts (or nulls) of about ``AT_ONCE`` characters each."""
     step = max(1, len(texts) * AT_ONCE // max(1, sum(len(t) for t in texts if t)))
