@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import worker
+from .wordbytes import gathered
 
 MARK = "▁"
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*")
@@ -253,7 +254,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         model = piece_model(path)
-        for b in batches:
+        for b in gathered(batches, TOGETHER):
             texts, ids = b.column(1).to_pylist(), []
             for k in range(0, len(texts), TOGETHER):
                 ids += model.encode_bytes(texts[k : k + TOGETHER])
@@ -288,7 +289,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         model = piece_model(path)
-        for b in batches:
+        for b in gathered(batches, TOGETHER):
             texts, rows = b.column(1).to_pylist(), []
             for k in range(0, len(texts), TOGETHER):
                 some = texts[k : k + TOGETHER]
