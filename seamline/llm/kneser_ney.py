@@ -2,14 +2,16 @@
 
 The words of all texts are counted in Spark per language, then the character n-grams of the different
 words, weighted by the words' counts. From them a modified Kneser-Ney model is built (raw counts for the
-longest grams, numbers of different left neighbours below, three discounts a length) and stored as sorted
-hash arrays. A text's perplexity per character must lie in its language's band, whose ends are set from the
+longest grams, numbers of different left neighbours below, three discounts a length) and stored in the shared
+folder as sorted arrays of full hashes, split by their first bits: the model grows with the corpus, and workers
+map the files that they look into. A text's perplexity per character must lie in its language's band, whose ends are set from the
 perplexities of all texts of the language.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 import pandas as pd
@@ -19,12 +21,14 @@ from pyspark.sql import functions as F
 
 from . import worker
 from .ngram_counts import word_counts
-from .scratch import stored
-from .wordbytes import SPACES, Numbering, code_points, gathered, gram_hashes, parts, text_slices, texts_of
+from .scratch import local_path, new_path, open_fs, stored, write_file
+from .wordbytes import MIX, SPACES, Numbering, code_points, gathered, gram_hashes, mix64, parts, text_slices, texts_of
 
 ORDER = 4
-#: keys of the grams of one length and language: at most 2**KEY_BITS, whatever the corpus; more grams share keys
-KEY_BITS = 20
+#: grams of one length and language in a file of the model, about; more grams make more files
+SEGMENT = 1 << 18
+#: files of the model that a worker keeps mapped, or read where the shared folder isn't mounted
+OPEN_MAPPED, OPEN_READ = 4096, 16
 START, END = "\x02" * (ORDER - 1), "\x03"
 SYMBOLS = "#*$%&|<>"
 #: base rules
@@ -57,31 +61,27 @@ def _grams(batches):
             yield pa.record_batch([pa.array([one] * len(h), pa.string()), pa.array(grams), pa.array(total)], names=["key", "gram", "n"])
 
 
-def _key_of(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+def _ids(h: np.ndarray) -> np.ndarray:
+    return h.view(np.int64)
 
 
 def _hashed(batches):
-    """Keys of each gram, of its context (all but the last character) and of its suffix (all but the first)."""
+    """The full hashes of each gram and of its context (all but the last character; 0 for single characters)."""
     for b in gathered(batches, 20_000):
         order = np.asarray(b.column(1))
         grams = b.column(2).to_pylist()
-        out = np.zeros((3, len(grams)), np.int64)
+        out = np.zeros((2, len(grams)), np.int64)
         for k in np.unique(order):
             of = np.flatnonzero(order == k)
             flat, owner = code_points([grams[i] for i in of], "", "")
-            out[0, of] = _key_of(gram_hashes(flat, owner, int(k))[0])
+            out[0, of] = _ids(gram_hashes(flat, owner, int(k))[0])
             if k > 1:
-                part = _key_of(gram_hashes(flat, owner, int(k) - 1)[0]).reshape(-1, 2)
-                out[1, of], out[2, of] = part[:, 0], part[:, 1]
-        yield pa.record_batch([b.column(0), b.column(1), *map(pa.array, out), b.column(3)], names=["key", "length", "gram", "context", "suffix", "n"])
+                out[1, of] = _ids(gram_hashes(flat, owner, int(k) - 1)[0]).reshape(-1, 2)[:, 0]
+        yield pa.record_batch([b.column(0), b.column(1), *map(pa.array, out), b.column(3)], names=["key", "length", "gram", "context", "n"])
 
 
 def gram_table(docs: DataFrame, key: str = "lang") -> DataFrame:
-    """(key, length, gram, context, suffix, n): adjusted counts of hashed grams of all lengths, per language.
-
-    At most 2**KEY_BITS rows a language and length.
-    """
+    """(key, length, gram, context, n): adjusted counts of all different grams of all lengths, per language."""
     words = word_counts(docs.withColumn("_key", F.coalesce(F.col(key), F.lit(""))), "_key")
     longest = words.mapInArrow(_grams, "key string, gram string, n long").groupBy("key", "gram").agg(F.sum("n").alias("n"))
     level = stored(longest, "grams")
@@ -92,78 +92,170 @@ def gram_table(docs: DataFrame, key: str = "lang") -> DataFrame:
     both = levels[0]
     for x in levels[1:]:
         both = both.unionByName(x)
-    both = both.mapInArrow(_hashed, "key string, length int, gram long, context long, suffix long, n long")
-    return both.groupBy("key", "length", "gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("n").alias("n"))
+    return both.mapInArrow(_hashed, "key string, length int, gram long, context long, n long")
+
+
+def _discounts(seen: list[int]) -> list[float]:
+    """What a count of 0, 1, 2, and 3 or more loses, from how many grams stand 1, 2, 3 and 4 times."""
+    seen = [max(1, x) for x in seen]
+    y = seen[0] / (seen[0] + 2 * seen[1])
+    return [0.0, *(min(k, max(0.05, k - (k + 1) * y * seen[k] / seen[k - 1])) for k in (1, 2, 3))]
+
+
+def _segment_writer(folder: str):
+    """Writes the rows of each segment, which stand together, as one file: sorted hashes, then two columns of values."""
+
+    def run(batches):
+        held, now = [], None
+
+        def out():
+            x = pa.Table.from_batches(held)
+            h = x["hash"].to_numpy().view(np.uint64)
+            at = np.argsort(h)
+            values = [x[c].to_numpy()[at].astype("<f4").tobytes() for c in ("a", "b")]
+            uri = f"{folder}/{uuid.uuid4().hex}"
+            write_file(uri, [h[at].astype("<u8").tobytes(), *values])
+            key, length, kind, segment, bits = now
+            row = {"key": [key], "length": [length], "kind": [kind], "segment": [segment], "bits": [bits], "uri": [uri], "n": [len(h)]}
+            held.clear()
+            return pa.RecordBatch.from_pydict(row, schema=_INDEX)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names = [b.column(i).to_pylist() for i in range(5)]
+            start = 0
+            for k in range(b.num_rows + 1):
+                group = tuple(c[k] for c in names) if k < b.num_rows else None
+                if group is None or group != now:
+                    if k > start:
+                        held.append(b.slice(start, k - start))
+                    start = k
+                    if group is not None:
+                        if held:
+                            yield out()
+                        now = group
+        if held:
+            yield out()
+
+    return run
+
+
+_INDEX = pa.schema([("key", pa.string()), ("length", pa.int32()), ("kind", pa.string()), ("segment", pa.int64()), ("bits", pa.int32()), ("uri", pa.string()), ("n", pa.int64())])
+
+_OPEN: OrderedDict[str, tuple[np.ndarray, ...]] = OrderedDict()
+
+
+def _arrays(uri: str, n: int) -> tuple[np.ndarray, ...]:
+    """(hashes, values, values) of a segment: mapped to memory where the shared folder is mounted, read elsewhere."""
+    if uri in _OPEN:
+        _OPEN.move_to_end(uri)
+        return _OPEN[uri]
+    mounted = uri.startswith("file:")
+    if mounted:
+        raw = np.memmap(local_path(uri), np.uint8, "r")
+    else:
+        fs, path = open_fs(uri)
+        with fs.open_input_file(path) as f:
+            raw = np.frombuffer(f.read(), np.uint8)
+    while len(_OPEN) >= (OPEN_MAPPED if mounted else OPEN_READ):
+        _OPEN.popitem(last=False)
+    _OPEN[uri] = raw[: 8 * n].view("<u8"), raw[8 * n : 12 * n].view("<f4"), raw[12 * n : 16 * n].view("<f4")
+    return _OPEN[uri]
+
+
+class Hashes:
+    """Values of hashes, in sorted segments in the shared folder: a hash's first bits name its segment."""
+
+    def __init__(self, bits: int, segments: dict[int, tuple[str, int]]):
+        self.bits, self.segments = bits, segments
+
+    def __len__(self) -> int:
+        return sum(n for _, n in self.segments.values())
+
+    def values(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both values of each hash, 0 where it is absent."""
+        one, place = np.unique(wanted, return_inverse=True)
+        out = np.zeros((2, len(one)))
+        of, starts = np.unique(one >> np.uint64(64 - self.bits), return_index=True)
+        for s, i, j in zip(of.tolist(), starts, [*starts[1:], len(one)]):
+            if s in self.segments:
+                h, a, b = _arrays(*self.segments[s])
+                at = np.minimum(np.searchsorted(h, one[i:j]), len(h) - 1)
+                hit = h[at] == one[i:j]
+                out[0, i:j], out[1, i:j] = np.where(hit, a[at], 0), np.where(hit, b[at], 0)
+        return out[0][place], out[1][place]
+
+
+def _hash_at(flat: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
+    """The hash, as of ``gram_hashes``, of the gram that ends at each of some positions."""
+    h = np.full(len(at), order, np.uint64)
+    for k in range(order):
+        h = h * MIX + flat[at - (order - 1 - k)] + np.uint64(1)
+    return mix64(h)
 
 
 class KneserNey:
-    """Per language and length: sorted keys of grams with log-probabilities, sorted keys of contexts with the
-    log-weight of the shorter estimate."""
+    """Per language: (sorted hashes of the characters, their log-probabilities, that of any other), and for each
+    longer length the counts less discount of its grams, the totals of its contexts and their weights of the
+    shorter estimate. Those grow with the corpus and stay in the shared folder."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, singles: pa.Table, index: pa.Table):
         self.name = uuid.uuid4().hex
-        keys = rows["key"].combine_chunks().dictionary_encode()
-        code, columns = np.asarray(keys.indices), [rows[c].to_numpy() for c in ("length", "gram", "context", "suffix", "n")]
-        self.tables = {k: self._one([c[code == i] for c in columns]) for i, k in enumerate(keys.dictionary.to_pylist())}
+        segments: dict[tuple[str, int, str], Hashes] = {}
+        for r in index.to_pylist():
+            segments.setdefault((r["key"], r["length"], r["kind"]), Hashes(r["bits"], {})).segments[r["segment"]] = r["uri"], r["n"]
+        keys = singles["key"].combine_chunks().dictionary_encode()
+        code, gram, n = np.asarray(keys.indices), singles["gram"].to_numpy(), singles["n"].to_numpy()
+        self.tables: dict[str, list[tuple]] = {}
+        for i, key in enumerate(keys.dictionary.to_pylist()):
+            longer = [(segments[key, k, "gram"], segments[key, k, "context"]) for k in range(2, ORDER + 1)]
+            self.tables[key] = [self._single(gram[code == i].view(np.uint64), n[code == i]), *longer]
 
     @staticmethod
-    def _one(columns: list[np.ndarray]) -> list[tuple[np.ndarray, ...]]:
-        out, shorter = [], None
-        for length in range(1, ORDER + 1):
-            of = np.flatnonzero(columns[0] == length)
-            of = of[np.argsort(columns[1][of])]
-            gram, context, suffix, n = (c[of] for c in columns[1:])
-            seen = [max(1, int((n == k).sum())) for k in range(1, 5)]
-            y = seen[0] / (seen[0] + 2 * seen[1])
-            cut = np.array([0.0, *(min(k, max(0.05, k - (k + 1) * y * seen[k] / seen[k - 1])) for k in (1, 2, 3))])
-            size = 1 << KEY_BITS
-            total = np.bincount(context, weights=n, minlength=size)
-            held = np.bincount(context, weights=cut[np.minimum(n, 3)], minlength=size)
-            used = np.flatnonzero(total)
-            back = np.zeros(size)
-            back[used] = held[used] / total[used]
-            if length == 1:
-                base = np.full(len(gram), 1 / (len(gram) + 1))
-                unseen = 1 / (len(gram) + 1)
-                p = (n - cut[np.minimum(n, 3)]) / total[context] + back[context] * base
-                rest = float(np.log(max(back[0], 1e-9) * unseen))
-            else:
-                p = (n - cut[np.minimum(n, 3)]) / total[context] + back[context] * shorter[suffix]
-                rest = 0.0
-            shorter = np.full(size, 1e-12)
-            shorter[gram] = p
-            with np.errstate(divide="ignore"):
-                out.append((gram.astype(np.uint32), np.log(p).astype(np.float32), used.astype(np.uint32), np.log(np.maximum(back[used], 1e-9)).astype(np.float32), rest))
-        return out
+    def _single(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        at = np.argsort(gram)
+        gram, n = gram[at], n[at]
+        cut = np.array(_discounts([int((n == k).sum()) for k in range(1, 5)]))[np.minimum(n, 3)]
+        rest = max(cut.sum() / n.sum(), 1e-9) / (len(gram) + 1)
+        return gram, np.log((n - cut) / n.sum() + rest), float(np.log(rest))
 
     def word_scores(self, lang: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(log-probability, characters with the end mark) of each word."""
         flat, owner = code_points(words, START, END)
-        tables = self.tables[lang]
+        (singles, log_p, rest), *longer = self.tables[lang]
         counts = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        ends = gram_hashes(flat, owner, ORDER)[1]
-        log_p, open_ = np.zeros(len(ends)), np.ones(len(ends), bool)
-        for length in range(ORDER, 0, -1):
-            grams, p, contexts, back, rest = tables[length - 1]
-            h, own_ends = gram_hashes(flat, owner, length)
-            key = _key_of(h)[np.searchsorted(own_ends, ends)].astype(np.uint32)
-            at = np.minimum(np.searchsorted(grams, key), len(grams) - 1)
-            hit = open_ & (grams[at] == key)
-            log_p[hit] += p[at[hit]]
-            open_ &= ~hit
-            if length == 1:
-                log_p[open_] += rest
-            elif open_.any():
-                before, before_ends = gram_hashes(flat, owner, length - 1)
-                context = _key_of(before)[np.searchsorted(before_ends, ends[open_] - 1)].astype(np.uint32)
-                at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-                log_p[open_] += np.where(contexts[at] == context, back[at], 0.0)
-        return np.bincount(owner[ends], weights=log_p, minlength=len(words)), counts
+        h, ends = gram_hashes(flat, owner, ORDER)
+        _, first, place = np.unique(h, return_index=True, return_inverse=True)
+        last = ends[first]
+        x = _hash_at(flat, last, 1)
+        at = np.minimum(np.searchsorted(singles, x), len(singles) - 1)
+        p = np.exp(np.where(singles[at] == x, log_p[at], rest))
+        for length, (grams, contexts) in enumerate(longer, 2):
+            total, back = contexts.values(_hash_at(flat, last - 1, length - 1))
+            n, _ = grams.values(_hash_at(flat, last, length))
+            known = total > 0
+            p[known] = n[known] / total[known] + np.maximum(back[known], 1e-9) * p[known]
+        return np.bincount(owner[ends], weights=np.log(p)[place], minlength=len(words)), counts
 
 
 def train(docs: DataFrame, key: str = "lang") -> KneserNey:
-    """The model of all texts; its bounded table of counts comes to the driver."""
-    return KneserNey(gram_table(docs, key).toArrow())
+    """The model of all texts. To the driver come the counts of counts, single characters, and a row a segment."""
+    spark = docs.sparkSession
+    table = stored(gram_table(docs, key), "levels")
+    times = [F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in range(1, 5)]
+    stats = table.where("length > 1").groupBy("key", "length").agg(F.count(F.lit(1)).alias("rows"), *times).collect()
+    rows = [(r["key"], r["length"], max(1, (r["rows"] // SEGMENT).bit_length()), *_discounts([r[f"n{k}"] for k in range(1, 5)])[1:]) for r in stats]
+    known = spark.createDataFrame(rows, "key string, length int, bits int, cut1 double, cut2 double, cut3 double")
+    cut = F.when(F.col("n") == 1, F.col("cut1")).when(F.col("n") == 2, F.col("cut2")).otherwise(F.col("cut3"))
+    x = table.where("length > 1").join(known, ["key", "length"]).withColumn("cut", cut)
+    grams = x.select("key", "length", F.lit("gram").alias("kind"), "bits", F.col("gram").alias("hash"), (F.col("n") - F.col("cut")).alias("a"), F.lit(0.0).alias("b"))
+    sums = x.groupBy("key", "length", "bits", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("held"))
+    contexts = sums.select("key", "length", F.lit("context").alias("kind"), "bits", F.col("context").alias("hash"), F.col("total").cast("double").alias("a"), (F.col("held") / F.col("total")).alias("b"))
+    both = grams.unionByName(contexts).withColumn("segment", F.expr("shiftrightunsigned(hash, 64 - bits)"))
+    both = both.select("key", "length", "kind", "segment", "bits", "hash", "a", "b").repartition("key", "length", "kind", "segment")
+    written = both.sortWithinPartitions("key", "length", "kind", "segment").mapInArrow(_segment_writer(new_path(spark, "kneser_ney")), "key string, length int, kind string, segment long, bits int, uri string, n long")
+    return KneserNey(table.where("length = 1").select("key", "gram", "n").toArrow(), written.toArrow())
 
 
 def base_values(text: bytes | None) -> tuple[list[bytes], int, int, int, int, int]:
@@ -199,7 +291,14 @@ def repeated(words: list[bytes]) -> int:
 
 
 _WORKERS: dict[str, dict] = {}
-worker.keeps("kneser_ney", _WORKERS.clear)
+
+
+def _drop() -> None:
+    _WORKERS.clear()
+    _OPEN.clear()
+
+
+worker.keeps("kneser_ney", _drop)
 
 
 def _word_table(model: KneserNey, lang: str):

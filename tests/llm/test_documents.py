@@ -424,6 +424,53 @@ def test_junk_is_less_likely(docs):
     assert junk > 2 * clean
 
 
+def plain_kneser_ney(words):
+    """Log-probability of a word by dictionaries of all grams of up to four characters."""
+    counts = {4: Counter()}
+    for w, n in words.items():
+        x = "\x02" * 3 + w + "\x03"
+        for k in range(len(x) - 3):
+            counts[4][x[k : k + 4]] += n
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cuts, total, held = {}, Counter(), Counter()
+    for k, grams in counts.items():
+        seen = [max(1, sum(n == j for n in grams.values())) for j in (1, 2, 3, 4)]
+        y = seen[0] / (seen[0] + 2 * seen[1])
+        cuts[k] = [0, *(min(j, max(0.05, j - (j + 1) * y * seen[j] / seen[j - 1])) for j in (1, 2, 3))]
+        for g, n in grams.items():
+            total[k, g[:-1]] += n
+            held[k, g[:-1]] += cuts[k][min(n, 3)]
+
+    def score(w):
+        x, out = "\x02" * 3 + w + "\x03", 0.0
+        for end in range(4, len(x) + 1):
+            p = 1 / (len(counts[1]) + 1)
+            for k in (1, 2, 3, 4):
+                g = x[end - k : end]
+                if t := total[k, g[:-1]]:
+                    n = counts[k][g]
+                    p = (n - cuts[k][min(n, 3)]) / t + max(held[k, g[:-1]] / t, 1e-9) * p
+            out += np.log(p)
+        return out
+
+    return score
+
+
+def test_model_grows_with_the_corpus(spark, monkeypatch):
+    """Each different gram is kept apart, and words score as with dictionaries of all grams."""
+    monkeypatch.setattr(kneser_ney, "SEGMENT", 1 << 13)
+    rng = np.random.default_rng(1)
+    words = ["".join(map(chr, r)) for r in rng.integers(0x4E00, 0x4E00 + 3000, (40_000, 5))]
+    rows = [(k, " ".join(words[k::500]), "zh", "x", 1) for k in range(500)] + [(900, "a few words of another language", "en", "x", 1)]
+    model = kneser_ney.train(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(8))
+    grams = {x[k : k + 4] for w in words for x in ["\x02" * 3 + w + "\x03"] for k in range(len(w) + 1)}
+    assert len(model.tables["zh"][3][0]) == len(grams) and len(model.tables["zh"][3][0].segments) > 8
+    some = words[:50] + [w[::-1] for w in words[:50]] + ["unseen", "\u4e00"]
+    plain = plain_kneser_ney(Counter(words))
+    assert np.allclose(model.word_scores("zh", some)[0], [plain(w) for w in some], rtol=1e-4)
+
+
 # -- the pipeline
 
 
