@@ -13,7 +13,7 @@ from seamline.llm.scratch import modest_batches, stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters, and texts of which no language makes up half of the words."""
+    """Rejects texts without letters; texts in several languages stay, whatever the split."""
     return language_mixture.keep_identified(modest_batches(docs))
 
 

@@ -215,8 +215,7 @@ def identify(docs: DataFrame, model: MixtureModel | None = None) -> DataFrame:
     return x.select("doc_id", held.alias("held_out"), "language.lang_pred", "language.score", "language.languages")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` whose language is known and makes up at least ``least`` of the words."""
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose language is known, whatever the split between the languages of a text."""
     x = with_language(docs, learn(docs))
-    found = F.col("_seamline_language")
-    return x.where((found["lang_pred"] != UNKNOWN) & (found["score"] >= least)).drop("_seamline_language")
+    return x.where(F.col("_seamline_language")["lang_pred"] != UNKNOWN).drop("_seamline_language")

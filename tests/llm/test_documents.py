@@ -371,6 +371,19 @@ def test_mixture_finds_proportions():
     assert [k for k, _ in chosen] == [1, 0] and abs(chosen[0][1] - 0.7) < 0.01
 
 
+def test_texts_in_several_languages_stay(spark):
+    from tests.llm.conftest import MOTS, WORDS, prose
+
+    worte = "und der ich nicht schön wäre zwölf über weiß kommt jetzt straße".split()
+    rows = [(100 * j + k, prose(60, k, words), lang, "x", 1) for j, (lang, words) in enumerate((("en", WORDS), ("fr", MOTS), ("de", worte))) for k in range(20)]
+    third = [prose(40, 7, words) for words in (WORDS, MOTS, worte)]
+    rows += [(900, " ".join(third), None, "x", 1), (901, "12 34 ### !!", None, "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = language_mixture.identify(docs).where("doc_id = 900").first()
+    assert mixed.score < 0.5 and mixed.languages.count(":") == 3
+    assert {r.doc_id for r in language_mixture.keep_identified(docs).collect()} == {r[0] for r in rows} - {901}
+
+
 def test_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     x = language_mixture.identify(d).where("held_out").join(d.select("doc_id", "lang"), "doc_id").collect()
