@@ -35,8 +35,11 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, REPEATED_PERCENT = 50, 50
 #: the band: so many spreads (from the median to the outer percentile) below and above the median, in logarithms
 LOW_SPREADS, HIGH_SPREADS, LOW_CUT, HIGH_CUT = 5.0, 6.0, 0.25, 0.75
-#: a class of length with fewer texts has the band of its whole language; a language with fewer has none, and no verdict
-LEAST_TEXTS = 100
+#: a class of length with fewer texts has the band of its whole language; a language with fewer has spreads shrunk
+#: towards those of all languages together, and these, in so small a table, towards PRIOR
+LEAST_TEXTS, PRIOR = 100, 0.05
+#: room for rounding where all texts are alike
+ROUNDING = 1e-6
 #: different words scored and kept by a worker, and those scored at a time
 HELD, SCORED = 300_000, 30_000
 
@@ -362,9 +365,16 @@ def bands(scored: DataFrame) -> DataFrame:
     the whole language, from the texts that pass the base rules."""
     x = scored.where("not base_failed and perplexity is not null").select("lang", _size("n_words").alias("size"), F.log("perplexity").alias("x"))
     x = x.withColumn("size", F.explode(F.array("size", F.lit(-1))))
-    q = x.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", [LOW_CUT, 0.5, HIGH_CUT], 10_000).alias("q")).where(F.col("n") >= LEAST_TEXTS)
+    q = x.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", [LOW_CUT, 0.5, HIGH_CUT], 10_000).alias("q"))
+    q = q.where((F.col("n") >= LEAST_TEXTS) | (F.col("size") == -1))
     low, mid, high = (F.col("q")[k] for k in range(3))
-    return q.select("lang", "size", F.exp(mid - LOW_SPREADS * (mid - low)).alias("lowest"), F.exp(mid + HIGH_SPREADS * (high - mid)).alias("highest"))
+    q = stored(q.select("lang", "size", "n", mid.alias("mid"), (mid - low).alias("below"), (high - mid).alias("above")), "quantiles")
+    pooled = [((F.sum(F.col("n") * F.col(c)) + LEAST_TEXTS * PRIOR) / (F.sum("n") + LEAST_TEXTS)).alias(f"{c}_all") for c in ("below", "above")]
+    q = q.crossJoin(q.where("size = -1").agg(*pooled))
+    own = F.least(F.lit(1.0), F.col("n") / LEAST_TEXTS)
+    below, above = (F.greatest(own * F.col(c) + (1 - own) * F.col(f"{c}_all"), F.lit(ROUNDING)) for c in ("below", "above"))
+    mid = F.col("mid")
+    return q.select("lang", "size", F.exp(mid - LOW_SPREADS * below).alias("lowest"), F.exp(mid + HIGH_SPREADS * above).alias("highest"))
 
 
 def _size(n_words: str):
@@ -380,7 +390,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
     One row per row of ``docs``. A null text has no words and so fails the base rules. Documents without a
     language share the model and band of the language ''. Languages with fewer than ``LEAST_TEXTS`` texts
-    have no band: there only the base rules reject. Ends of a band belong to it. Columns besides doc_id, text
+    have a band around their own median whose spreads are shrunk towards those of all languages. Ends of a band belong to it. Columns besides doc_id, text
     and lang are ignored; an empty table gives an empty one.
     """
     scored = stored(scores(docs, train(docs)), "scores")

@@ -484,6 +484,22 @@ def test_model_grows_with_the_corpus(spark, monkeypatch):
     assert np.allclose(model.word_scores("zh", some)[0], [plain(w) for w in some], rtol=1e-4)
 
 
+def test_small_languages_have_bands(spark):
+    rng = random.Random(3)
+    junk = " ".join("".join(rng.choice("QXZJKVWYPB%$#") for _ in range(8)) for _ in range(80))
+    from tests.llm.conftest import MOTS, prose
+
+    rows = [(k, prose(80, k), "en", "x", 1) for k in range(150)] + [(200 + k, prose(80, k, MOTS), "fr", "x", 1) for k in range(20)]
+    rows += [(300, junk, "fr", "x", 1), (301, prose(80, 5, MOTS), "xx", "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {r[0] for r in rows} - {300}
+    got = {r.doc_id: r for r in kneser_ney.judge(df).collect()}
+    passed = {k for k in want if not got[k].base_failed}
+    assert 301 in passed and sum(200 <= k < 300 for k in passed) > 10 and not got[300].base_failed
+    assert not got[300].kept and all(got[k].kept for k in passed if k >= 200)
+    assert {r.doc_id for r in kneser_ney.keep_good(df).collect()} == {k for k, r in got.items() if r.kept}
+
+
 # -- the pipeline
 
 
