@@ -1,19 +1,21 @@
 """SimHash near-duplicates by an inverted index of positional bytes with count filtering.
 
-A fingerprint is eight positional bytes. Two fingerprints at ``max_bits`` = 2 or fewer differing bits differ
-in at most two bytes, so they share at least six positional bytes: that is the guaranteed minimum of
-matches. Single bytes would be posting lists of a 256th of all rows; the index therefore posts each
-fingerprint under every set of six positions with their six bytes (28 posts), and a pair meets in a list
-exactly if its tally of shared positional bytes is six or more. In a list only two bytes are free, so it
-holds at most 65,536 different fingerprints whatever the input: the bound on what one task gathers at once.
-Pairs that meet are tallied and verified on all 64 bits.
+A fingerprint is eight positional bytes. Two fingerprints at ``MAX_BITS`` = 2 or fewer differing bits differ
+in at most two bytes, so they share at least six positional bytes: the guaranteed minimum of matches. The
+index posts each different fingerprint under its positional bytes; of every pair that meets in a posting list
+the shared positional bytes are tallied, pairs with six or more stay, and those are verified on all 64 bits.
+
+Since a pair with six shared positions has one among any three, lists of three positions find it. A list
+holds about a 256th of the fingerprints, so longer lists are split by a second positional byte, a third, and
+so on, always among the positions where a pair can have its next shared byte.
 
 Only different fingerprints enter the index; documents with equal ones are a class from the start.
 """
 
 from __future__ import annotations
 
-from itertools import chain, combinations, repeat
+from functools import reduce
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -23,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import stored
-from .wordbytes import gathered, texts_of
+from .scratch import drop_stored, stored
+from .wordbytes import texts_of
 
 #: rows of hashes turned to bits at a time
 _ROWS = 1 << 16
-#: lists up to this length compare all their pairs; longer ones look neighbours up
-_SMALL = 16
+#: differing bits of a link, at most, and the positional bytes that it shares at least
+MAX_BITS, LEAST_SHARED = 2, 6
+#: fingerprints of a posting list, at most; longer lists are split by a further byte
+BLOCK = 64
 
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> bytes:
@@ -55,115 +59,113 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _masks(max_bits: int) -> list[int]:
-    """For each set of 8 - max_bits byte positions, the mask that keeps them."""
-    out = []
-    for free in combinations(range(8), max_bits):
-        m = sum(0xFF << 8 * p for p in range(8) if p not in free)
-        out.append(m - (1 << 64) if m >> 63 else m)
-    return out
-
-
-def posts(fps: DataFrame, max_bits: int = 2) -> DataFrame:
-    """(position_set, post, fp): every fingerprint under each set of positional bytes."""
-    masks = F.array(*[F.lit(m) for m in _masks(max_bits)])
-    x = fps.select("fp", F.posexplode(masks).alias("position_set", "mask"))
-    return x.select("position_set", F.col("fp").bitwiseAND(F.col("mask")).alias("post"), "fp")
-
-
-def _long_list(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links in one long posting list, by looking up all words at ``max_bits`` or fewer bits within the free bytes."""
-    fp = np.unique(fp)
-    differ = int(np.bitwise_or.reduce(fp ^ fp[0]))
-    bits = [1 << k for k in range(64) if differ >> k & 1]
-    us, vs = [], []
-    for n in range(1, max_bits + 1):
-        for c in combinations(bits, n):
-            other = fp ^ np.uint64(sum(c))
-            at = np.minimum(np.searchsorted(fp, other), len(fp) - 1)
-            found = (fp[at] == other) & (fp < other)
-            us.append(fp[found])
-            vs.append(other[found])
-    return np.concatenate(us), np.concatenate(vs)
-
-
-def links_in_lists(group: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links among rows of equal ``group`` (rows of a group stand together)."""
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    sizes = np.diff(np.r_[starts, len(group)])
-    us, vs = [], []
-    small = np.repeat(sizes <= _SMALL, sizes)
-    for d in range(1, _SMALL):
-        i = np.flatnonzero(small[:-d] & (group[d:] == group[:-d])) if len(group) > d else np.zeros(0, np.int64)
-        if not len(i):
-            break
-        differ = fp[i] ^ fp[i + d]
-        tally = (np.frombuffer(differ.tobytes(), np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-        i = i[(tally >= 8 - max_bits) & (differ != 0) & (np.bitwise_count(differ) <= max_bits)]
-        us.append(fp[i])
-        vs.append(fp[i + d])
-    for s, n in zip(starts[sizes > _SMALL], sizes[sizes > _SMALL]):
-        u, v = _long_list(fp[s : s + n], max_bits)
-        us.append(u)
-        vs.append(v)
-    return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-
-
-def _linker(max_bits: int):
-    def run(batches):
-        kept_set, kept_post, kept_fp = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in chain(gathered(batches, 50_000), [None]):
-            if b is not None:
-                cols = [np.asarray(c).astype(np.int64) for c in b.columns]
-                s, p, f = (np.concatenate(x) for x in zip((kept_set, kept_post, kept_fp), cols))
-                if not len(s):
-                    continue
-                # the last list may go on in the next batch
-                last = np.flatnonzero((s != s[-1]) | (p != p[-1]))
-                cut = int(last[-1]) + 1 if len(last) else 0
-            else:
-                s, p, f, cut = kept_set, kept_post, kept_fp, len(kept_set)
-            kept_set, kept_post, kept_fp = s[cut:], p[cut:], f[cut:]
-            if cut:
-                s, p, f = s[:cut], p[:cut], f[:cut]
-                group = np.cumsum(np.r_[0, (s[1:] != s[:-1]) | (p[1:] != p[:-1])])
-                u, v = links_in_lists(group, f.view(np.uint64), max_bits)
-                yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
-    return run
-
-
-def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
-    """(u, v) of different fingerprints that differ in at most ``max_bits`` bits; a link may be met more than once."""
-    lists = posts(fps.select("fp").distinct(), max_bits)
-    lists = lists.repartition("position_set", "post").sortWithinPartitions("position_set", "post")
-    return lists.mapInArrow(_linker(max_bits), "u long, v long")
-
-
-def near_duplicates(docs: DataFrame, max_bits: int = 2) -> DataFrame:
+def _mask(positions) -> int:
+    return sum(0xFF << 8 * p for p in positions)
+
+
+def _signed(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
+
+
+def _first_sets(depth: int) -> list[int]:
+    """Masks of the sets that the first ``depth`` shared positions of two fingerprints can be: if they share
+    ``LEAST_SHARED`` or more, the k-th of these is at most k + 8 - LEAST_SHARED."""
+    return [_mask(c) for c in combinations(range(8), depth) if all(p <= k + 8 - LEAST_SHARED for k, p in enumerate(c))]
+
+
+def _finer(mask: int) -> list[int]:
+    """Masks that split a list of six bytes whose other two are A and B: B besides, or A besides but for one bit.
+
+    Two fingerprints of the list that link share B or differ in one bit of A at most, so they meet again. A new
+    list has at most 512 fingerprints, whatever the input."""
+    a, b = (p for p in range(8) if not mask >> 8 * p & 0xFF)
+    return [mask | _mask([b]), *((mask | _mask([a])) ^ 1 << 8 * a + k for k in range(8))]
+
+
+def _posted(fps: DataFrame, masks) -> DataFrame:
+    """(mask, post, fp): every fingerprint under each mask, with the bytes that the mask keeps."""
+    x = fps.select("fp", F.explode(masks).alias("mask"))
+    return x.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("post"), "fp")
+
+
+def _literals(masks: list[int]):
+    return F.array(*[F.lit(_signed(m)) for m in masks])
+
+
+def _tally(a, b):
+    """How many positional bytes two fingerprints share."""
+    differ = a.bitwiseXOR(b)
+    return sum(F.when(differ.bitwiseAND(F.lit(_signed(_mask([p])))) == 0, 1).otherwise(0) for p in range(8))
+
+
+def _pairs(lists: DataFrame) -> DataFrame:
+    """Links among the fingerprints of each list: tallied, kept from ``LEAST_SHARED`` shared bytes up, verified on all bits."""
+    other = lists.select(F.col("mask").alias("mask_v"), F.col("post").alias("post_v"), F.col("fp").alias("v"))
+    x = lists.withColumnRenamed("fp", "u").join(other, (F.col("mask") == F.col("mask_v")) & (F.col("post") == F.col("post_v")) & (F.col("u") < F.col("v")))
+    x = x.select("u", "v", _tally(F.col("u"), F.col("v")).alias("tally")).where(F.col("tally") >= LEAST_SHARED)
+    return x.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS).select("u", "v")
+
+
+def _first_depth(n: int) -> int:
+    """The least depth at which lists of evenly spread bytes would fit a block."""
+    depth = 1
+    while depth < LEAST_SHARED and n > BLOCK << 8 * depth:
+        depth += 1
+    return depth
+
+
+def links(fps: DataFrame, depth: int | None = None) -> DataFrame:
+    """(u, v), u < v: all pairs of different fingerprints that differ in at most ``MAX_BITS`` bits, each at least once.
+
+    The index starts with lists of ``depth`` bytes, as short as even bytes would make them. Fingerprints of lists
+    that are longer than ``BLOCK`` all the same are posted again under one more byte, up to ``LEAST_SHARED``, and
+    then by bits: the same links at any depth, and no list that grows with the input.
+    """
+    every = stored(fps.select("fp").distinct(), "different")
+    depth = depth or _first_depth(every.count())
+    found = []
+    while True:
+        lists = _posted(every, _literals(_first_sets(depth)))
+        long = stored(lists.groupBy("mask", "post").count().where(F.col("count") > BLOCK).select("mask", "post"), "long_lists")
+        if long.isEmpty():
+            return reduce(DataFrame.unionByName, [*found, _pairs(lists)])
+        found.append(_pairs(lists.join(long, ["mask", "post"], "left_anti")))
+        lists = lists.join(long, ["mask", "post"], "left_semi")
+        if depth == LEAST_SHARED:
+            finer = F.create_map(*[x for m in _first_sets(depth) for x in (F.lit(_signed(m)), _literals(_finer(m)))])
+            again = lists.select("fp", F.explode(finer[F.col("mask")]).alias("mask")).distinct()
+            lists = again.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("post"), "fp")
+            return reduce(DataFrame.unionByName, [*found, _pairs(lists)])
+        every, depth = stored(lists.select("fp").distinct(), "in_long_lists"), depth + 1
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs``; component_id is the smallest doc_id reachable by links.
 
     Nulls: a null text counts as empty; a null doc_id is never the smallest unless its whole component has
     none else. Repeated rows each keep their row. An empty table gives an empty one. Documents without a word
-    have the fingerprint zero and link like any other. Columns besides doc_id and text are ignored.
+    have the fingerprint zero and link like any other. A bit that exactly half of the shingles set is 0. Texts
+    of any length are taken whole, their bits summed in slices. Columns besides doc_id and text are ignored.
     """
     own = stored(fingerprints(docs), "fingerprints")
     first = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    label = components(links(first, max_bits))
+    label = components(links(first))
     near = label.join(first, label["node"] == first["fp"]).select("node", "label", "first_id")
     least = stored(near.groupBy("label").agg(F.min("first_id").alias("least_id")), "least")
     near = label.join(least, "label").select("node", "least_id")
-    found = first.join(near, first["fp"] == near["node"], "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return own.join(stored(found, "found"), "fp", "left").select("doc_id", "fp", "component_id")
+    found = stored(first.join(near, first["fp"] == near["node"], "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")), "found")
+    for used in (first, label, least):
+        drop_stored(used)
+    return own.join(found, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, max_bits: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the row with the component's smallest doc_id.
 
     Of repeated rows with that doc_id one stays. Where a whole component has no doc_id, one row of each of
     its fingerprints stays. All columns are kept.
     """
-    found = near_duplicates(docs, max_bits)
+    found = near_duplicates(docs)
     first = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct(), "kept")
     ids = first.where("doc_id is not null").select("doc_id").distinct()
     named = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -80,21 +80,38 @@ def test_near_duplicates(docs, texts):
     assert got == want
 
 
-def test_links_in_lists_find_every_pair():
+def fingerprint_sets():
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(40)]
-    fps = {b for b in base} | {b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base for _ in range(30)}
-    want = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2}
-    masks = [m % 2**64 for m in simhash_bytes._masks(2)]
-    got = set()
-    for m in masks:
-        lists = defaultdict(list)
-        for f in fps:
-            lists[f & m].append(f)
-        group = np.repeat(np.arange(len(lists)), [len(x) for x in lists.values()])
-        u, v = simhash_bytes.links_in_lists(group, np.array([f for x in lists.values() for f in x], np.uint64), 2)
-        got |= {(min(a, b), max(a, b)) for a, b in zip(u.tolist(), v.tolist())}
-    assert got == want
+    near = {b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base for _ in range(20)}
+    two_bytes = {base[0] & ~(0xFFFF << 24) | k * 37 % 65536 << 24 for k in range(300)}
+    apart = {base[1] & ~(0xFF00FF << 8) | (k % 256) << 8 | (k * 11 % 256) << 24 for k in range(200)}
+    return {*base, *near, *two_bytes, *apart, 0, 1, 2**64 - 1}
+
+
+@pytest.mark.parametrize("depth", [None, 3, 6])
+def test_links_are_all_pairs(spark, depth):
+    fps = fingerprint_sets()
+    signed = [(f - 2**64 if f >> 63 else f,) for f in fps]
+    got = {(r.u % 2**64, r.v % 2**64) for r in simhash_bytes.links(spark.createDataFrame(signed, "fp long"), depth).collect()}
+    assert {frozenset(p) for p in got} == {frozenset((a, b)) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2}
+
+
+def test_lists_by_bits_are_short_and_meet_each_link():
+    mask = simhash_bytes._mask([0, 2, 3, 4, 6, 7])
+    finer = simhash_bytes._finer(mask)
+    assert len(finer) == 9 and all(m & mask == mask and 64 - m.bit_count() <= 9 for m in finer)
+    free = [k for k in range(64) if not mask >> k & 1]
+    for a in free:
+        for b in free:
+            differ = 1 << a | 1 << b
+            assert any(not differ & m for m in finer)
+
+
+def test_tally_is_a_step_of_the_plan(spark):
+    x = simhash_bytes.links(spark.range(500).selectExpr("xxhash64(id) fp"), 1)
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_count" in plan and ">= 6" in plan
 
 
 def test_components_of_chains_and_stars(spark):
