@@ -1,31 +1,37 @@
 """Main text of HTML pages by site template removal.
 
-Every element's subtree is hashed from its tags, names and text; Spark counts per host on how many pages each
-hash stands, and subtrees that recur on many pages of their host are deleted: menus, notices, footers and
-whatever else a site repeats. Since a page of a small site has nothing to recur with, elements that the
-markup itself names as something other than the article (``nav``, ``form``, classes such as ``cookie``) are
-deleted too. Paragraphs of the article proper are never taken for template, however many copies of it exist.
+Every element's subtree is hashed from its tags, names and text, and Spark counts on how many different pages
+of a host it stands, and beside how many different stories: what the page's longest blocks outside of it
+say. Subtrees that recur beside many stories of their host, in the article and outside, are template and
+deleted: menus, notices, footers and whatever else a site repeats. Copies and near copies of a page make no
+template, since their parts recur beside the same story.
+
+Elements whose content changes from page to page, such as comments, recur by their names alone: one that
+is named as something other than the article goes if so named an element stands on many pages of the host. On
+hosts with too few pages for anything to recur, the name decides. What HTML itself declares not to be the
+article (``nav``, ``form``, ``script``, hidden elements) always goes.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from . import sorted_store, worker
+from .wordbytes import AT_ONCE, mix64
 
-#: a subtree is template if it stands on so many pages of its host, and on this share of them
-LEAST_PAGES, LEAST_SHARE = 5, 0.005
-#: (host, subtree) pairs that a task holds before it hands its counts on
+#: different stories beside which a subtree of a host's template stands, at least
+LEAST_STORIES = 10
+#: words that a paragraph, list or table must have to be told from others by its text
+LEAST_WORDS = 5
+#: what a task has lately handed on, and hands on once, at most
 HELD = 500_000
-#: if deleting template leaves less than this share of a page without marked article, the page is a copy and keeps it
-LEAST_LEFT = 0.25
 
 # fixed values: kinds of HTML elements
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,11 +53,14 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table th
 NEVER = frozenset("script style noscript template svg math canvas iframe object applet audio video map head title nav footer aside form button select option textarea input dialog menu search".split())
 NOT_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form status note".split())
 NOT_ARTICLE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars widget widgets footer masthead topbar toolbar comment comments respond reply replies disqus discussion "
-    "share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager skip disclaimer copyright "
-    "legal privacy rail teaser teasers trending popular feedback rating poll survey donate paywall".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr popup modal overlay "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars widget widgets footer topbar toolbar comment comments respond reply replies disqus "
+    "sharing related recommended recommendations newsletter subscribe subscription signup login pagination pager rail teaser teasers paywall".split()
 )
+#: these are also subjects of articles, so they never name away most of a page's text or a marked article
+DOUBTFUL_NAMES = frozenset("promo promotion banner notice notices notification alert discussion share social search skip disclaimer copyright legal privacy trending popular feedback rating poll survey donate".split())
+#: beginnings of names that say what an element has or is filed under
+_ABOUT = re.compile(r"(?:has|with|without|no|is|category|tag|topic|section|format|type|status)[-_]")
 ARTICLE_NAMES = frozenset("article content post entry story main".split())
 HEADERS = frozenset(("header", "masthead"))
 
@@ -64,11 +73,13 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "names", "role", "hidden", "body", "hash", "size")
+    __slots__ = ("tag", "parent", "items", "names", "role", "hidden", "body", "hash", "size", "words", "first", "last")
 
     def __init__(self, tag: str, parent: "Node | None"):
         self.tag, self.parent, self.items = tag, parent, []
-        self.names, self.role, self.hidden, self.body, self.hash, self.size = "", "", False, False, 0, 0
+        self.names = self.role = ""
+        self.hidden = self.body = False
+        self.hash = self.size = self.words = self.first = self.last = 0
 
 
 def _read_names(node: Node, attrs: str) -> None:
@@ -143,46 +154,109 @@ def _close(here: Node, tags, stop) -> Node:
     return out
 
 
+def _hash(*parts: str) -> int:
+    return xxhash.xxh64_intdigest("\x02".join(parts).encode("utf-8", "surrogatepass"))
+
+
 def measure(root: Node) -> list[Node]:
-    """Sets each element's subtree hash and length of text; gives the elements, children before parents."""
+    """Sets each element's subtree hash, its length and words of text, and the numbers of its first and last element
+    in the order of the page; gives the elements, children before parents."""
     order, waiting = [], [root]
     while waiting:
         n = waiting.pop()
+        n.first = n.last = len(order)
         order.append(n)
-        waiting += [c for c in n.items if isinstance(c, Node)]
+        waiting += [c for c in reversed(n.items) if isinstance(c, Node)]
     order.reverse()
     for n in order:
         parts = [n.tag, n.names, n.role]
         for c in n.items:
             if isinstance(c, Node):
                 parts.append(f"\x01{c.hash:x}")
-                n.size += c.size if c.tag not in NEVER or c.tag in ("nav", "footer", "aside", "form") else 0
-            elif plain := " ".join(c.split()):
+                n.last = max(n.last, c.last)
+                if c.tag not in NEVER or c.tag in ("nav", "footer", "aside", "form"):
+                    n.size += c.size
+                    n.words += c.words
+            elif words := c.split():
+                plain = " ".join(words)
                 parts.append(plain)
                 n.size += len(plain)
-        n.hash = xxhash.xxh64_intdigest("\x02".join(parts).encode("utf-8", "surrogatepass")) >> 1 or 1
+                n.words += len(words)
+        n.hash = _hash(*parts)
     return order
 
 
-def subtree_hashes(page: str) -> set[int]:
-    """Hashes of the page's elements that have text, the document and its body left out."""
-    return {n.hash for n in measure(parse(page)) if n.size and n.tag not in ("#root", "html", "body", "head", "script", "style")}
+def longest_blocks(order: list[Node], k: int = 3) -> list[tuple[int, int, int, int]]:
+    """(number, hash, least and largest hash of a shingle of five words) of the k blocks with the most words, longest
+    first, of equal ones the first in the page."""
+    of: dict[int, int] = {}
+    words: dict[int, list[str]] = {}
+    for n in reversed(order):
+        block = of[n.first] = n.first if n.tag in BLOCK or n.parent is None else of[n.parent.first]
+        if n.tag not in NEVER:
+            for c in n.items:
+                if isinstance(c, str):
+                    words.setdefault(block, []).extend(c.split())
+    out = []
+    for number in sorted((b for b, w in words.items() if w), key=lambda b: (-len(words[b]), b))[:k]:
+        w = words[number]
+        shingles = [_hash(*w[i : i + 5]) for i in range(max(1, len(w) - 4))]
+        out.append((number, _hash(" ".join(w)), min(shingles), max(shingles)))
+    return out
+
+
+def may_recur(n: Node) -> bool:
+    """Whether a recurring subtree tells something: it has text, and more than a few words if it is prose."""
+    return bool(n.size) and n.tag not in ("#root", "html", "body", "head", "title", "script", "style") and (n.tag not in PROSE or n.words >= LEAST_WORDS)
 
 
 def _names(node: Node) -> set[str]:
-    return {p.lower() for p in _PART.findall(node.names)} if node.names else set()
+    return {p.lower() for name in node.names.split() if not _ABOUT.match(name) for p in _PART.findall(name)} if node.names else set()
+
+
+def _slot(n: Node) -> int:
+    """The hash of an element's tag and names, whatever is in it."""
+    return _hash("slot", n.tag, n.names, n.role)
 
 
 def _is_main(node: Node) -> bool:
     return node.tag in ("article", "main") or node.role in ("main", "article") or node.body
 
 
-def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The text of the page's article, one block a line."""
+def _is_named(n: Node) -> bool:
+    """Whether the names say that the element isn't the article (of headers only outside of it)."""
+    return n.tag == "header" or bool(n.names) and bool(_names(n) & (NOT_ARTICLE_NAMES | DOUBTFUL_NAMES | HEADERS))
+
+
+def subtree_keys(order: list[Node]) -> dict[int, tuple[int, int]]:
+    """What is counted of a page: subtrees and slots, each with (page, story) as told by the two longest blocks
+    outside of it: copies of a page have one page, and near copies (of which four shingles in five are the same)
+    mostly one story. 0 stands for the page itself."""
+    blocks = longest_blocks(order)
+
+    def outside(n: Node | None) -> tuple[int, int]:
+        two = [b for b in blocks if n is None or not n.first <= b[0] <= n.last][:2]
+        return _hash(*(f"{b[1]:x}" for b in two)), _hash(f"{two[0][2]:x}", f"{two[-1][3]:x}") if two else 0
+
+    out = {0: outside(None)}
+    for n in reversed(order):
+        if may_recur(n) and n.hash not in out:
+            out[n.hash] = outside(n)
+        if _is_named(n) and (slot := _slot(n)) not in out:
+            out[slot] = outside(n)
+    return out
+
+
+def main_text(page: str | None, recurs: frozenset[int] | set[int] = frozenset(), few_pages: bool = True) -> str:
+    """The text of the page's article, one block a line. ``recurs``: the subtrees and slots of the host's template;
+    ``few_pages``: whether the host has too few pages to have one. Of equal candidates the first one is the article."""
     if not page:
         return ""
     root = parse(page)
-    order = measure(root)
+    return _main_text(root, measure(root), recurs, few_pages)
+
+
+def _main_text(root: Node, order: list[Node], recurs, few_pages: bool) -> str:
     holds_main: set[int] = set()
     for n in order:
         if _is_main(n) and not _names(n) & NOT_ARTICLE_NAMES:
@@ -192,58 +266,42 @@ def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset(
                 up = up.parent
 
     def named_away(n: Node, inside: bool) -> bool:
-        if n.hidden or n.tag in NEVER or n.role in NOT_ARTICLE_ROLES:
-            return True
-        if id(n) in holds_main or n.tag in ("html", "body", "#root"):
+        if id(n) in holds_main or not _is_named(n) or not few_pages and _slot(n) not in recurs:
             return False
         names = _names(n)
-        return bool(names & NOT_ARTICLE_NAMES) or not inside and (n.tag == "header" or bool(names & HEADERS))
-
-    # the article: the largest marked element outside what the markup names away, and the rest of main if that is larger
-    found, waiting = [], [(root, False)]
-    while waiting:
-        n, inside = waiting.pop()
-        if named_away(n, inside):
+        if names & NOT_ARTICLE_NAMES:
+            return n.size < root.size
+        return bool(names & DOUBTFUL_NAMES) and 2 * n.size < root.size or not inside and (n.tag == "header" or bool(names & HEADERS)) and n.size < root.size
+
+    # what goes, from the outside in, and what then is left of each element
+    gone: set[int] = set()
+    inside: set[int] = set()
+    for n in reversed(order):
+        up = id(n.parent)
+        if up in gone:
+            gone.add(id(n))
             continue
-        if _is_main(n):
-            found.append(n)
-            inside = True
-        waiting += [(c, inside) for c in n.items if isinstance(c, Node)]
-    start = None
-    if found:
-        outer = max(found, key=lambda n: n.size)
-        inner = max((n for n in found if n is not outer and _within(n, outer)), key=lambda n: n.size, default=None)
-        start = inner if inner is not None and 2 * inner.size >= outer.size else outer
-    if start is not None:
-
-        def gone(n: Node) -> bool:
-            if named_away(n, True):
-                return True
-            return n.hash in template and n.tag not in PROSE and not _is_main(n) and 2 * n.size < start.size
-
-        return _blocks(start, gone)
-    # no article is marked: a container named like one, if it holds most of what isn't named away
-    away = {id(n) for n in order if named_away(n, False)}
-    plain = _blocks(root, lambda n: id(n) in away)
-    if not plain:
-        # a name on what holds the whole page says nothing of its parts
-        away = {id(n) for n in order if id(n) in away and (n.hidden or n.tag in NEVER or 2 * n.size < root.size)}
-        plain = _blocks(root, lambda n: id(n) in away)
-    named = [n for n in order if id(n) not in away and n.tag in ("div", "section") and _names(n) & ARTICLE_NAMES and 2 * n.size >= len(plain)]
-    top = max((n for n in named if not _any_up(n, away)), key=lambda n: n.size, default=root)
-    plain = _blocks(top, lambda n: id(n) in away)
-    if not template:
-        return plain
-    less = _blocks(top, lambda n: id(n) in away or n.hash in template)
-    return less if len(less) >= LEAST_LEFT * len(plain) else plain
-
-
-def _any_up(n: Node, away: set[int]) -> bool:
-    while n is not None:
-        if id(n) in away:
-            return True
-        n = n.parent
-    return False
+        if up in inside or _is_main(n) and id(n) in holds_main:
+            inside.add(id(n))
+        if n is not root and (n.hidden or n.tag in NEVER or n.role in NOT_ARTICLE_ROLES or may_recur(n) and n.hash in recurs or named_away(n, id(n) in inside)):
+            gone.add(id(n))
+    left: dict[int, int] = {}
+    for n in order:
+        if id(n) not in gone:
+            left[id(n)] = sum(left.get(id(c), 0) if isinstance(c, Node) else len("".join(c.split())) for c in n.items)
+    # in the order of the page: the largest marked element, or one inside it that has most of it
+    kept = [n for n in reversed(order) if id(n) in left]
+    start = root
+    marked = [n for n in kept if _is_main(n)]
+    if marked:
+        start = max(marked, key=lambda n: left[id(n)])
+        inner = max((n for n in marked if n is not start and _within(n, start)), key=lambda n: left[id(n)], default=None)
+        if inner is not None and 2 * left[id(inner)] >= left[id(start)]:
+            start = inner
+    else:
+        named = [n for n in kept if n.tag in ("div", "section") and 2 * left[id(n)] >= left[id(root)] > 0 and _names(n) & ARTICLE_NAMES]
+        start = max(named, key=lambda n: left[id(n)], default=root)
+    return _blocks(start, lambda n: id(n) in gone)
 
 
 def _within(n: Node, outer: Node) -> bool:
@@ -291,51 +349,84 @@ def _hosts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", F.xxhash64(F.coalesce(host, F.lit(""))).alias("host"))
 
 
-def _counted(batches):
-    held: Counter = Counter()
+def _keys(host: int, hashes: list[int]) -> np.ndarray:
+    """What a subtree, or with 0 the host itself, is counted under: a hash of both."""
+    return mix64(np.array(hashes, np.uint64) ^ mix64(np.array([host & (1 << 64) - 1], np.uint64)))
 
-    def out():
-        keys = list(held)
-        cols = [[h for h, _ in keys], [s for _, s in keys], list(held.values())]
-        return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["host", "subtree", "n"])
 
+def _parsed(hosts: list[int], htmls: list[str | None]):
+    """(index, root, elements, keys, subtrees and slots) of pages with html, by slices of pages."""
+    rows, size = [], 0
+    for k, (host, page) in enumerate(zip(hosts, htmls)):
+        if page:
+            root = parse(page)
+            order = measure(root)
+            found = subtree_keys(order)
+            rows.append((k, root, order, _keys(host, list(found)), found))
+            size += len(page)
+        if size >= AT_ONCE:
+            yield rows
+            rows, size = [], 0
+    yield rows
+
+
+def _counted(batches):
+    worker.begin("html_template")
+    seen: set[tuple[int, int, int]] = set()
     for b in batches:
-        for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            held[host, 0] += 1
-            held.update((host, h) for h in subtree_hashes(page))
-        if len(held) >= HELD:
-            yield out()
-            held.clear()
-    yield out()
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, subtrees): the hashes of each host's template. A list is bounded by the subtrees of a page over
-    ``LEAST_SHARE``: more can't each stand on that share of the pages."""
-    x = _hosts(pages).where("html is not null").select("host", "html").mapInArrow(_counted, "host long, subtree long, n long")
-    n = stored(x.groupBy("host", "subtree").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST_PAGES) | (F.col("subtree") == 0)), "subtrees")
-    all_pages = n.where("subtree = 0").select("host", F.col("n").alias("pages"))
-    often = n.where("subtree <> 0").join(all_pages, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages"))
-    return stored(often.groupBy("host").agg(F.collect_list("subtree").alias("subtrees")), "templates")
-
-
-def _extracted(batches):
-    for b in batches:
-        rows, of_host = [], {}
-        for host, page, subtrees in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)):
-            if host not in of_host:
-                of_host[host] = frozenset(subtrees.as_py() or ())
-            rows.append(main_text(page, of_host[host]))
-        yield pa.record_batch([b.column(0), b.column(1), pa.array(rows, pa.string()), pa.array(map(len, rows), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        hosts, htmls = b.column(0).to_pylist(), b.column(1).to_pylist()
+        for rows in _parsed(hosts, htmls):
+            new = set()
+            for _, _, _, keys, found in rows:
+                new.update((key, story, page) for key, (page, story) in zip(keys.tolist(), found.values()))
+            new -= seen
+            if len(seen) + len(new) > HELD:
+                seen.clear()
+            seen |= new
+            cols = np.array(list(new), np.uint64).reshape(-1, 3).T.copy().view(np.int64)
+            yield pa.record_batch(list(map(pa.array, cols)), names=["key", "story", "page"])
+
+
+def counts(pages: DataFrame) -> DataFrame:
+    """(key, pages, stories): on how many different pages of its host each subtree or slot stands, and with how many
+    different stories. Rows are combined by page and story before they meet by key, so a hot host or menu is spread
+    over all tasks."""
+    x = _hosts(pages).where("html <> ''").select("host", "html").mapInArrow(_counted, "key long, story long, page long")
+    x = x.distinct().groupBy("key", "story").agg(F.count(F.lit(1)).alias("n"))
+    return x.groupBy("key").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("stories"))
+
+
+def templates(pages: DataFrame) -> sorted_store.Store:
+    """The keys that recur: with ``LEAST_STORIES`` different stories, and with one for every other page at least."""
+    often = (F.col("stories") >= LEAST_STORIES) & (2 * F.col("stories") >= F.col("pages"))
+    return sorted_store.write(counts(pages).where(often).select(F.col("key").alias("hash"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b")), "templates")
+
+
+def _extracted(recurring: sorted_store.Store):
+    def run(batches):
+        worker.begin("html_template")
+        for b in batches:
+            texts = [""] * b.num_rows
+            for rows in _parsed(b.column(3).to_pylist(), b.column(2).to_pylist()):
+                keys = [r[3] for r in rows]
+                hits = recurring.values(np.concatenate(keys))[0] > 0 if keys else []
+                at = 0
+                for k, root, order, own, found in rows:
+                    big, *hit = hits[at : at + len(own)].tolist()
+                    at += len(own)
+                    texts[k] = _main_text(root, order, {h for h, x in zip(list(found)[1:], hit) if x}, not big)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return run
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``.
 
-    Null or empty html gives an empty text; a null address counts as a host of its own. Repeated rows each
-    keep their row and count as pages of their host. Other columns are ignored; an empty table gives an empty
-    one. The hosts' templates join by host: broadcast if their stored size is small, else by a shuffle whose
-    hot hosts are split by adaptive skew joins.
+    Null or empty html gives an empty text; rows without an address, or with one that names no host, count as
+    one host. Repeated rows each keep their row and count as one page of their host. Pages of any length are
+    taken whole. Of articles of one length the first in the page is taken. Other columns are ignored; an empty
+    table gives an empty one. Workers look a page's subtrees up in the stored template keys, so nothing is
+    joined to the pages, and no task has a host to itself.
     """
-    x = _hosts(pages).join(templates(pages), "host", "left").select("page_id", "url", "host", "html", "subtrees")
-    return x.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return _hosts(pages).mapInArrow(_extracted(templates(pages)), "page_id long, url string, text string, n_chars long")
