@@ -1,264 +1,238 @@
 """Quality rules with n-gram perplexity.
 
-The words of all texts are counted in Spark per language, then the character n-grams of the different
-words, weighted by the words' counts. From them a modified Kneser-Ney model is built (raw counts for the
-longest grams, numbers of different left neighbours below, three discounts a length) and stored in the shared
-folder as sorted arrays of full hashes, split by their first bits: the model grows with the corpus, and workers
-map the files that they look into. A text's perplexity per character must lie in its language's band, whose ends are set from the
-perplexities of all texts of the language.
+A text is the sequence of its characters, words joined by one space, so grams reach across words. All grams
+of ``ORDER`` characters of all texts are counted in Spark per language, those of texts laden with symbols as
+another register of the language, and from them a modified Kneser-Ney model is built (raw counts for the longest grams, numbers of different left neighbours below, three discounts
+a length). Discounted counts and the totals of contexts are stored in the shared folder as sorted arrays of full
+hashes, split by their first bits: the model grows with the corpus, and workers map the files that they look
+into. A text's perplexity per character as prose of its language must lie in the language's band, whose ends are
+set from the perplexities of all its texts.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import OrderedDict
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import worker
-from .ngram_counts import word_counts
-from .scratch import local_path, new_path, open_fs, stored, write_file
-from .wordbytes import MIX, SPACES, Numbering, code_points, gathered, gram_hashes, mix64, parts, text_slices, texts_of
+from . import sorted_store, worker
+from .scratch import drop_stored, stored
+from .wordbytes import MIX, SPACES, Numbering, gathered, mix64, parts, text_slices, texts_of
 
-ORDER = 4
-#: grams of one length and language in a file of the model, about; more grams make more files
-SEGMENT = 1 << 18
-#: files of the model that a worker keeps mapped, or read where the shared folder isn't mounted
-OPEN_MAPPED, OPEN_READ = 4096, 16
+ORDER = 5
 START, END = "\x02" * (ORDER - 1), "\x03"
+#: characters that are looked at together, and different grams that a task holds before it hands its counts on
+PIECE, HELD = 1 << 20, 1_000_000
 SYMBOLS = "#*$%&|<>"
 #: base rules
 LEAST_WORDS, REPEATED_PERCENT = 50, 50
 #: the band: so many spreads (from the median to the outer percentile) below and above the median, in logarithms
-LOW_SPREADS, HIGH_SPREADS, LOW_CUT, HIGH_CUT = 5.0, 6.0, 0.25, 0.75
+LOW_SPREADS, HIGH_SPREADS, LOW_CUT, HIGH_CUT = 10.0, 8.0, 0.25, 0.75
 #: a class of length with fewer texts has the band of its whole language; a language with fewer has spreads shrunk
 #: towards those of all languages together, and these, in so small a table, towards PRIOR
 LEAST_TEXTS, PRIOR = 100, 0.05
 #: room for rounding where all texts are alike
 ROUNDING = 1e-6
-#: different words scored and kept by a worker, and those scored at a time
-HELD, SCORED = 300_000, 30_000
-
-
-def _decoded(word: bytes) -> str:
-    return word.decode("utf-8", "replace")
+#: symbols in a hundred characters of words from which a text is of another register than its language's prose
+SYMBOL_PERCENT = 2
+#: the least share of a context's mass that goes to shorter grams, also after rounding
+LEAST_BACK = 1e-9
+
+
+# -- grams -------------------------------------------------------------------------------------------------
+
+
+def _pieces(texts: list[list[bytes]]):
+    """(code points, positions, texts) by pieces of ``PIECE`` positions: all positions of the texts (lists of words)
+    and of their ends, with the index of the text of each. The character 0 counts as U+FFFF."""
+    marked = [START + b" ".join(words).decode() + END for words in texts]
+    flat = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4")
+    flat = np.where(flat == 0, 0xFFFF, flat)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    own, starts = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.cumsum(sizes) - sizes
+    for k in range(0, len(flat), PIECE):
+        at = np.arange(k, min(k + PIECE, len(flat)))
+        of = own[at]
+        inside = at - starts[of] >= ORDER - 1
+        if inside.any():
+            yield flat, at[inside], of[inside]
+
+
+def _different(flat: np.ndarray, at: np.ndarray, times: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The different grams that end at some positions, as rows of code points; and how often each stands (``times``)
+    or the row of each position."""
+    low = at[0] - ORDER + 1
+    window, ends = flat[low : at[-1] + 1], at - low
+    used = np.zeros(0x110000, bool)
+    used[window] = True
+    alphabet = np.flatnonzero(used)
+    bits = 64 // ORDER
+    if len(alphabet) <= 1 << bits:
+        number = np.zeros(0x110000, np.uint64)
+        number[alphabet] = np.arange(len(alphabet), dtype=np.uint64)
+        ids, key = number[window], np.zeros(len(ends), np.uint64)
+        for k in range(ORDER):
+            key = key << np.uint64(bits) | ids[ends - (ORDER - 1 - k)]
+        one, other = np.unique(key, return_counts=True) if times else np.unique(key, return_inverse=True)
+        mask = np.uint64((1 << bits) - 1)
+        chars = np.stack([alphabet[one >> np.uint64(bits * (ORDER - 1 - k)) & mask] for k in range(ORDER)], axis=1)
+        return chars.astype("<u4"), other
+    key = _hash(np.stack([window[ends - (ORDER - 1 - k)] for k in range(ORDER)], axis=1), 0)
+    _, first, place, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    return np.stack([window[ends[first] - (ORDER - 1 - k)] for k in range(ORDER)], axis=1).astype("<u4"), n if times else place
+
+
+def _hash(chars: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each row of code points."""
+    h = np.full(len(chars), chars.shape[1], np.uint64)
+    for k in range(chars.shape[1]):
+        h = h * MIX + chars[:, k] + np.uint64(1)
+    return mix64(mix64(h) ^ np.uint64(salt))
+
+
+def _register(lang: str, words: list[bytes]) -> str:
+    """Whose grams a text's are: its language's, or if it is laden with symbols those of the language's other register."""
+    chars = b"".join(words)
+    return f"{lang}#" if 100 * sum(map(chars.count, SYMBOLS.encode())) > SYMBOL_PERCENT * len(chars.decode()) else lang
+
+
+def _salt(key: str, length: int, kind: str) -> int:
+    return xxhash.xxh64_intdigest(f"{kind}{length}:{key}")
 
 
 def _grams(batches):
-    """(key, gram, n): the longest grams of some different words, combined for many words at a time."""
-    for b in gathered(batches, 20_000):
-        lang = np.asarray(b.column(0).to_pylist(), object)
-        n = np.asarray(b.column(2))
-        for one in dict.fromkeys(lang):
-            of = np.flatnonzero(lang == one)
-            flat, owner = code_points([_decoded(w) for w in b.column(1).take(pa.array(of)).to_pylist()], START, END)
-            h, ends = gram_hashes(flat, owner, ORDER)
-            h, first, place = np.unique(h, return_index=True, return_inverse=True)
-            total = np.bincount(place, weights=n[of][owner[ends]]).astype(np.int64)
-            chars = np.stack([flat[ends[first] - k] for k in range(ORDER - 1, -1, -1)], axis=1).astype("<u4")
-            grams = [r.tobytes().decode("utf-32-le", "surrogatepass") for r in chars]
-            yield pa.record_batch([pa.array([one] * len(h), pa.string()), pa.array(grams), pa.array(total)], names=["key", "gram", "n"])
-
-
-def _ids(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
+    """(key, gram, n): the longest grams of a task's texts, counted together as long as ``HELD`` different ones allow."""
+    worker.begin("kneser_ney")
+    held: dict[str, list] = {}
+
+    def settle():
+        for key, found in held.items():
+            chars = np.concatenate([c for c, _ in found])
+            _, first, place = np.unique(_hash(chars, 0), return_index=True, return_inverse=True)
+            held[key] = [(chars[first], np.bincount(place, weights=np.concatenate([n for _, n in found])).astype(np.int64))]
+        return sum(len(c) for x in held.values() for c, _ in x)
+
+    def out():
+        settle()
+        for key, [(chars, n)] in held.items():
+            for k in range(0, len(n), 100_000):
+                grams = np.ascontiguousarray(chars[k : k + 100_000]).view(f"<U{ORDER}")[:, 0].tolist()
+                yield pa.record_batch([pa.array([key] * len(grams), pa.string()), pa.array(grams), pa.array(n[k : k + 100_000])], names=["key", "gram", "n"])
+        held.clear()
+
+    rows = 0
+    for b in (p for whole in batches for p in parts(whole)):
+        by_key: dict[str, list] = {}
+        for key, text in zip(b.column(0).to_pylist(), texts_of(b)):
+            if text and (words := text.split()):
+                by_key.setdefault(_register(key, words), []).append(words)
+        for key, texts in by_key.items():
+            for flat, at, _ in _pieces(texts):
+                found = _different(flat, at, True)
+                held.setdefault(key, []).append(found)
+                rows += len(found[1])
+                if rows >= 2 * HELD:
+                    rows = settle()
+                    if rows >= HELD:
+                        yield from out()
+                        rows = 0
+    yield from out()
 
 
 def _hashed(batches):
-    """The full hashes of each gram and of its context (all but the last character; 0 for single characters)."""
+    """The salted hashes of each gram and of its context (all but the last character)."""
     for b in gathered(batches, 20_000):
-        order = np.asarray(b.column(1))
-        grams = b.column(2).to_pylist()
-        out = np.zeros((2, len(grams)), np.int64)
-        for k in np.unique(order):
-            of = np.flatnonzero(order == k)
-            flat, owner = code_points([grams[i] for i in of], "", "")
-            out[0, of] = _ids(gram_hashes(flat, owner, int(k))[0])
-            if k > 1:
-                out[1, of] = _ids(gram_hashes(flat, owner, int(k) - 1)[0]).reshape(-1, 2)[:, 0]
-        yield pa.record_batch([b.column(0), b.column(1), *map(pa.array, out), b.column(3)], names=["key", "length", "gram", "context", "n"])
+        keys, lengths = b.column(0).dictionary_encode(), np.asarray(b.column(1))
+        chars = np.array(b.column(2).to_pylist(), f"<U{ORDER}").view("<u4").reshape(-1, ORDER)
+        code, names = np.asarray(keys.indices), keys.dictionary.to_pylist()
+        out = np.zeros((2, len(chars)), np.uint64)
+        for i, k in np.unique(np.stack([code, lengths]), axis=1).T.tolist():
+            of = np.flatnonzero((code == i) & (lengths == k))
+            out[0, of] = _hash(chars[of, :k], _salt(names[i], k, "gram"))
+            out[1, of] = _hash(chars[of, : k - 1], _salt(names[i], k, "context"))
+        yield pa.record_batch([b.column(0), b.column(1), *(pa.array(h.view(np.int64)) for h in out), b.column(3)], names=["key", "length", "gram", "context", "n"])
 
 
 def gram_table(docs: DataFrame, key: str = "lang") -> DataFrame:
     """(key, length, gram, context, n): adjusted counts of all different grams of all lengths, per language."""
-    words = word_counts(docs.withColumn("_key", F.coalesce(F.col(key), F.lit(""))), "_key")
-    longest = words.mapInArrow(_grams, "key string, gram string, n long").groupBy("key", "gram").agg(F.sum("n").alias("n"))
-    level = stored(longest, "grams")
-    levels = [level.select("key", F.lit(ORDER).alias("length"), "gram", "n")]
+    texts = docs.where("text is not null").select(F.coalesce(F.col(key), F.lit("")).alias("key"), "text")
+    level = stored(texts.mapInArrow(_grams, "key string, gram string, n long").groupBy("key", "gram").agg(F.sum("n").alias("n")), "grams")
+    both = level.select("key", F.lit(ORDER).alias("length"), "gram", "n")
     for k in range(ORDER - 1, 0, -1):
         level = level.groupBy("key", F.substring("gram", 2, ORDER).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-        levels.append(level.select("key", F.lit(k).alias("length"), "gram", "n"))
-    both = levels[0]
-    for x in levels[1:]:
-        both = both.unionByName(x)
+        both = both.unionByName(level.select("key", F.lit(k).alias("length"), "gram", "n"))
     return both.mapInArrow(_hashed, "key string, length int, gram long, context long, n long")
 
 
-def _discounts(seen: list[int]) -> list[float]:
-    """What a count of 0, 1, 2, and 3 or more loses, from how many grams stand 1, 2, 3 and 4 times."""
-    seen = [max(1, x) for x in seen]
-    y = seen[0] / (seen[0] + 2 * seen[1])
-    return [0.0, *(min(k, max(0.05, k - (k + 1) * y * seen[k] / seen[k - 1])) for k in (1, 2, 3))]
+# -- the model ---------------------------------------------------------------------------------------------
 
 
-def _segment_writer(folder: str):
-    """Writes the rows of each segment, which stand together, as one file: sorted hashes, then two columns of values."""
-
-    def run(batches):
-        held, now = [], None
-
-        def out():
-            x = pa.Table.from_batches(held)
-            h = x["hash"].to_numpy().view(np.uint64)
-            at = np.argsort(h)
-            values = [x[c].to_numpy()[at].astype("<f4").tobytes() for c in ("a", "b")]
-            uri = f"{folder}/{uuid.uuid4().hex}"
-            write_file(uri, [h[at].astype("<u8").tobytes(), *values])
-            key, length, kind, segment, bits = now
-            row = {"key": [key], "length": [length], "kind": [kind], "segment": [segment], "bits": [bits], "uri": [uri], "n": [len(h)]}
-            held.clear()
-            return pa.RecordBatch.from_pydict(row, schema=_INDEX)
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            names = [b.column(i).to_pylist() for i in range(5)]
-            start = 0
-            for k in range(b.num_rows + 1):
-                group = tuple(c[k] for c in names) if k < b.num_rows else None
-                if group is None or group != now:
-                    if k > start:
-                        held.append(b.slice(start, k - start))
-                    start = k
-                    if group is not None:
-                        if held:
-                            yield out()
-                        now = group
-        if held:
-            yield out()
-
-    return run
-
-
-_INDEX = pa.schema([("key", pa.string()), ("length", pa.int32()), ("kind", pa.string()), ("segment", pa.int64()), ("bits", pa.int32()), ("uri", pa.string()), ("n", pa.int64())])
-
-_OPEN: OrderedDict[str, tuple[np.ndarray, ...]] = OrderedDict()
-
-
-def _arrays(uri: str, n: int) -> tuple[np.ndarray, ...]:
-    """(hashes, values, values) of a segment: mapped to memory where the shared folder is mounted, read elsewhere."""
-    if uri in _OPEN:
-        _OPEN.move_to_end(uri)
-        return _OPEN[uri]
-    mounted = uri.startswith("file:")
-    if mounted:
-        raw = np.memmap(local_path(uri), np.uint8, "r")
-    else:
-        fs, path = open_fs(uri)
-        with fs.open_input_file(path) as f:
-            raw = np.frombuffer(f.read(), np.uint8)
-    while len(_OPEN) >= (OPEN_MAPPED if mounted else OPEN_READ):
-        _OPEN.popitem(last=False)
-    _OPEN[uri] = raw[: 8 * n].view("<u8"), raw[8 * n : 12 * n].view("<f4"), raw[12 * n : 16 * n].view("<f4")
-    return _OPEN[uri]
-
-
-class Hashes:
-    """Values of hashes, in sorted segments in the shared folder: a hash's first bits name its segment."""
-
-    def __init__(self, bits: int, segments: dict[int, tuple[str, int]]):
-        self.bits, self.segments = bits, segments
-
-    def __len__(self) -> int:
-        return sum(n for _, n in self.segments.values())
-
-    def values(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Both values of each hash, 0 where it is absent."""
-        one, place = np.unique(wanted, return_inverse=True)
-        out = np.zeros((2, len(one)))
-        of, starts = np.unique(one >> np.uint64(64 - self.bits), return_index=True)
-        for s, i, j in zip(of.tolist(), starts, [*starts[1:], len(one)]):
-            if s in self.segments:
-                h, a, b = _arrays(*self.segments[s])
-                at = np.minimum(np.searchsorted(h, one[i:j]), len(h) - 1)
-                hit = h[at] == one[i:j]
-                out[0, i:j], out[1, i:j] = np.where(hit, a[at], 0), np.where(hit, b[at], 0)
-        return out[0][place], out[1][place]
-
-
-def _hash_at(flat: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
-    """The hash, as of ``gram_hashes``, of the gram that ends at each of some positions."""
-    h = np.full(len(at), order, np.uint64)
-    for k in range(order):
-        h = h * MIX + flat[at - (order - 1 - k)] + np.uint64(1)
-    return mix64(h)
+def _discounts(table: DataFrame) -> DataFrame:
+    """(key, length, grams, cut1, cut2, cut3): what counts of 1, 2, and 3 or more lose, from how many grams stand 1, 2,
+    3 and 4 times (1 where there is none)."""
+    seen = [F.greatest(F.lit(1), F.count(F.when(F.col("n") == k, 1))).alias(f"n{k}") for k in range(1, 5)]
+    x = table.groupBy("key", "length").agg(F.count(F.lit(1)).alias("grams"), *seen).withColumn("y", F.expr("n1 / (n1 + 2 * n2)"))
+    cuts = [F.expr(f"least({k}, greatest(0.05D, {k} - {k + 1} * y * n{k + 1} / n{k}))").cast("double").alias(f"cut{k}") for k in (1, 2, 3)]
+    return x.select("key", "length", "grams", *cuts)
 
 
 class KneserNey:
-    """Per language: (sorted hashes of the characters, their log-probabilities, that of any other), and for each
-    longer length the counts less discount of its grams, the totals of its contexts and their weights of the
-    shorter estimate. Those grow with the corpus and stay in the shared folder."""
-
-    def __init__(self, singles: pa.Table, index: pa.Table):
-        self.name = uuid.uuid4().hex
-        segments: dict[tuple[str, int, str], Hashes] = {}
-        for r in index.to_pylist():
-            segments.setdefault((r["key"], r["length"], r["kind"]), Hashes(r["bits"], {})).segments[r["segment"]] = r["uri"], r["n"]
-        keys = singles["key"].combine_chunks().dictionary_encode()
-        code, gram, n = np.asarray(keys.indices), singles["gram"].to_numpy(), singles["n"].to_numpy()
-        self.tables: dict[str, list[tuple]] = {}
-        for i, key in enumerate(keys.dictionary.to_pylist()):
-            longer = [(segments[key, k, "gram"], segments[key, k, "context"]) for k in range(2, ORDER + 1)]
-            self.tables[key] = [self._single(gram[code == i].view(np.uint64), n[code == i]), *longer]
-
-    @staticmethod
-    def _single(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        at = np.argsort(gram)
-        gram, n = gram[at], n[at]
-        cut = np.array(_discounts([int((n == k).sum()) for k in range(1, 5)]))[np.minimum(n, 3)]
-        rest = max(cut.sum() / n.sum(), 1e-9) / (len(gram) + 1)
-        return gram, np.log((n - cut) / n.sum() + rest), float(np.log(rest))
-
-    def word_scores(self, lang: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(log-probability, characters with the end mark) of each word."""
-        flat, owner = code_points(words, START, END)
-        (singles, log_p, rest), *longer = self.tables[lang]
-        counts = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        h, ends = gram_hashes(flat, owner, ORDER)
-        _, first, place = np.unique(h, return_index=True, return_inverse=True)
-        last = ends[first]
-        x = _hash_at(flat, last, 1)
-        at = np.minimum(np.searchsorted(singles, x), len(singles) - 1)
-        p = np.exp(np.where(singles[at] == x, log_p[at], rest))
-        for length, (grams, contexts) in enumerate(longer, 2):
-            total, back = contexts.values(_hash_at(flat, last - 1, length - 1))
-            n, _ = grams.values(_hash_at(flat, last, length))
+    """Under salted hashes, in the shared folder: each gram's count less its discount, each context's total and the
+    share that its discounts leave to shorter grams, and each language's number of different characters."""
+
+    def __init__(self, store: sorted_store.Store):
+        self.store = store
+
+    def _log_p(self, key: str, chars: np.ndarray) -> np.ndarray:
+        """Log-probability of the last character of each gram after the others; nan in a language that isn't known."""
+        asked = [np.array([_salt(key, 0, "characters")], np.uint64)]
+        for k in range(1, ORDER + 1):
+            asked += [_hash(chars[:, ORDER - k : -1], _salt(key, k, "context")), _hash(chars[:, ORDER - k :], _salt(key, k, "gram"))]
+        a, b = self.store.values(np.concatenate(asked))
+        n = len(chars)
+        p = np.full(n, 1 / (a[0] + 1) if a[0] else np.nan)
+        for k in range(ORDER):
+            total, back, count = a[1 + 2 * k * n :][:n], b[1 + 2 * k * n :][:n], a[1 + (2 * k + 1) * n :][:n]
             known = total > 0
-            p[known] = n[known] / total[known] + np.maximum(back[known], 1e-9) * p[known]
-        return np.bincount(owner[ends], weights=np.log(p)[place], minlength=len(words)), counts
+            p[known] = count[known] / total[known] + np.maximum(back[known], LEAST_BACK) * p[known]
+        return np.log(p)
+
+    def scores(self, key: str, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """(log-probability, characters and the end) of each text, given as words."""
+        total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for flat, at, of in _pieces(texts):
+            chars, row = _different(flat, at, False)
+            total += np.bincount(of, weights=self._log_p(key, chars)[row], minlength=len(texts))
+            n += np.bincount(of, minlength=len(texts))
+        return total, n
+
+
+def _language_size(batches):
+    for b in batches:
+        keys = [_salt(key, 0, "characters") for key in b.column(0).to_pylist()]
+        yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), b.column(1), pa.array(np.zeros(len(keys)))], names=["hash", "a", "b"])
 
 
 def train(docs: DataFrame, key: str = "lang") -> KneserNey:
-    """The model of all texts. To the driver come the counts of counts, single characters, and a row a segment."""
-    spark = docs.sparkSession
+    """The model of all texts. To the driver come names and sizes of the files."""
     table = stored(gram_table(docs, key), "levels")
-    times = [F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in range(1, 5)]
-    stats = table.where("length > 1").groupBy("key", "length").agg(F.count(F.lit(1)).alias("rows"), *times).collect()
-    rows = [(r["key"], r["length"], max(1, (r["rows"] // SEGMENT).bit_length()), *_discounts([r[f"n{k}"] for k in range(1, 5)])[1:]) for r in stats]
-    known = spark.createDataFrame(rows, "key string, length int, bits int, cut1 double, cut2 double, cut3 double")
+    cuts = stored(_discounts(table), "discounts")
     cut = F.when(F.col("n") == 1, F.col("cut1")).when(F.col("n") == 2, F.col("cut2")).otherwise(F.col("cut3"))
-    x = table.where("length > 1").join(known, ["key", "length"]).withColumn("cut", cut)
-    grams = x.select("key", "length", F.lit("gram").alias("kind"), "bits", F.col("gram").alias("hash"), (F.col("n") - F.col("cut")).alias("a"), F.lit(0.0).alias("b"))
-    sums = x.groupBy("key", "length", "bits", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("held"))
-    contexts = sums.select("key", "length", F.lit("context").alias("kind"), "bits", F.col("context").alias("hash"), F.col("total").cast("double").alias("a"), (F.col("held") / F.col("total")).alias("b"))
-    both = grams.unionByName(contexts).withColumn("segment", F.expr("shiftrightunsigned(hash, 64 - bits)"))
-    both = both.select("key", "length", "kind", "segment", "bits", "hash", "a", "b").repartition("key", "length", "kind", "segment")
-    written = both.sortWithinPartitions("key", "length", "kind", "segment").mapInArrow(_segment_writer(new_path(spark, "kneser_ney")), "key string, length int, kind string, segment long, bits int, uri string, n long")
-    return KneserNey(table.where("length = 1").select("key", "gram", "n").toArrow(), written.toArrow())
+    x = table.join(cuts, ["key", "length"]).withColumn("cut", cut)
+    grams = x.select(F.col("gram").alias("hash"), (F.col("n") - F.col("cut")).alias("a"), F.lit(0.0).alias("b"))
+    sums = x.groupBy("context").agg(F.sum("n").cast("double").alias("total"), F.sum("cut").alias("held"))
+    contexts = sums.select(F.col("context").alias("hash"), F.col("total").alias("a"), (F.col("held") / F.col("total")).alias("b"))
+    characters = cuts.where("length = 1").select("key", F.col("grams").cast("double")).mapInArrow(_language_size, "hash long, a double, b double")
+    store = sorted_store.write(grams.unionByName(contexts).unionByName(characters), "kneser_ney")
+    for used in (table, cuts):
+        drop_stored(used)
+    return KneserNey(store)
+
+
+# -- texts -------------------------------------------------------------------------------------------------
 
 
 def base_values(text: bytes | None) -> tuple[list[bytes], int, int, int, int, int]:
@@ -293,46 +267,23 @@ def repeated(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-_WORKERS: dict[str, dict] = {}
-
-
-def _drop() -> None:
-    _WORKERS.clear()
-    _OPEN.clear()
-
-
-worker.keeps("kneser_ney", _drop)
-
-
-def _word_table(model: KneserNey, lang: str):
-    if model.name not in _WORKERS:
-        _WORKERS.clear()
-        _WORKERS[model.name] = {}
-    kept = _WORKERS[model.name]
-    if sum(len(t[0]) for t in kept.values()) >= HELD:
-        kept.clear()
-    return kept.setdefault(lang, [{}, np.zeros(0), np.zeros(0, np.int64)])
+worker.keeps("kneser_ney", lambda: None)
 
 
 def perplexities(model: KneserNey, langs: list[str | None], texts: list[list[bytes]]) -> np.ndarray:
-    """Perplexity per character (and word end) of each list of words; nan without words or model."""
+    """Perplexity per character (and end) of each list of words, as prose of its language, or where the language has
+    none as its other register; nan without words or model."""
     worker.begin("kneser_ney")
     out = np.full(len(texts), np.nan)
     by_lang: dict[str, list[int]] = {}
     for k, (lang, words) in enumerate(zip(langs, texts)):
-        if words and (lang or "") in model.tables:
+        if words:
             by_lang.setdefault(lang or "", []).append(k)
     for lang, rows in by_lang.items():
-        table = _word_table(model, lang)
-        number = table[0]
-        new = list({w for k in rows for w in texts[k]}.difference(number))
-        if new:
-            found = [model.word_scores(lang, [_decoded(w) for w in new[k : k + SCORED]]) for k in range(0, len(new), SCORED)]
-            number.update(zip(new, range(len(number), len(number) + len(new))))
-            table[1], table[2] = (np.concatenate([table[k + 1], *(f[k] for f in found)]) for k in range(2))
-        for k in rows:
-            ids = np.fromiter(map(number.__getitem__, texts[k]), np.int64, len(texts[k]))
-            out[k] = np.exp(-table[1][ids].sum() / table[2][ids].sum())
+        total, n = model.scores(lang, [texts[k] for k in rows])
+        if np.isnan(total).any():
+            total, n = model.scores(f"{lang}#", [texts[k] for k in rows])
+        out[rows] = np.exp(-total / n)
     return out
 
 

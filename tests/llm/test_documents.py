@@ -580,30 +580,14 @@ def test_repeated_words(words):
     assert kneser_ney.repeated(words) == plain_base(" ".join(w))[4]
 
 
-def test_model_is_a_distribution(docs):
-    """The probabilities after a context that was seen sum to one over the characters that exist."""
-    model = kneser_ney.train(docs.where("lang = 'en'"))
-    grams, p, *_ = model.tables["en"][0]
-    assert 0.9 < np.exp(p).sum() <= 1.0001
-    alphabet = sorted({c for r in docs.where("lang = 'en'").select("text").collect() for c in (r.text or "") if c not in " \n\t"})
-    logs = [model.word_scores("en", ["th" + c])[0][0] - model.word_scores("en", ["th"])[0][0] for c in alphabet[:1]]
-    assert all(np.isfinite(logs))
-
-
-def test_junk_is_less_likely(docs):
-    model = kneser_ney.train(docs)
-    clean, junk = kneser_ney.perplexities(model, ["en", "en"], [b"the thing and thesea of that".split(), b"THE### THING$$$ QXJZ!! ZZKQ".split()])
-    assert junk > 2 * clean
-
-
-def plain_kneser_ney(words):
-    """Log-probability of a word by dictionaries of all grams of up to four characters."""
-    counts = {4: Counter()}
-    for w, n in words.items():
-        x = "\x02" * 3 + w + "\x03"
-        for k in range(len(x) - 3):
-            counts[4][x[k : k + 4]] += n
-    for k in (3, 2, 1):
+def plain_kneser_ney(texts):
+    """Log-probability of a text by dictionaries of all grams of up to five characters of the texts, words joined by a space."""
+    order = kneser_ney.ORDER
+    counts = {order: Counter()}
+    for t in texts:
+        x = "\x02" * (order - 1) + " ".join(words_of(t)) + "\x03"
+        counts[order].update(x[k : k + order] for k in range(len(x) - order + 1))
+    for k in range(order - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
     cuts, total, held = {}, Counter(), Counter()
     for k, grams in counts.items():
@@ -614,33 +598,93 @@ def plain_kneser_ney(words):
             total[k, g[:-1]] += n
             held[k, g[:-1]] += cuts[k][min(n, 3)]
 
-    def score(w):
-        x, out = "\x02" * 3 + w + "\x03", 0.0
-        for end in range(4, len(x) + 1):
+    def score(t):
+        x, out = "\x02" * (order - 1) + " ".join(words_of(t)) + "\x03", 0.0
+        for end in range(order, len(x) + 1):
             p = 1 / (len(counts[1]) + 1)
-            for k in (1, 2, 3, 4):
+            for k in range(1, order + 1):
                 g = x[end - k : end]
                 if t := total[k, g[:-1]]:
-                    n = counts[k][g]
-                    p = (n - cuts[k][min(n, 3)]) / t + max(held[k, g[:-1]] / t, 1e-9) * p
+                    p = (counts[k][g] - cuts[k][min(counts[k][g], 3)]) / t + max(held[k, g[:-1]] / t, 1e-9) * p
             out += np.log(p)
         return out
 
     return score
 
 
+def scored(model, lang, texts):
+    return model.scores(lang, [t.encode().split() for t in texts])
+
+
+def test_model_is_as_by_plain_counts(docs, texts):
+    model = kneser_ney.train(docs)
+    own = [r[1] for r in texts if r[1] and (r[2] or "") == "fr"]
+    plain = plain_kneser_ney(own)
+    some = [own[0], own[-1], " ".join(reversed(words_of(own[0]))), "unseen words 中文 of 🦜", "l", "x" * 3000]
+    logs, n = scored(model, "fr", some)
+    assert np.allclose(logs, [plain(t) for t in some], rtol=1e-4)
+    assert n.tolist() == [len(" ".join(words_of(t))) + 1 for t in some]
+
+
+def test_model_is_a_distribution(docs, texts):
+    """After any context the probabilities of all known characters and of one unknown sum to one."""
+    model = kneser_ney.train(docs)
+    own = ["\x02" * 4 + " ".join(words_of(r[1])) + "\x03" for r in texts if r[1] and r[2] == "fr"]
+    alphabet = sorted({c for t in own for c in t} - {"\x02"}) + ["中"]
+    for context in ("\x02" * 4, "e le", " et ", "ouau", "中中中中", "u中le"):
+        chars = np.array([[ord(c) for c in context + last] for last in alphabet], "<u4")
+        assert abs(np.exp(model._log_p("fr", chars)).sum() - 1) < 1e-4
+
+
+def test_order_of_words_counts(spark):
+    rng = random.Random(5)
+    sentence = lambda: "The " + " ".join(rng.choice("small old red big new".split()) + " " + rng.choice("house tree river road hill".split()) for _ in range(5)) + ". "
+    rows = [(k, "".join(sentence() for _ in range(8)), "en") for k in range(100)]
+    model = kneser_ney.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    text = "".join(sentence() for _ in range(8))
+    words = words_of(text)
+    rng.shuffle(words)
+    kept, shuffled = kneser_ney.perplexities(model, ["en", "en"], [text.encode().split(), " ".join(words).encode().split()])
+    assert shuffled > 1.5 * kept
+
+
+def test_symbols_are_another_register(spark):
+    """Texts laden with symbols teach their language's prose nothing, and are unlikely as prose however many there are."""
+    from tests.llm.conftest import prose
+
+    rows = [(k, prose(80, k), "en") for k in range(60)] + [(100 + k, " | ".join(prose(80, 200 + k).split()), "en") for k in range(60)]
+    rows += [(300 + k, " ### ".join(prose(60, k).split()), "xx") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = kneser_ney.train(df)
+    clean, junk, other = kneser_ney.perplexities(model, ["en", "en", "xx"], [rows[k][1].encode().split() for k in (5, 65, 120)])
+    assert junk > 2 * clean and other < 3
+    got = {r.doc_id: r for r in kneser_ney.judge(df).collect()}
+    assert all(r.kept == (k < 100 or k >= 300) for k, r in got.items() if not r.base_failed)
+
+
 def test_model_grows_with_the_corpus(spark, monkeypatch):
-    """Each different gram is kept apart, and words score as with dictionaries of all grams."""
-    monkeypatch.setattr(kneser_ney, "SEGMENT", 1 << 13)
+    """Each different gram is kept apart, in as many files as it takes, also with more characters than fit a short key."""
+    from seamline.llm import sorted_store
+
+    monkeypatch.setattr(sorted_store, "SEGMENT", 1 << 15)
+    monkeypatch.setattr(kneser_ney, "HELD", 5000)
     rng = np.random.default_rng(1)
-    words = ["".join(map(chr, r)) for r in rng.integers(0x4E00, 0x4E00 + 3000, (40_000, 5))]
+    words = ["".join(map(chr, r)) for r in rng.integers(0x4E00, 0x4E00 + 6000, (40_000, 5))]
     rows = [(k, " ".join(words[k::500]), "zh", "x", 1) for k in range(500)] + [(900, "a few words of another language", "en", "x", 1)]
     model = kneser_ney.train(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(8))
-    grams = {x[k : k + 4] for w in words for x in ["\x02" * 3 + w + "\x03"] for k in range(len(w) + 1)}
-    assert len(model.tables["zh"][3][0]) == len(grams) and len(model.tables["zh"][3][0].segments) > 8
-    some = words[:50] + [w[::-1] for w in words[:50]] + ["unseen", "\u4e00"]
-    plain = plain_kneser_ney(Counter(words))
-    assert np.allclose(model.word_scores("zh", some)[0], [plain(w) for w in some], rtol=1e-4)
+    texts = ["\x02" * 4 + r[1] + "\x03" for r in rows[:500]]
+    grams = {t[k : k + 5] for t in texts for k in range(len(t) - 4)}
+    assert len(model.store) > 2 * len(grams) and len(model.store.files) > 8
+    plain = plain_kneser_ney([r[1] for r in rows[:500]])
+    some = [rows[3][1], rows[4][1][::-1], "unseen", "\u4e00"]
+    assert np.allclose(scored(model, "zh", some)[0], [plain(t) for t in some], rtol=1e-4)
+
+
+def test_nul_and_rare_characters(spark):
+    rows = [(k, f"a\0b\0\0 \0 {chr(0x1F600 + k)} end\0", "en") for k in range(5)]
+    model = kneser_ney.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    plain = plain_kneser_ney([r[1].replace("\0", "\uffff") for r in rows])
+    assert np.allclose(scored(model, "en", [rows[0][1]])[0], [plain(rows[0][1].replace("\0", "\uffff"))], rtol=1e-4)
 
 
 def test_small_languages_have_bands(spark):
