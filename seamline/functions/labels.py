@@ -64,6 +64,48 @@ def ascii_slug(c) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
+def shell_quoted(c) -> Column:
+    """A word of a command line, quoted if a shell would read it otherwise."""
+    x = col(c)
+    return F.when(x.rlike(r"^[A-Za-z0-9_@%+=:,./-]+$"), x).otherwise(F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("'\"'\"'")), F.lit("'")))
+
+
+def command_line(words) -> Column:
+    """An array of words as one command line."""
+    return F.array_join(F.transform(col(words), shell_quoted), " ")
+
+
+def config_text(**values) -> Column:
+    """Settings as JSON: sorted by name, one a line, nulls spelled out."""
+    lines = []
+    for name in sorted(values):
+        text = F.to_json(F.array(col(values[name])), {"ignoreNullFields": "false"})
+        lines.append(F.concat(F.lit(f'  "{name}": '), F.substring(text, F.lit(2), F.length(text) - 2)))
+    return F.concat(F.lit("{\n"), F.concat_ws(",\n", *lines), F.lit("\n}"))
+
+
+# fixed values: tokens of an answer by its format
+NEW_TOKENS = {"cot_list": 256, "no_cot": 128, "json": 96}
+OTHER_NEW_TOKENS = 96
+
+
+def new_tokens(kind) -> Column:
+    """How many tokens an answer of a format may have."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in NEW_TOKENS.items() for x in pair]), col(kind)), F.lit(OTHER_NEW_TOKENS))
+
+
+def run_folder(root, area, day, run=None) -> Column:
+    """Where a run's outputs lie: runs by area and day, reproductions apart from them."""
+    above = F.when(col(area) == "reproduction", F.lit("outputs")).otherwise("outputs/runs")
+    return F.concat_ws("/", root, above, col(area), col(day), *([] if run is None else [run]))
+
+
+def schema_file(family, schemas: dict[str, str | None]) -> Column:
+    """The schema file of a family of prompts, null for one whose answers are plain text; an unknown family is an error."""
+    known = F.create_map(*[x for name, file in schemas.items() for x in (F.lit(name), F.lit(file).cast("string"))])
+    return F.when(F.map_contains_key(known, col(family)), F.try_element_at(known, col(family))).otherwise(F.raise_error(F.concat(F.lit("unknown family: "), F.coalesce(col(family), F.lit("null")))).cast("string"))
+
+
 def model_path(c) -> Column:
     return F.translate(col(c), "/:", "__")
 

@@ -13,12 +13,18 @@ def json_number(c, path: str) -> Column:
     return F.get_json_object(col(c), path).try_cast("double")
 
 
+def whole_json(c) -> Column:
+    """Whether a text is one JSON value and nothing else (``get_json_object`` overlooks what follows)."""
+    v = F.try_parse_json(F.concat(F.lit("["), col(c), F.lit("]")))
+    return F.coalesce(F.try_variant_get(v, "$[0]", "variant").isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull(), F.lit(False))
+
+
 def confidence(c) -> Column:
-    return F.when(strip(c).startswith("{"), json_number(c, "$.confidence"))
+    return F.when(strip(c).startswith("{") & whole_json(c), json_number(c, "$.confidence"))
 
 
 def reason(c) -> Column:
-    return F.coalesce(F.get_json_object(col(c), "$.reason"), F.lit(""))
+    return F.coalesce(F.when(whole_json(c), F.get_json_object(col(c), "$.reason")), F.lit(""))
 
 
 def split_context(c) -> Column:

@@ -21,6 +21,8 @@ def fallback_join(gold: DataFrame, preds: DataFrame, last_text_wins: bool = Fals
     position, else of one with the same text up to white space, else NOBORDER; ``matched_by`` tells which."""
     by_idx = one_per(preds.select("doc", "idx", "label", "seq"), ["doc", "idx"], ["seq"]).select("doc", "idx", F.col("label").alias("_i"))
     text = collapse_space("text")
+    # texts meet by their hashes, so none of them is shuffled
+    text = F.sha2(text, 256)
     by_text = one_per(preds.select("doc", text.alias("_t"), "label", "seq"), ["doc", "_t"], ["seq"], last_text_wins).select("doc", "_t", F.col("label").alias("_x"))
     x = gold.withColumn("_t", text).join(by_idx, ["doc", "idx"], "left").join(by_text, ["doc", "_t"], "left")
     how = F.when(F.col("_i").isNotNull(), "index").when(F.col("_x").isNotNull(), "text").otherwise("none")
@@ -44,12 +46,17 @@ def within_tolerance(a: DataFrame, b: DataFrame, tol: int) -> DataFrame:
     return a.join(near, ["doc", "idx"], "left_semi")
 
 
-def contained_in(inner: DataFrame, outer: DataFrame, begin_only: bool = False) -> DataFrame:
-    """(doc, scene, begin): the first inner span of each outer one: whole inside it, or beginning at or after its begin."""
-    on = (inner["doc"] == outer["doc"]) & (inner["begin"] >= outer["begin"])
-    if not begin_only:
-        on = on & (inner["end"] <= outer["end"])
-    return inner.join(outer, on).groupBy(outer["doc"], outer["scene"]).agg(F.min(inner["begin"]).alias("first_begin"))
+def contained_in(inner: DataFrame, outer: DataFrame, width: int = 1024) -> DataFrame:
+    """(doc, scene, first_begin): the first inner span that lies whole inside each outer one.
+
+    Positions are dealt out in stretches of ``width``: an inner span is in the one where it begins, an outer span in
+    all that it reaches, so only spans near each other meet, however long the document.
+    """
+    at = inner.select("doc", F.floor(F.col("begin") / width).alias("_at"), F.col("begin").alias("_b"), F.col("end").alias("_e"))
+    reached = F.sequence(F.floor(F.col("begin") / width), F.floor(F.greatest("begin", "end") / width))
+    over = outer.select("doc", "scene", "begin", "end", F.explode(reached).alias("_at"))
+    x = over.join(at, ["doc", "_at"]).where("_b >= begin and _e <= end")
+    return x.groupBy("doc", "scene").agg(F.min("_b").alias("first_begin"))
 
 
 def next_begin(inner: DataFrame, outer: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import starts
+
 
 def ratio(n, d) -> Column:
     """n / d, 0 where d is 0."""
@@ -36,32 +38,57 @@ def exact(df: DataFrame, *keys: str) -> DataFrame:
     return x.withColumn("accuracy", ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")))
 
 
-def tolerant(df: DataFrame, tolerances=(0, 1, 3), *keys: str, sampled: str | None = None) -> DataFrame:
+def tolerant(df: DataFrame, tolerances=(0, 1, 3), *keys: str, sampled: str | None = None, own: str | None = None) -> DataFrame:
     """(keys, doc, tol, tp, fp, fn): a gold border is hit if a prediction lies within ``tol``, a prediction is
     right if a gold border does. Hits are counted on the gold side, so tp + fp needn't be the predictions.
 
     With ``sampled``, rows outside the sample have no prediction and aren't missed, but count as gold for
-    precision. One shuffle by document serves all tolerances: range frames share its order.
+    precision. With ``own``, other rows are neighbours that are looked at but not counted.
     """
-    p, g = F.col("pred"), F.col("gold")
-    if sampled:
-        p = p & F.col(sampled)
+    p = F.col("pred") & F.col(sampled) if sampled else F.col("pred")
+    scored = tolerant_flags(df.withColumn("pred", p), {"pred": "pred"}, tolerances, *keys, counted=sampled, own=own)
+    return scored.drop("name")
+
+
+def tolerant_flags(df: DataFrame, flags: dict[str, str], tolerances=(0, 1, 3), *keys: str, counted: str | None = None, own: str | None = None) -> DataFrame:
+    """(keys, doc, name, tol, tp, fp, fn) of several columns of predictions, by their names. One shuffle by document
+    and one order serve all names and tolerances: range frames share them."""
     w = Window.partitionBy(*keys, "doc").orderBy("idx")
-    x = df.select(*keys, "doc", "idx", p.alias("pred"), g.alias("gold"), (F.col(sampled) if sampled else F.lit(True)).alias("_in"))
+    here = F.col(own) if own else F.lit(True)
+    x = df.select(*keys, "doc", "idx", F.col("gold").alias("_g"), (F.col(counted) if counted else F.lit(True)).alias("_in"), here.alias("_own"), *[F.col(c).alias(f"_p{k}") for k, c in enumerate(flags.values())])
+    near = {}
     for t in tolerances:
-        x = x.withColumn(f"_p{t}", F.max("pred").over(w.rangeBetween(-t, t))).withColumn(f"_g{t}", F.max("gold").over(w.rangeBetween(-t, t)))
+        frame = w.rangeBetween(-t, t)
+        near[f"_g_{t}"] = F.max("_g").over(frame)
+        near |= {f"_p{k}_{t}": F.max(f"_p{k}").over(frame) for k in range(len(flags))}
+    x = x.select("*", *[c.alias(n) for n, c in near.items()])
+    gold = F.col("_g") & F.col("_in") & F.col("_own")
     aggs = [
         F.struct(
+            F.lit(name).alias("name"),
             F.lit(t).alias("tol"),
-            F.count_if(F.col("gold") & F.col("_in") & F.col(f"_p{t}")).alias("tp"),
-            F.count_if(F.col("pred") & ~F.col(f"_g{t}")).alias("fp"),
-            F.count_if(F.col("gold") & F.col("_in") & ~F.col(f"_p{t}")).alias("fn"),
+            F.count_if(gold & F.col(f"_p{k}_{t}")).alias("tp"),
+            F.count_if(F.col(f"_p{k}") & F.col("_own") & ~F.col(f"_g_{t}")).alias("fp"),
+            F.count_if(gold & ~F.col(f"_p{k}_{t}")).alias("fn"),
         )
+        for k, name in enumerate(flags)
         for t in tolerances
     ]
     return x.groupBy(*keys, "doc").agg(F.array(*aggs).alias("_t")).select(*keys, "doc", F.inline("_t"))
 
 
+def tolerant_concatenated(df: DataFrame, tolerances=(0, 1, 3), block: int = 50_000) -> DataFrame:
+    """(tol, tp, fp, fn) of all documents one after another by (doc, idx), so that tolerances reach over their ends.
+
+    Rows are dealt out in blocks of places, each lent the rows next to it that lie within the largest tolerance:
+    no task has more than a block.
+    """
+    reach, at = max(tolerances), F.floor(F.col("idx") / block)
+    lent = F.array_distinct(F.array(F.floor((F.col("idx") - reach) / block), at, F.floor((F.col("idx") + reach) / block)))
+    x = concatenated(df).select("idx", "pred", "gold", at.alias("_at"), F.explode(lent).alias("doc")).withColumn("_mine", F.col("_at") == F.col("doc"))
+    return tolerant(x, tolerances, own="_mine").groupBy("tol").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+
+
 def macro(scores: DataFrame, *keys: str, places: int | None = None) -> DataFrame:
     """Unweighted means over documents; of values rounded before, if ``places`` are given."""
     x = with_prf(scores, places)
@@ -79,15 +106,11 @@ def dense(df: DataFrame, doc: str = "doc", idx: str = "idx", flag: str = "gold")
 
 
 def concatenated(df: DataFrame) -> DataFrame:
-    """Documents one after another as one, numbered by (doc, idx): tolerances then reach over their ends.
-
-    Starts are sums of the counts of the documents before, so only a row per document meets in one task.
-    """
-    n = df.groupBy("doc").agg(F.count(F.lit(1)).alias("_n"))
-    starts = n.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    """Documents one after another, rows numbered by (doc, idx) from 0; starts are sums of the sizes of the documents
+    before, by ranges of documents."""
+    n = starts(df.groupBy("doc").agg(F.count(F.lit(1)).alias("_n")), ["doc"], "_n", "_start").drop("_n")
     own = F.row_number().over(Window.partitionBy("doc").orderBy("idx")) - 1
-    x = df.withColumn("_own", own).join(starts, "doc")
-    return x.withColumn("idx", F.col("_own") + F.col("_start")).withColumn("doc", F.lit("all")).drop("_own", "_start")
+    return df.withColumn("_own", own).join(n, "doc").withColumn("idx", F.col("_own") + F.col("_start")).drop("_own", "_start")
 
 
 def score_card(df: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import rank
+
 
 def hash_rank(keys: list[str], seed: int) -> Column:
-    """A pseudo-random order of rows by their keys."""
-    return F.xxhash64(F.lit(seed), *keys)
+    """A pseudo-random order of rows by their keys, the same in any engine that has MD5."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
 def evenly(df: DataFrame, n: Column, doc: str = "doc", idx: str = "idx") -> DataFrame:
@@ -69,13 +71,16 @@ def holdout(df: DataFrame, source: str, share: float | None = None, named: list[
     s = df.select(source).distinct()
     if named is not None:
         return df.withColumn("held_out", F.col(source).isin(named))
-    ranked = s.withColumn("_k", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), source), source)))
-    n = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(Window.partitionBy()) * share))
-    chosen = ranked.withColumn("_n", n).select(source, (F.col("_k") <= F.col("_n")).alias("held_out"))
+    n = s.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * share)).alias("_n"))
+    chosen = rank(s, [hash_rank([source], seed), source], "_k").crossJoin(n).select(source, (F.col("_k") <= F.col("_n")).alias("held_out"))
     return df.join(chosen, source, "left")
 
 
 def folds(df: DataFrame, source: str) -> DataFrame:
-    """Leave-one-out: per fold its source evaluates, all others train: (fold, source, role)."""
-    s = df.select(source).distinct()
-    return s.select(F.col(source).alias("fold")).crossJoin(s).withColumn("role", F.when(F.col("fold") == F.col(source), "eval").otherwise("train"))
+    """Leave-one-out: (source, fold): the number, from 0, of the fold that the source evaluates; it trains all others."""
+    return rank(df.select(source).distinct(), [source], "fold").withColumn("fold", F.col("fold") - 1)
+
+
+def fold_role(own: Column | str, fold: Column | int) -> Column:
+    """What a source does in a fold."""
+    return F.when((F.col(own) if isinstance(own, str) else own) == fold, "eval").otherwise("train")

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.labels import strip
 
 
 def _by_doc():
@@ -24,18 +26,38 @@ def ranked(df: DataFrame) -> DataFrame:
 
 
 def min_gap(df: DataFrame, gap: int) -> DataFrame:
-    """A border stays if it is ``gap`` or more positions after the last one that stayed.
+    """A border stays if it is ``gap`` or more positions after the last one that stayed."""
+    return min_gaps(df, {"pred": gap})
 
-    The greedy choice is a fold over a document's border positions, done once a document in the JVM.
+
+def min_gaps(df: DataFrame, flags: dict[str, int]) -> DataFrame:
+    """``min_gap`` of several columns of borders, each with its gap, in one pass over the documents' rows in order.
+
+    Which border stays depends on all before it, so the pass goes from row to row; it remembers the last one that
+    stayed, and holds a batch of rows however long a document is.
     """
-    x = ranked(df)
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(F.when(F.col("pred"), F.col("pos")))),
-        F.array().cast("array<int>"),
-        lambda acc, p: F.when((F.size(acc) == 0) | (p - F.element_at(acc, -1) >= gap), F.array_append(acc, p)).otherwise(acc),
-    )
-    chosen = x.groupBy("doc").agg(kept.alias("_kept")).select("doc", F.explode("_kept").alias("pos"), F.lit(True).alias("_keep"))
-    return x.join(chosen, ["doc", "pos"], "left").withColumn("pred", F.col("pred") & F.coalesce("_keep", F.lit(False))).drop("_keep")
+    x = ranked(df).withColumn("_row", F.row_number().over(_by_doc())).sortWithinPartitions("doc", "_row").drop("_row")
+    at = {c: k for k, c in enumerate(x.columns)}
+
+    def run(batches):
+        doc, last = None, dict.fromkeys(flags)
+        for b in batches:
+            cols = list(b.columns)
+            docs, pos = b.column(at["doc"]), np.asarray(b.column(at["pos"]))
+            new = {}
+            for name, gap in flags.items():
+                on = np.flatnonzero(np.asarray(b.column(at[name]).fill_null(False)))
+                keep, here, before = np.zeros(b.num_rows, bool), doc, last[name]
+                for i, d, p in zip(on.tolist(), docs.take(pa.array(on)).to_pylist(), pos[on].tolist()):
+                    if d != here or before is None or p - before >= gap:
+                        keep[i], here, before = True, d, p
+                new[name] = before if here is not None and b.num_rows and docs[b.num_rows - 1].as_py() == here else None
+                cols[at[name]] = pa.array(keep)
+            if b.num_rows:
+                doc, last = docs[b.num_rows - 1].as_py(), new
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+
+    return x.mapInArrow(run, x.schema)
 
 
 def burst_collapse(df: DataFrame) -> DataFrame:
@@ -80,9 +102,9 @@ TEMPORAL = r"(?iu)\b(?:dann|darauf|sp[aä]ter|pl[oö]tzlich|bald|nun|jetzt|sofor
 def discourse(df: DataFrame, text: str = "text") -> DataFrame:
     """A border goes if the next sentence begins like a continuation, unless the border's own begins a shift or
     either speaks of time."""
-    here = F.trim(F.coalesce(F.col(text), F.lit("")))
+    here = strip(F.coalesce(F.col(text), F.lit("")))
     after = F.coalesce(F.lead(text).over(_by_doc()), F.lit(""))
-    keep = here.rlike(SHIFT_START) | (after == "") | F.col(text).rlike(TEMPORAL) | after.rlike(TEMPORAL) | ~F.trim(after).rlike(CONTINUES)
+    keep = here.rlike(SHIFT_START) | (after == "") | F.col(text).rlike(TEMPORAL) | after.rlike(TEMPORAL) | ~strip(after).rlike(CONTINUES)
     return df.withColumn("pred", F.col("pred") & F.coalesce(keep, F.lit(True)))
 
 
@@ -103,15 +125,15 @@ _RULES: dict[str, tuple[Callable[..., Rule], set[str]]] = {
 }
 
 
-def rules(scenario: str, **options) -> tuple[list[Rule], set[str]]:
-    """The rules of a scenario in order, and the columns they need."""
+def rules(scenario: str, **options) -> tuple[list[Rule | int], set[str]]:
+    """The rules of a scenario in order, a number for a least gap, and the columns they need."""
     if scenario in ("none", "baseline"):
         return [], set()
     first, _, then = scenario.partition("_plus_")
     out, need = [], set()
     for name in filter(None, (first, then)):
         if m := re.fullmatch(r"min_scene_len_(\d+)", name):
-            out.append(lambda d, g=int(m[1]): min_gap(d, g))
+            out.append(int(m[1]))
         elif m := re.fullmatch(r"n_per_k_(\d+)", name):
             out.append(lambda d, k=int(m[1]): n_per_k(d, k))
         elif name in _RULES:
@@ -123,18 +145,38 @@ def rules(scenario: str, **options) -> tuple[list[Rule], set[str]]:
     return out, need
 
 
+def sweep_flags(df: DataFrame, scenarios=SCENARIOS, **options) -> tuple[DataFrame, dict[str, str]]:
+    """(rows, columns): the rows once, with a column of borders for each scenario. The rules share the documents'
+    partitions; least gaps, wherever they stand in a scenario, go over the rows together, so ``n`` scenarios of one
+    gap each take one pass."""
+    columns = {s: f"_s{k}" for k, s in enumerate(scenarios)}
+    x, todo = ranked(df), {}
+    for s, c in columns.items():
+        todo[s], need = rules(s, **options)
+        if missing := need - set(df.columns):
+            raise ValueError(f"{s} needs {', '.join(sorted(missing))}")
+        x = x.withColumn(c, F.col("pred"))
+    while any(todo.values()):
+        for s, c in columns.items():
+            while todo[s] and not isinstance(todo[s][0], int):
+                x = todo[s].pop(0)(x.withColumn("_pred", F.col("pred")).withColumn("pred", F.col(c)))
+                x = x.withColumn(c, F.col("pred")).withColumn("pred", F.col("_pred")).drop("_pred")
+        if gaps := {columns[s]: steps.pop(0) for s, steps in todo.items() if steps}:
+            x = min_gaps(x, gaps)
+    return x, columns
+
+
 def apply_scenario(df: DataFrame, scenario: str, **options) -> DataFrame:
     """``df`` with ``pred`` thinned by the scenario; columns that it needs must be there."""
-    steps, need = rules(scenario, **options)
-    if missing := need - set(df.columns):
-        raise ValueError(f"{scenario} needs {', '.join(sorted(missing))}")
-    return reduce(lambda d, f: f(d), steps, ranked(df))
+    x, columns = sweep_flags(df, (scenario,), **options)
+    return x.withColumn("pred", F.col(columns[scenario])).drop(columns[scenario])
 
 
 def sweep(df: DataFrame, scenarios=SCENARIOS, **options) -> DataFrame:
-    """The rows under each scenario, named in ``scenario``: one plan, a union of lazy branches."""
-    parts = [apply_scenario(df, s, **options).withColumn("scenario", F.lit(s)).select("scenario", "doc", "idx", "gold", "pred") for s in scenarios]
-    return reduce(DataFrame.unionByName, parts)
+    """The rows under each scenario, named in ``scenario``."""
+    x, columns = sweep_flags(df, scenarios, **options)
+    each = F.array(*[F.struct(F.lit(s).alias("scenario"), F.col(c).alias("pred")) for s, c in columns.items()])
+    return x.select("doc", "idx", "gold", F.inline(each)).select("scenario", "doc", "idx", "gold", "pred")
 
 
 def verifier_demotion(df: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import starts
+
 
 def by_doc(doc: str = "doc", idx: str = "idx"):
     return Window.partitionBy(doc).orderBy(idx)
@@ -36,11 +38,11 @@ def neighbour_budget(df: DataFrame, n: int, text: str = "text", doc: str = "doc"
     return x.withColumn("left", left).withColumn("right", F.slice("right", F.lit(1), F.col("_r"))).drop("_l", "_r")
 
 
-def token_budget(df: DataFrame, budget: int, text: str = "text", doc: str = "doc", idx: str = "idx", reach: int = 64) -> DataFrame:
+def token_budget(df: DataFrame, budget: int, text: str = "text", doc: str = "doc", idx: str = "idx") -> DataFrame:
     """``n_left`` and ``n_right``: neighbours that fit a budget of words, in turns from the left first; a side
     closes when it ends or its next row doesn't fit, then the other goes on. A row of a word or more costs at
-    least one, so no more than ``budget`` rows fit; ``reach`` is raised to it."""
-    k = min(budget, max(reach, budget))
+    least one, so no more than ``budget`` rows fit."""
+    k = budget
     n = F.size(F.filter(F.split(text, r"\s+"), lambda x: x != ""))
     w = by_doc(doc, idx)
     x = df.withColumn("_n", F.greatest(n, F.lit(1)))
@@ -186,11 +188,8 @@ def opposite_near(df: DataFrame, flag: str, other: str, reach: int, doc: str = "
 def global_position(df: DataFrame, group: list, order: list, name: str = "position") -> DataFrame:
     """``name``: each row's place from 1 among all rows by ``group``, then ``order``, where ``group`` are columns.
 
-    Groups are counted first; only a row per group meets in one task to be summed, and rows are ranked in
-    their own group, so no task sees all rows.
+    Groups are counted and their sizes summed by ranges; rows are ranked in their own group, so no task sees all rows.
     """
-    n = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1))
-    starts = n.withColumn("_start", F.coalesce(before, F.lit(0))).drop("_n")
-    x = df.withColumn("_own", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).join(starts, group)
+    n = starts(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), group, "_n", "_start").drop("_n")
+    x = df.withColumn("_own", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).join(n, group)
     return x.withColumn(name, (F.col("_own") + F.col("_start")).cast("int")).drop("_own", "_start")

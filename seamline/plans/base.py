@@ -49,11 +49,11 @@ SEQ = """seq AS (
 
 
 def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sequence with every third event, whose index has gaps."""
-    return sequence(spark, sf_dir).where("event_id % 3 = 0")
+    """The sequence with gaps in its index: after every third row two places are missing."""
+    return sequence(spark, sf_dir).withColumn("idx", F.expr("idx + 2 * (idx div 3)").cast("int"))
 
 
-SAMPLE = SEQ + """, sam AS (SELECT * FROM seq WHERE event_id % 3 = 0)"""
+SAMPLE = SEQ + """, sam AS (SELECT * REPLACE (CAST(idx + 2 * (idx // 3) AS INTEGER) AS idx) FROM seq)"""
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +62,10 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(d, "text", ["doc_id", "lang"])
 
 
-_LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
-_PARTS = r"list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) +', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+#: the characters of white space, and a pattern of them
+SPACES = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, '{SPACES}')), lambda x: x <> '')"
+_PARTS = rf"list_filter(string_split(regexp_replace(trim(regexp_replace(text, '[{SPACES}]+', ' ', 'g')), '([.!?]) +', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
 SENT = f"""sent AS (
     SELECT doc_id, lang, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS idx, unnest(parts) AS text
     FROM (SELECT doc_id, lang, CASE WHEN len({_LINES}) > 1 THEN {_LINES} ELSE {_PARTS} END AS parts FROM documents WHERE text IS NOT NULL) x

@@ -287,7 +287,7 @@ UNION ALL SELECT 'n_per_k', doc, idx, gold, pred AND row_number() OVER (PARTITIO
 
 @query(f"WITH {_SWEEP_SQL}, t AS ({tolerant_sql('sw', key='scenario')}) SELECT scenario, tol, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM t GROUP BY scenario, tol")
 def p8_scenario_sweep(spark, d):
-    t = metrics.tolerant(thinning.sweep(sequence(spark, d), _SWEEP), (0, 1, 3), "scenario")
+    t = metrics.tolerant_flags(*thinning.sweep_flags(sequence(spark, d), _SWEEP), (0, 1, 3)).withColumnRenamed("name", "scenario")
     return t.groupBy("scenario", "tol").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
 
 
@@ -300,8 +300,9 @@ _F1 = "CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / ((tp / (t
 SELECT doc, gap, f1 FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY f1 DESC, gap) AS k FROM s) x WHERE k = 1""")
 def p9_best_gap(spark, d):
     x = sequence(spark, d)
-    swept = metrics.union_all([thinning.min_gap(x, g).select(F.lit(g).alias("gap"), "doc", "idx", "gold", "pred") for g in (2, 3, 4)])
-    scores = metrics.with_prf(metrics.tolerant(swept, (3,), "gap")).select("gap", "doc", "f1")
+    swept = thinning.sweep_flags(x, [f"min_scene_len_{g}" for g in (2, 3, 4)])
+    gap = F.split_part("name", F.lit("_"), F.lit(-1)).cast("int")
+    scores = metrics.with_prf(metrics.tolerant_flags(*swept, (3,))).select(gap.alias("gap"), "doc", "f1")
     return planning.best_gap(scores)
 
 
@@ -397,7 +398,8 @@ def p13_apply_patches(spark, d):
 
 @query(f"WITH {_SWEEP_SQL}, t AS ({tolerant_sql('sw', (0, 1, 3, 5), 'scenario')}) SELECT scenario, tol, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM t WHERE scenario IN ('none', 'min_scene_len_3', 'burst_collapse') GROUP BY scenario, tol")
 def p14_what_if(spark, d):
-    t = metrics.tolerant(thinning.sweep(sequence(spark, d), ("none", "min_scene_len_3", "burst_collapse")), (0, 1, 3, 5), "scenario")
+    swept = thinning.sweep_flags(sequence(spark, d), ("none", "min_scene_len_3", "burst_collapse"))
+    t = metrics.tolerant_flags(*swept, (0, 1, 3, 5)).withColumnRenamed("name", "scenario")
     return t.groupBy("scenario", "tol").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import align, rollups
+from ..operators import align, ranges, rollups
 from ..operators import windows as W
 from .base import PRED, SEQ, predictions, sequence, table
 from .ordered import _SUGGEST, _overrides, patch_plans
@@ -132,7 +132,7 @@ def a14_failed_keys(spark, d):
     from ..functions.labels import stem_number
 
     f = rollups.failed_keys(predictions(spark, d))
-    return f.select("slug", F.array_join("keys", ",").alias("keys"), F.row_number().over(Window.orderBy(stem_number("slug"))).alias("by_number"))
+    return ranges.rank(f.select("slug", F.array_join("keys", ",").alias("keys")), [stem_number("slug"), "slug"], "by_number")
 
 
 _CALLS = f"{SEQ}, cl AS (SELECT doc, idx AS seq, k % 6 <> 0 AS ok, CASE WHEN k % 12 = 0 THEN 'rate_limit' WHEN k % 6 = 0 AND k > 90 THEN 'auth_error' WHEN k % 6 = 0 THEN 'api_error' END AS kind FROM seq)"

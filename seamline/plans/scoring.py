@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import alerts
-from ..operators import align, metrics, planning, sampling
+from ..operators import align, metrics, planning, ranges, sampling
 from ..operators import windows as W
 from ..operators.metrics import ratio
 from .base import PRED, SAMPLE, SENT, SEQ, predictions, sample, sentences, sequence, table
@@ -74,7 +74,7 @@ def m7_micro(spark, d):
 
 @query(f"WITH {SEQ}, q AS (SELECT 'all' AS doc, row_number() OVER (ORDER BY doc, idx) - 1 AS idx, pred, gold FROM seq), t AS ({tolerant_sql('q')}) SELECT tol, tp, fp, fn FROM t")
 def m8_concatenated(spark, d):
-    return metrics.tolerant(metrics.concatenated(sequence(spark, d))).select("tol", "tp", "fp", "fn")
+    return metrics.tolerant_concatenated(sequence(spark, d))
 
 
 _M9 = f"""{PRED}, dr AS (SELECT slug, count(*) AS n, avg(CASE WHEN (coalesce(label, '') = 'BORDER') = gold THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) FILTER (WHERE NOT parse_ok) / count(*) AS parse_failure_rate,
@@ -287,7 +287,10 @@ def x1_stratified(spark, d):
     return sampling.stratified(sequence(spark, d)).select("doc", "idx", "gold")
 
 
-@query()
+_ORDER = "md5(concat_ws('|', 42, doc, idx))"
+
+
+@query(f"WITH {SEQ} SELECT doc, idx FROM (SELECT doc, idx, row_number() OVER (PARTITION BY doc ORDER BY {_ORDER}, idx) AS k FROM seq WHERE gold) x WHERE k <= 5")
 def x2_capped_sample(spark, d):
     return sampling.capped(sequence(spark, d).where("gold"), 5, 42).select("doc", "idx")
 
@@ -312,19 +315,28 @@ def x5_negative_policy(spark, d):
     return x.select("doc", want("pct", 0.25).alias("pct"), want("paper").alias("paper"), want("ratio", 2.0).alias("ratio"), want("ratio", 0.0).alias("everything"))
 
 
-@query()
+_DISTANCE = "least(idx - last_value(CASE WHEN gold THEN idx END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY idx ROWS UNBOUNDED PRECEDING), first_value(CASE WHEN gold THEN idx END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - idx)"
+
+
+@query(f"""WITH {SEQ}, n AS (SELECT *, gold OR coalesce({_DISTANCE} <= 1, FALSE) AS near, count(*) FILTER (WHERE NOT gold) OVER (PARTITION BY doc) AS others FROM seq),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc, near ORDER BY {_ORDER}, idx) AS nth, count(*) FILTER (WHERE near AND NOT gold) OVER (PARTITION BY doc) AS have FROM n)
+SELECT doc, idx, gold FROM r WHERE near OR nth <= greatest(1, round_even(others * 0.5, 0)) - have""")
 def x6_hard_negatives(spark, d):
     return sampling.hard_negatives(sequence(spark, d), 1, 0.5, 42).select("doc", "idx", "gold")
 
 
-@query()
+@query("""WITH s AS (SELECT DISTINCT source FROM documents), k AS (SELECT source, row_number() OVER (ORDER BY md5(concat_ws('|', 42, source)), source) AS k, count(*) OVER () AS n FROM s)
+SELECT doc_id, source, k <= greatest(1, floor(n * 0.2)) AS held_out FROM documents JOIN k USING (source)""")
 def x7_holdout(spark, d):
     return sampling.holdout(table(spark, d, "documents"), "source", 0.2, seed=42).select("doc_id", "source", "held_out")
 
 
-@query("WITH s AS (SELECT DISTINCT source FROM documents) SELECT a.source AS fold, b.source, CASE WHEN a.source = b.source THEN 'eval' ELSE 'train' END AS role FROM s a CROSS JOIN s b")
+@query("""WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT source, CAST(row_number() OVER (ORDER BY source) - 1 AS INTEGER) AS fold, n AS n_eval, CAST(sum(n) OVER () AS BIGINT) - n AS n_train,
+CASE WHEN row_number() OVER (ORDER BY source) = 3 THEN 'eval' ELSE 'train' END AS role_in_fold_2 FROM s""")
 def x8_folds(spark, d):
-    return sampling.folds(table(spark, d, "documents"), "source")
+    x = table(spark, d, "documents")
+    n = x.groupBy("source").agg(F.count(F.lit(1)).alias("n_eval")).crossJoin(x.agg(F.count(F.lit(1)).alias("_all")))
+    return sampling.folds(x, "source").join(n, "source").select("source", "fold", "n_eval", (F.col("_all") - F.col("n_eval")).alias("n_train"), sampling.fold_role("fold", 2).alias("role_in_fold_2"))
 
 
 @query("SELECT DISTINCT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text FROM (SELECT c.*, length(text) > 200 AS pred, role = 'user' AS gold FROM conversations c) x WHERE pred AND NOT gold")
@@ -363,8 +375,7 @@ _F3 = f"t AS ({tolerant_sql('seq', (3,))}), s AS (SELECT doc, {_PRF} FROM t)"
 @query(f"WITH {SEQ}, {_F3} SELECT doc, f1, CAST(row_number() OVER (ORDER BY coalesce(f1, 0) DESC, coalesce(recall, 0) DESC, doc) AS INTEGER) AS rank FROM s")
 def t2_ranked_runs(spark, d):
     s = metrics.with_prf(metrics.tolerant(sequence(spark, d), (3,)))
-    w = Window.orderBy(F.coalesce("f1", F.lit(0)).desc(), F.coalesce("recall", F.lit(0)).desc(), "doc")
-    return s.select("doc", "f1", F.row_number().over(w).alias("rank"))
+    return ranges.rank(s.select("doc", "f1", "recall"), [-F.coalesce("f1", F.lit(0.0)), -F.coalesce("recall", F.lit(0.0)), "doc"]).select("doc", "f1", "rank")
 
 
 @query("SELECT name, origin, balance, segment FROM (SELECT c_name AS name, 'customer' AS origin, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_name, 'supplier', s_acctbal, NULL FROM supplier) x WHERE balance > 9000")
@@ -385,21 +396,22 @@ _B = "b AS (SELECT doc, count(*) AS n FROM seq GROUP BY doc)"
 @query(f"WITH {SEQ}, {_B} {_budget_sql('3000')}")
 def t4_budget_prefix(spark, d):
     b = sequence(spark, d).groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
-    return planning.budget_prefix(b, "n", [F.col("n").desc(), "doc"], 3000).select("doc", "n")
+    return planning.budget_prefix(b, "n", [-F.col("n"), "doc"], 3000).select("doc", "n")
 
 
 @query(f"WITH {SEQ}, {_B} {_budget_sql('(5000 - 1200)')}")
 def t5_headroom(spark, d):
     b = sequence(spark, d).groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
-    return planning.budget_prefix(b, "n", [F.col("n").desc(), "doc"], F.lit(5000) - F.lit(1200)).select("doc", "n")
+    return planning.budget_prefix(b, "n", [-F.col("n"), "doc"], 5000 - 1200).select("doc", "n")
 
 
 @query(f"""WITH {PRED}, b AS (SELECT slug, count(*) AS n FROM pr GROUP BY slug) SELECT slug, CAST(row_number() OVER (ORDER BY CAST(regexp_extract(slug, '([0-9]+)', 1) AS BIGINT), slug) AS INTEGER) AS by_number,
 CAST(row_number() OVER (ORDER BY slug) AS INTEGER) AS by_slug, CAST(row_number() OVER (ORDER BY n DESC, slug) AS INTEGER) AS by_count FROM b""")
 def t6_order_modes(spark, d):
     b = predictions(spark, d).groupBy("slug").agg(F.count(F.lit(1)).alias("n"))
-    at = lambda m: F.row_number().over(Window.orderBy(*planning.order_key(m)))
-    return b.select("slug", at("numeric").alias("by_number"), at("slug").alias("by_slug"), at("count").alias("by_count"))
+    for mode, name in (("numeric", "by_number"), ("slug", "by_slug"), ("count", "by_count")):
+        b = ranges.rank(b, planning.order_key(mode), name)
+    return b.drop("n")
 
 
 @query(f"WITH {SEQ} SELECT doc, idx FROM seq WHERE idx < 10")
@@ -427,12 +439,16 @@ def p15_improvement_gate(spark, d):
     return planning.improvement_gate(metrics.with_prf(metrics.tolerant(sequence(spark, d), (3,))))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 5 WHEN p_size % 3 = 0 THEN 3 WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS epochs, CASE WHEN p_size % 5 = 0 THEN p_brand WHEN p_size % 2 = 0 THEN p_type ELSE 'base' END AS model FROM part")
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 5 WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS epochs, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'base' END AS model, p_size % 4 = 0 AS debug,
+CASE WHEN p_size % 3 = 0 THEN '/d' ELSE 'data' END AS data_dir, CASE WHEN p_size % 10 = 0 THEN 7 WHEN p_size % 4 = 0 THEN 20 ELSE 0 END AS eval_preflight_rows, CASE WHEN p_size % 5 = 0 THEN 256 ELSE 96 END AS eval_max_new_tokens FROM part""")
 def j12_config_precedence(spark, d):
+    """Defaults under a file, an environment whose empty values don't count, and a job's metadata."""
     size = F.col("p_size")
-    layer = lambda every, epochs, model: F.when(size % every == 0, F.struct(F.lit(epochs).alias("epochs"), model.alias("model")))
-    none = F.lit(None).cast("string")
+    file = F.struct(F.lit(2).alias("epochs"), F.col("p_brand").alias("model"), (size % 4 == 0).alias("debug"), F.when(size % 10 == 0, 7).alias("eval_preflight_rows"))
     x = table(spark, d, "part").select(
-        "p_partkey", layer(1, 1, F.lit("base")).alias("defaults"), layer(2, 2, F.col("p_type")).alias("file"), layer(3, 3, none).alias("environment"), layer(5, 5, F.col("p_brand")).alias("job")
+        "p_partkey",
+        F.when(size % 2 == 0, F.to_json(file)).alias("file"),
+        F.when(size % 3 == 0, F.create_map(F.lit("DATA_DIR"), F.lit("/d"), F.lit("MODEL"), F.lit(""))).alias("environment"),
+        F.when(size % 5 == 0, F.lit('{"epochs": 5, "target_format": "cot_list"}')).alias("job"),
     )
-    return planning.by_precedence(x, ["epochs", "model"], ["defaults", "file", "environment", "job"])
+    return planning.settings(x, {"epochs": 1, "model": "base", "debug": False, "data_dir": "data"}, "file", "environment", "job").drop("file", "environment", "job")

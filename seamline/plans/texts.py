@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import parsers
 from ..functions import responses as R
+from ..operators import ranges
 from ..operators import windows as W
-from ..sources import readers, sinks
-from .base import PRED, RESP, SENT, SEQ, predictions, responses, sentences, sequence, table, workspace
+from ..sources import readers, sinks, workbooks
+from .base import PRED, RESP, SENT, SEQ, SPACES, predictions, responses, sentences, sequence, table, workspace
 from .registry import query
 
 # labels in many spellings
@@ -54,9 +55,9 @@ def f6_int_or_position(spark, d):
     return x.select("event_id", L.int_or("s", "idx").alias("number"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(lower(left(text, 60)), '[^\p{L}\p{N}]+', '_', 'g'), '_') AS slug FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '_', 'g'), '_') AS slug FROM documents")
 def f7_slug(spark, d):
-    return table(spark, d, "documents").select("doc_id", L.slug(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", L.slug("text").alias("slug"))
 
 
 @query("SELECT p_partkey, replace(replace(p_brand || '/' || p_type || ':x', '/', '_'), ':', '_') AS model_path, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') AS ascii_slug, p_type || ':x' AS short_model, CAST(nullif(regexp_extract(p_brand, '([0-9]+)', 1), '') AS BIGINT) AS number FROM part")
@@ -68,14 +69,14 @@ def f8_path_helpers(spark, d):
 _JC = "TRY_CAST(CASE WHEN starts_with(trim(raw), '{') AND json_valid(raw) THEN json_extract_string(raw, '$.confidence') END AS DOUBLE)"
 
 
-@query(f"WITH {RESP} SELECT event_id, {_JC} AS confidence FROM resp WHERE event_id % 14 <> 7")
+@query(f"WITH {RESP} SELECT event_id, {_JC} AS confidence FROM resp")
 def f9_confidence(spark, d):
-    return responses(spark, d).where("event_id % 14 <> 7").select("event_id", R.confidence("raw").alias("confidence"))
+    return responses(spark, d).select("event_id", R.confidence("raw").alias("confidence"))
 
 
-@query(f"WITH {RESP} SELECT event_id, coalesce(CASE WHEN starts_with(raw, '{{') AND json_valid(raw) THEN json_extract_string(raw, '$.reason') END, '') AS reason FROM resp WHERE event_id % 14 <> 7")
+@query(f"WITH {RESP} SELECT event_id, coalesce(CASE WHEN starts_with(raw, '{{') AND json_valid(raw) THEN json_extract_string(raw, '$.reason') END, '') AS reason FROM resp")
 def f10_reason(spark, d):
-    return responses(spark, d).where("event_id % 14 <> 7").select("event_id", R.reason("raw").alias("reason"))
+    return responses(spark, d).select("event_id", R.reason("raw").alias("reason"))
 
 
 @query("SELECT doc_id, left(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], 240) AS line FROM documents")
@@ -104,17 +105,19 @@ def f14_preview(spark, d):
     return table(spark, d, "documents").select("doc_id", L.preview("text", 160).alias("preview"))
 
 
-@query("SELECT doc_id, 'a' || left(text, 20) || 'b' AS cleaned FROM documents")
+@query("SELECT doc_id, text || 'b' AS cleaned FROM documents")
 def f15_strip_controls(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.concat(F.lit("a"), F.char(F.lit(1)), F.substring("text", 1, 20), F.char(F.lit(11)), F.lit("b")).alias("t"))
+    """Controls stand after each blank and at the end of every text."""
+    x = table(spark, d, "documents").select("doc_id", F.concat(F.replace("text", F.lit(" "), F.concat(F.lit(" "), F.char(F.lit(1)))), F.char(F.lit(11)), F.lit("b")).alias("t"))
     return x.select("doc_id", L.strip_controls("t").alias("cleaned"))
 
 
-@query("SELECT 'object' AS type, 2 AS n_properties")
+_SCHEMA = """concat('{"$schema":"x","type":"object","title":"', p_brand, '","additionalProperties":false,"properties":{"label":{"type":"string","title":"l"},"size":{"anyOf":[{"$id":"s","maximum":', CAST(p_size AS STRING), '},{"title":1}]}}}')"""
+
+
+@query("""SELECT p_partkey, '{"type":"object","properties":{"label":{"type":"string"},"size":{"anyOf":[{"maximum":' || CAST(p_size AS VARCHAR) || '},{}]}}}' AS schema FROM part""")
 def f16_schema_sanitiser(spark, d):
-    raw = {"$schema": "x", "type": "object", "title": "t", "additionalProperties": False, "properties": {"label": {"type": "string", "title": "l"}, "reason": {"type": "string"}}}
-    s = sinks.sanitize_schema(raw)
-    return spark.createDataFrame([(s["type"], len(s["properties"]))], "type string, n_properties int")
+    return table(spark, d, "part").select("p_partkey", sinks.sanitized_schema(F.expr(_SCHEMA)).alias("schema"))
 
 
 _COST = "(prompt_tokens * 0.3 + (output_tokens + coalesce(thought_tokens, 0)) * 2.5) / 1000000"
@@ -190,9 +193,12 @@ def f24_shift_cues(spark, d):
     return x.select("event_id", F.array_join(L.shift_cues("t"), ",").alias("cues"))
 
 
-@query("SELECT p_partkey, CAST(least(4096, p_size * 100 + 768) AS INTEGER) AS seq_len FROM part")
+_FORMAT = "CASE p_size % 4 WHEN 0 THEN 'cot_list' WHEN 1 THEN 'json' WHEN 2 THEN 'no_cot' ELSE 'other' END"
+
+
+@query(f"SELECT p_partkey, CAST(least(4096, p_size * 100 + 768) AS INTEGER) AS seq_len, CASE {_FORMAT} WHEN 'cot_list' THEN 256 WHEN 'no_cot' THEN 128 ELSE 96 END AS new_tokens FROM part")
 def f25_sequence_length(spark, d):
-    return table(spark, d, "part").select("p_partkey", L.sequence_length(F.col("p_size") * 100).cast("int").alias("seq_len"))
+    return table(spark, d, "part").select("p_partkey", L.sequence_length(F.col("p_size") * 100).cast("int").alias("seq_len"), L.new_tokens(F.expr(_FORMAT)).alias("new_tokens"))
 
 
 @query("""SELECT p_partkey, left(sha256('{"p_brand":"' || p_brand || '","p_size":' || CAST(p_size AS VARCHAR) || '}'), 16) AS hash FROM part""")
@@ -200,10 +206,20 @@ def f26_config_hash(spark, d):
     return table(spark, d, "part").select("p_partkey", L.config_hash("p_size", "p_brand").alias("hash"))
 
 
-@query("SELECT p_partkey, replace(p_brand, '/', '_') || '__' || p_type || '__x' AS key FROM part")
+_AREA = "CASE WHEN p_size % 3 = 0 THEN 'reproduction' ELSE 'prompting' END"
+_COMMAND = """'run ''--brand=' || p_brand || ''' ''' || p_type || ' x'' ''it''"''"''s'''"""
+
+
+@query(f"SELECT p_partkey, replace(p_brand, '/', '_') || '__' || p_type || '__x' AS key, {_COMMAND} AS command, '/r/outputs/' || (CASE WHEN p_size % 3 = 0 THEN '' ELSE 'runs/' END) || {_AREA} || '/2026-05-14/' || CAST(p_partkey AS VARCHAR) AS folder FROM part")
 def f27_output_key(spark, d):
     key = sinks.output_key("{0}", "{1}", "x")
-    return table(spark, d, "part").select("p_partkey", F.replace(F.replace(F.lit(key), F.lit("{0}"), F.col("p_brand")), F.lit("{1}"), F.col("p_type")).alias("key"))
+    words = F.array(F.lit("run"), F.concat(F.lit("--brand="), "p_brand"), F.concat("p_type", F.lit(" x")), F.lit("it's"))
+    return table(spark, d, "part").withColumn("area", F.expr(_AREA)).select(
+        "p_partkey",
+        F.replace(F.replace(F.lit(key), F.lit("{0}"), F.col("p_brand")), F.lit("{1}"), F.col("p_type")).alias("key"),
+        L.command_line(words).alias("command"),
+        L.run_folder(F.lit("/r"), "area", F.lit("2026-05-14"), F.col("p_partkey").cast("string")).alias("folder"),
+    )
 
 
 @query(f"WITH {PRED} SELECT slug, coalesce(array_to_string(list(idx ORDER BY idx) FILTER (WHERE parse_ok AND label = 'BORDER'), ','), '') AS borders FROM pr GROUP BY slug")
@@ -218,27 +234,26 @@ def f29_segment_type(spark, d):
     return table(spark, d, "documents").select("doc_id", L.segment_type("text").alias("kind"))
 
 
-@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'label_reason.json' WHEN 1 THEN 'score_array.json' END AS schema_file FROM part")
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'label_reason.json' WHEN 1 THEN 'score_array.json' END AS schema_file FROM part")
 def f30_schema_lookup(spark, d):
-    known = F.create_map(F.lit("B"), F.lit("label_reason.json"), F.lit("I"), F.lit("score_array.json"))
-    family = F.get(F.array(*map(F.lit, "BIAH")), F.col("p_size") % 4)
-    return table(spark, d, "part").select("p_partkey", F.try_element_at(known, family).alias("schema_file"))
+    family = F.get(F.array(*map(F.lit, "BIA")), F.col("p_size") % 3)
+    return table(spark, d, "part").select("p_partkey", L.schema_file(family, {"B": "label_reason.json", "I": "score_array.json", "A": None}).alias("schema_file"))
 
 
 # -- responses ---------------------------------------------------------------------------------------------
 
 
-@query("""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'before ' || chr(10) || ' <sentence> ' || left(text, 30) || ' </sentence> after ' ELSE left(text, 30) END AS s FROM conversations)
+@query("""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'before ' || chr(10) || ' <sentence> ' || text || ' </sentence> after ' ELSE text END AS s FROM conversations)
 SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'before' ELSE s END AS left_context, CASE WHEN turn % 2 = 0 THEN trim(regexp_extract(s, '(?s)<sentence>(.*?)</sentence>', 1), ' ' || chr(10)) ELSE '' END AS target, CASE WHEN turn % 2 = 0 THEN 'after' ELSE '' END AS right_context FROM c""")
 def r1_split_context(spark, d):
-    s = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("before \n <sentence> "), F.substring("text", 1, 30), F.lit(" </sentence> after "))).otherwise(F.substring("text", 1, 30))
+    s = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("before \n <sentence> "), F.col("text"), F.lit(" </sentence> after "))).otherwise(F.col("text"))
     x = table(spark, d, "conversations").withColumn("c", R.split_context(s))
     return x.select("conv_id", "turn", F.col("c.left").alias("left_context"), F.col("c.target").alias("target"), F.col("c.right").alias("right_context"))
 
 
-@query("SELECT item_id, replace(replace('L: {left_context} T: {target_sentence}', '{left_context}', left(text, 10) || ' {target_sentence}'), '{target_sentence}', right(text, 10)) AS prompt FROM benchmark")
+@query("SELECT item_id, replace(replace('L: {left_context} T: {target_sentence}', '{left_context}', text || ' {target_sentence}'), '{target_sentence}', text) AS prompt FROM benchmark")
 def r2_render(spark, d):
-    values = [("left_context", F.concat(F.substring("text", 1, 10), F.lit(" {target_sentence}"))), ("target_sentence", F.expr("right(text, 10)"))]
+    values = [("left_context", F.concat("text", F.lit(" {target_sentence}"))), ("target_sentence", F.col("text"))]
     return table(spark, d, "benchmark").select("item_id", R.render(F.lit("L: {left_context} T: {target_sentence}"), values).alias("prompt"))
 
 
@@ -287,16 +302,32 @@ def r9_generation_diagnostics(spark, d):
     return responses(spark, d).select("event_id", R.has_json("raw").alias("has_json"), R.json_closed("raw").alias("json_closed"), R.truncation_suspect("raw").alias("truncation_suspect"))
 
 
-@query(f"WITH {RESP} SELECT event_id, CASE event_id % 14 WHEN 6 THEN TRUE WHEN 9 THEN FALSE WHEN 12 THEN TRUE END AS strict_flag, CASE event_id % 14 WHEN 6 THEN TRUE WHEN 12 THEN FALSE END AS loose_flag FROM resp WHERE event_id % 14 IN (5, 6, 9, 11, 12)")
+def _ordered_sql(x: str, rules) -> str:
+    out = " ".join("WHEN regexp_matches({}, '{}') THEN {}".format(x, pattern.replace("'", "''"), str(value).upper()) for pattern, value in rules)
+    return f"CASE {out} END"
+
+
+# the patterns of free text and, for its last line, of single words too
+_SURE = ((r"(?i)\b(?:Answer|Final\s*Answer)\s*:\s*BORDER\b", True), (r"(?i)\b(?:Answer|Final\s*Answer)\s*:\s*NOBORDER\b", False))
+_YES_NO = ((r"(?i)\bAnswer\s*:\s*No\b", False), (r"(?i)\bAnswer\s*:\s*Yes\b", True))
+_STARTS = ((r"(?i)\b(?:does\s+(?:\*{0,2})not(?:\*{0,2})|doesn't)\s+(?:start|introduce|mark\b)", False), (r"(?i)\b(?:starts?|introduces?|marks?)\s+(?:a\s+new\s+scene|the\s+beginning)", True))
+_WORD = ((r"(?i)^(?:BORDER|Yes|True)$", True), (r"(?i)^(?:NOBORDER|No|False)$", False))
+_SAID = "CASE WHEN event_id % 14 = 9 AND k % 2 = 0 THEN 'No.' ELSE raw END"
+_FREE = f"""CASE WHEN plain IN ('border', 'yes', 'true') THEN TRUE WHEN plain IN ('noborder', 'no', 'false') THEN FALSE
+    ELSE coalesce({_ordered_sql('t', (*_SURE, *_YES_NO, *_STARTS))}, CASE WHEN contains(line, 'True') THEN TRUE WHEN contains(line, 'False') THEN FALSE WHEN starts_with(trim(line), 'Yes') THEN TRUE WHEN starts_with(trim(line), 'No') THEN FALSE END) END"""
+_LOOSE = f"coalesce({_ordered_sql('last', (*_SURE, *_WORD, *_STARTS))}, {_ordered_sql('trim(t)', (*_SURE, *_WORD, *_STARTS))})"
+
+
+@query(f"""WITH {RESP}, t AS (SELECT event_id, {_SAID} AS t FROM resp), l AS (SELECT event_id, t, coalesce(string_split(trim(t), chr(10))[1], '') AS line, coalesce(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '')[-1], '') AS last FROM t),
+p AS (SELECT *, lower(regexp_replace(line, '[^\\p{{L}}\\p{{N}}_]+', '', 'g')) AS plain FROM l) SELECT event_id, {_FREE} AS strict_flag, {_LOOSE} AS loose_flag FROM p""")
 def r10_free_text(spark, d):
-    x = responses(spark, d).where("event_id % 14 in (5, 6, 9, 11, 12)")
-    x = x.withColumn("t", F.when(F.col("event_id") % 14 == 9, F.lit("No.")).otherwise(F.col("raw")))
-    return x.select("event_id", R.free_text_flag("t").alias("strict_flag"), R.loose_flag(F.when(F.col("event_id") % 14 == 9, F.lit("hm")).otherwise(F.col("raw"))).alias("loose_flag"))
+    x = responses(spark, d).withColumn("t", F.expr(_SAID))
+    return x.select("event_id", R.free_text_flag("t").alias("strict_flag"), R.loose_flag("t").alias("loose_flag"))
 
 
-@query(f"WITH {RESP} SELECT event_id, k >= 50 AS first_flag, k >= 50 AS last_flag, CAST(NULL AS BOOLEAN) AS absent_flag FROM resp WHERE event_id % 14 = 8")
+@query(f"WITH {RESP} SELECT event_id, CASE WHEN event_id % 14 = 8 THEN k >= 50 END AS first_flag, CASE WHEN event_id % 14 = 8 THEN k >= 50 END AS last_flag, CAST(NULL AS BOOLEAN) AS absent_flag FROM resp")
 def r11_chunk_scores(spark, d):
-    x = responses(spark, d).where("event_id % 14 = 8").withColumn("s", R.chunk_scores("raw"))
+    x = responses(spark, d).withColumn("s", R.chunk_scores("raw"))
     flag = lambda i, last=False: R.chunk_score_flag("s", i, last=last)
     return x.select("event_id", flag(F.lit(1)).alias("first_flag"), flag(F.lit(1), True).alias("last_flag"), flag(F.lit(7)).alias("absent_flag"))
 
@@ -397,13 +428,13 @@ def s3_infer_roles(spark, d):
     return readers.with_roles(x)
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS segment, CAST(NULL AS VARCHAR) AS absent FROM customer")
 def s4_read_sheet(spark, d):
-    """A sheet as its CSV export, headers stripped."""
-    path = workspace(spark, "sheet")
-    sinks.write_csv(table(spark, d, "customer").select(F.col("c_custkey").alias(" c_custkey"), F.col("c_name").alias("c_name ")), path)
-    x = spark.read.option("header", True).csv(path)
-    return x.toDF(*[c.strip() for c in x.columns])
+    """Workbooks with stripped headers and empty cells, many files of one folder."""
+    path = workspace(spark, "sheets")
+    x = table(spark, d, "customer").select(F.col("c_custkey").alias(" c_custkey"), F.col("c_name").alias("c_name "), F.when(F.col("c_custkey") % 5 > 0, F.col("c_mktsegment")).alias("segment"))
+    workbooks.write_files(workbooks.as_workbooks(x, rows=100), path)
+    return workbooks.read_workbooks(spark, path, ["c_custkey", "c_name", "segment", "absent"]).drop("path", "row")
 
 
 def _caches(spark, d):
@@ -449,54 +480,69 @@ def s9_split_sentences(spark, d):
     return sentences(spark, d).select("doc_id", "idx", "text")
 
 
-@query("SELECT CAST(0 AS INTEGER) AS page, 'One' || chr(10) || 'Two & three' AS text UNION ALL SELECT 1, 'Last'")
+def _books(spark, d):
+    """A book of each conversation, a page a turn, under file names in the opposite order."""
+    from html import escape
+
+    from ..sources.archives import write_epub
+
+    def run(batches):
+        for pdf in batches:
+            books = [write_epub([(f"z{10_000 - r['turn']}.html", f"<style>x</style><h1>{escape(r['role'])}</h1><p>{escape(r['text'])}</p>") for r in turns]) for turns in pdf["turns"]]
+            yield pdf[["path"]].assign(content=books)
+
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))).alias("turns")
+    x = table(spark, d, "conversations").groupBy(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".epub")).alias("path")).agg(turns)
+    return x.mapInPandas(run, "path string, content binary")
+
+
+_PLAIN = r"regexp_replace(regexp_replace(regexp_replace(role || chr(10) || coalesce(text, ''), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+
+
+@query(f"SELECT 'c' || CAST(conv_id AS VARCHAR) || '.epub' AS path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS page, trim({_PLAIN}, ' ' || chr(10)) AS text FROM conversations")
 def s10_read_epub(spark, d):
-    import io
-    import zipfile
-
-    from ..sources.archives import read_epub
-
-    book = io.BytesIO()
-    with zipfile.ZipFile(book, "w") as z:
-        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="o/p.opf"/></rootfiles></container>')
-        z.writestr("o/p.opf", '<package><manifest><item id="b" href="z.html"/><item id="a" href="a.html"/></manifest><spine><itemref idref="b"/><itemref idref="a"/></spine></package>')
-        z.writestr("o/a.html", "<p>Last</p>")
-        z.writestr("o/z.html", "<style>x</style><h1>One</h1><p>Two &amp;  three</p>")
-    return read_epub(spark, _binary(spark, "book.epub", book.getvalue())).select("page", "text")
-
-
-def _binary(spark, name: str, content: bytes) -> str:
-    """Write one small file to the workspace through Hadoop's file system."""
-    path = f"{workspace(spark, 'binary')}/{name}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
-    out.write(bytearray(content))
-    out.close()
-    return path
+    from ..sources.archives import epub_texts
+
+    return epub_texts(_books(spark, d))
 
 
-def _xmi(spark):
+def _archives(spark, d):
+    """A zipped annotation file of each document: its lines are sentences, its halves scenes of two types."""
     from ..sources.archives import write_xmi
 
-    text = "One  here. Two there. Three."
-    return _binary(spark, "doc.xmi.zip", write_xmi(text, [(0, 10), (11, 21), (22, 28), (28, 28)], [(0, 21, "Scene"), (22, 28, "Nonscene")]))
+    def one(text: str) -> bytes:
+        sentences, at = [], 0
+        for line in text.split("\n"):
+            sentences.append((at, at + len(line)))
+            at += len(line) + 1
+        middle = len(text) // 2
+        return write_xmi(text, sentences, [(0, middle, "Scene"), (middle, len(text), "Nonscene")])
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[["path"]].assign(content=[one(t) for t in pdf["text"]])
+
+    x = table(spark, d, "documents").where("text is not null").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".xmi.zip")).alias("path"), "text")
+    return x.mapInPandas(run, "path string, content binary")
 
 
-@query("SELECT * FROM (VALUES ('sentence', 0, 10, 'One here.'), ('sentence', 11, 21, 'Two there.'), ('sentence', 22, 28, 'Three.'), ('scene', 0, 21, NULL)) t(kind, begin, \"end\", text)")
+@query(f"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+o AS (SELECT doc_id, line, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS INTEGER) - length(line) - 1 AS b FROM l)
+SELECT 'd' || CAST(doc_id AS VARCHAR) || '.xmi.zip' AS path, 'sentence' AS kind, CAST(b AS INTEGER) AS begin, CAST(b + length(line) AS INTEGER) AS "end", trim(regexp_replace(line, '[{SPACES}]+', ' ', 'g')) AS text FROM o WHERE trim(line, '{SPACES}') <> ''
+UNION ALL SELECT 'd' || CAST(doc_id AS VARCHAR) || '.xmi.zip', 'scene', 0, CAST(length(text) // 2 AS INTEGER), NULL FROM documents WHERE text IS NOT NULL""")
 def s11_read_xmi(spark, d):
-    from ..sources.archives import read_xmi
+    from ..sources.archives import xmi_rows
 
-    return read_xmi(spark, _xmi(spark)).select("kind", "begin", "end", "text")
+    return xmi_rows(_archives(spark, d)).select("path", "kind", "begin", "end", "text")
 
 
-@query("SELECT conv_id AS start, turn AS scene FROM conversations")
+@query("SELECT conv_id, conv_id AS start, turn AS scene FROM conversations")
 def s12_standoff(spark, d):
     path = workspace(spark, "standoff")
-    x = table(spark, d, "conversations").agg(F.collect_list(F.struct(F.col("conv_id").alias("begin"), F.col("turn").alias("scene"))).alias("scenes"))
+    x = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(F.col("conv_id").alias("begin"), F.col("turn").alias("scene"))).alias("scenes"))
     x.write.json(path)
-    y = readers.read_whole_json(spark, path, "scenes array<struct<start: long, begin: long, scene: long>>").select(F.explode("scenes").alias("s"))
-    return y.select(F.coalesce("s.start", "s.begin").alias("start"), F.col("s.scene").alias("scene"))
+    y = readers.read_documents_json(spark, path, "conv_id long, scenes array<struct<start: long, begin: long, scene: long>>").select("conv_id", F.explode("scenes").alias("s"))
+    return y.select("conv_id", F.coalesce("s.start", "s.begin").alias("start"), F.col("s.scene").alias("scene"))
 
 
 @query("SELECT 'doc' || CAST(p_partkey % 50 AS VARCHAR) AS stem, min('/a/' || CAST(p_partkey AS VARCHAR) || '/doc' || CAST(p_partkey % 50 AS VARCHAR) || '.xmi.zip') AS path FROM part GROUP BY 1")
@@ -530,9 +576,8 @@ def s16_key_list(spark, d):
 def s17_summaries(spark, d):
     path = workspace(spark, "summary")
     x = sequence(spark, d).groupBy("doc").agg(F.avg("value").alias("f1_3"), F.max("value").alias("over_prediction"))
-    x = x.agg(F.map_from_entries(F.collect_list(F.struct(F.col("doc").cast("string").alias("key"), F.struct("f1_3", "over_prediction").alias("value")))).alias("documents"))
-    x.withColumn("model", F.lit("m")).write.json(path)
-    return readers.flatten_summaries(readers.read_whole_json(spark, path, "model string, documents map<string, struct<f1_3: double, over_prediction: double>>"))
+    x.select(F.lit("m").alias("model"), F.create_map(F.col("doc").cast("string"), F.struct("f1_3", "over_prediction")).alias("documents")).write.json(path)
+    return readers.flatten_summaries(readers.read_documents_json(spark, path, "model string, documents map<string, struct<f1_3: double, over_prediction: double>>"))
 
 
 @query(f"WITH {SEQ}, u AS (SELECT * FROM seq WHERE k % 5 <> 0) SELECT doc, idx, CASE WHEN coalesce(lag(event_type) OVER (PARTITION BY doc ORDER BY idx) <> event_type, TRUE) THEN 'BORDER' ELSE 'NOBORDER' END AS ground_truth_label, event_type AS scene_id_raw FROM u")
@@ -562,17 +607,21 @@ def s21_kept_position(spark, d):
 @query("SELECT c_mktsegment AS split, 'c' || CAST(c_custkey AS VARCHAR) AS member, CASE WHEN c_custkey % 3 = 0 THEN '/f/c' || CAST(c_custkey AS VARCHAR) || '.csv' END AS path, c_custkey % 3 <> 0 AS missing FROM customer")
 def s22_split_members(spark, d):
     c = table(spark, d, "customer")
-    manifest = c.withColumn("m", F.concat(F.lit("c"), F.col("c_custkey").cast("string"))).groupBy("c_mktsegment").agg(F.collect_list("m").alias("ms"))
-    manifest = manifest.agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "ms"))).alias("splits"))
+    # a split is told over several manifests, none of them longer than a thousand members
+    manifest = c.withColumn("m", F.concat(F.lit("c"), F.col("c_custkey").cast("string"))).groupBy("c_mktsegment", F.floor(F.col("c_custkey") / 1000)).agg(F.collect_list("m").alias("ms"))
+    manifest = manifest.select(F.create_map("c_mktsegment", "ms").alias("splits"))
     files = readers.first_path_per_stem(c.where("c_custkey % 3 = 0").select(F.concat(F.lit("/f/c"), F.col("c_custkey").cast("string"), F.lit(".csv")).alias("path")))
     return readers.members_with_files(readers.explode_splits(manifest), files)
 
 
-@query("SELECT * FROM (VALUES ('Scene', 0, 21), ('Nonscene', 22, 28)) t(scene_type, begin, \"end\")")
+_SCENES = "unnest([{'t': 'Scene', 'b': 0, 'e': length(text) // 2}, {'t': 'Nonscene', 'b': length(text) // 2, 'e': length(text)}])"
+
+
+@query(f"""SELECT 'd' || CAST(doc_id AS VARCHAR) || '.xmi.zip' AS path, x.t AS scene_type, CAST(x.b AS INTEGER) AS begin, CAST(x.e AS INTEGER) AS "end" FROM (SELECT doc_id, {_SCENES} AS x FROM documents WHERE text IS NOT NULL) y""")
 def s23_all_segments(spark, d):
-    from ..sources.archives import read_xmi
+    from ..sources.archives import xmi_rows
 
-    return read_xmi(spark, _xmi(spark), ()).where("kind = 'scene'").select("scene_type", "begin", "end")
+    return xmi_rows(_archives(spark, d), ()).where("kind = 'scene'").select("path", "scene_type", "begin", "end")
 
 
 @query(f"WITH {PRED} SELECT slug, array_to_string(list(event_id ORDER BY coalesce(CASE WHEN idx % 7 <> 0 THEN idx END, 0), event_id), ',') AS ids FROM pr GROUP BY slug")
@@ -581,11 +630,19 @@ def s24_grouped_rows(spark, d):
     return x.groupBy("slug").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "event_id"))), lambda s: s["event_id"].cast("string")), ",").alias("ids"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name || '.txt' WHEN p_size % 3 = 1 THEN p_brand || '.txt' WHEN p_size % 2 = 0 THEN 'a.txt' ELSE 'b.txt' END AS source FROM part")
+_S25 = """CASE WHEN p_size % 3 = 0 THEN CASE WHEN p_size % 2 = 0 THEN 'x' || CAST(p_partkey AS VARCHAR) || '.txt' END WHEN p_size % 3 = 1 THEN 'm' || CAST(p_partkey AS VARCHAR) || '.txt'
+WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 2 = 0 THEN 'a' || CAST(p_partkey AS VARCHAR) || '.txt' ELSE 'b' || CAST(p_partkey AS VARCHAR) || '.txt' END"""
+
+
+@query(f"SELECT p_partkey, {_S25} AS source, CASE WHEN ({_S25}) IS NULL THEN CASE WHEN p_size % 3 = 0 THEN 'missing file' ELSE 'no source' END END AS error FROM part")
 def s25_resolve_source(spark, d):
-    size, txt = F.col("p_size"), lambda c: F.concat(F.col(c), F.lit(".txt"))
-    found = readers.resolve_source(F.when(size % 3 == 0, txt("p_name")), F.when(size % 3 == 1, txt("p_brand")), [F.when(size % 2 == 0, F.lit("a.txt")), F.lit("b.txt")])
-    return table(spark, d, "part").select("p_partkey", found.alias("source"))
+    """Named files, manifests' first files and candidates, of which some aren't there."""
+    x, size = table(spark, d, "part"), F.col("p_size")
+    file = lambda c: F.concat(F.lit(c), F.col("p_partkey").cast("string"), F.lit(".txt"))
+    x = x.select("p_partkey", "p_size", F.when(size % 3 == 0, file("x")).alias("explicit"), F.when(size % 3 == 1, file("m")).alias("manifest_first"), F.array(file("a"), file("b")).alias("candidates"))
+    have = F.array_compact(F.array(F.when(size % 2 == 0, file("x")), file("m"), F.when((size % 5 > 0) & (size % 2 == 0), file("a")), F.when(size % 5 > 0, file("b"))))
+    files = x.select(F.explode(have).alias("path"))
+    return readers.resolve_source(x, files, ["p_partkey"]).select("p_partkey", "source", "error")
 
 
 # -- sinks -------------------------------------------------------------------------------------------------
@@ -620,10 +677,11 @@ def k4_stats_with_total(spark, d):
     return sinks.with_total(detail, detail.agg(F.sum("n").alias("n")), "doc")
 
 
-@query("SELECT doc_id, text FROM documents")
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(text, '') AS text, CASE WHEN lang = 'en' THEN 'TRUE' WHEN lang IS NOT NULL THEN 'FALSE' END AS english FROM documents")
 def k5_sheet_text(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.concat(F.char(F.lit(2)), "text").alias("text"))
-    return sinks.sheet_text(x)
+    """Workbooks of all texts, with control characters that no workbook may hold, read again."""
+    x = table(spark, d, "documents").select("doc_id", F.concat(F.char(F.lit(2)), "text").alias("text"), (F.col("lang") == "en").alias("english"))
+    return workbooks.sheet_rows(workbooks.as_workbooks(x, rows=300), ["doc_id", "text", "english"]).drop("path", "row")
 
 
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
@@ -633,9 +691,13 @@ def k6_per_document(spark, d):
     return spark.read.option("header", True).csv(path).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {SEQ} SELECT doc, idx, CASE WHEN pred AND gold THEN 'TP' WHEN pred THEN 'FP' WHEN gold THEN 'FN' ELSE 'TN' END AS status, round(conf, 2) AS conf FROM seq")
+@query(f"""WITH {SEQ}, e AS (SELECT doc, idx, CASE WHEN pred AND gold THEN 'TP' WHEN pred THEN 'FP' WHEN gold THEN 'FN' ELSE 'TN' END AS status, conf FROM seq)
+SELECT CAST(doc AS VARCHAR) AS doc, CAST(idx AS VARCHAR) AS idx, status, CASE status WHEN 'TP' THEN 'C6EFCE' WHEN 'FP' THEN 'FFC7CE' WHEN 'FN' THEN 'FFEB9C' ELSE 'E7E6E6' END AS colour, CAST(conf AS DOUBLE) AS conf FROM e""")
 def k7_reviewer_table(spark, d):
-    return sequence(spark, d).select("doc", "idx", L.eval_status("pred", "gold").alias("status"), F.round("conf", 2).alias("conf"))
+    """Reviewers' workbooks: rows with their status, coloured by it."""
+    x = sequence(spark, d).select("doc", "idx", L.eval_status("pred", "gold").alias("status"), "conf")
+    rows = workbooks.sheet_rows(workbooks.as_workbooks(x, fill_by="status", rows=2000), ["doc", "idx", "status", "conf"], fills=True)
+    return rows.select("doc", "idx", "status", F.col("fills")[2].alias("colour"), F.col("conf").cast("double").alias("conf"))
 
 
 @query("SELECT doc_id FROM documents")
@@ -646,35 +708,49 @@ def k8_append_log(spark, d):
     return spark.read.schema("doc_id long").json(path)
 
 
-@query(f"WITH {SEQ} SELECT doc, count(*) AS n, count(*) FILTER (WHERE pred) AS pred_borders, count(*) FILTER (WHERE gold) AS gold_borders FROM seq GROUP BY doc")
+@query(f"""WITH {SEQ}, r AS (SELECT doc, count(*) AS n, count(*) FILTER (WHERE pred) AS p, count(*) FILTER (WHERE gold) AS g FROM seq GROUP BY doc)
+SELECT 0 AS part, unnest(['| doc | n | pred_borders | gold_borders | note |', '| --- | --- | --- | --- | --- |']) AS line UNION ALL SELECT 1, concat('| ', doc, ' | ', n, ' | ', p, ' | ', g, ' | a\\|b |') FROM r""")
 def k9_report_table(spark, d):
     x = sequence(spark, d).groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.count_if("pred").alias("pred_borders"), F.count_if("gold").alias("gold_borders"))
-    sinks.markdown_table(x.orderBy("doc"), 5)
-    return x
+    path = workspace(spark, "k9")
+    sinks.markdown_report(x.withColumn("note", F.lit("a|b")), ["doc"]).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _files(spark, d):
-    """Two known small files."""
-    return [_binary(spark, "a.txt", b"abc\n"), _binary(spark, "b.txt", b"hello ")]
+    """A text file of each document, in folders by source."""
+    return table(spark, d, "documents").where("text is not null").select(F.concat(F.lit("/r/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"), "doc_id")
+
 
+_MANIFEST = "SELECT CAST(doc_id AS VARCHAR) || '.txt' AS name, source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, octet_length(encode(text)) AS size_bytes, md5(text) AS md5, doc_id FROM documents WHERE text IS NOT NULL"
 
-@query("SELECT 'a.txt' AS name, CAST(4 AS BIGINT) AS size_bytes, md5('abc' || chr(10)) AS md5 UNION ALL SELECT 'b.txt', 6, md5('hello ')")
+
+@query(f"SELECT name, path, size_bytes, md5 FROM ({_MANIFEST}) m")
 def k10_build_manifest(spark, d):
-    root = ",".join(_files(spark, d))
-    parts = [sinks.build_manifest(spark, p).select("name", "size_bytes", "md5") for p in root.split(",")]
-    return parts[0].unionByName(parts[1])
+    return sinks.build_manifest(_files(spark, d), "/r/")
 
 
-@query("SELECT * FROM (VALUES ('b.txt', 'size mismatch'), ('c.txt', 'missing file')) t(name, error)")
+@query(f"""SELECT CASE WHEN doc_id % 13 > 0 THEN name END AS name, CASE WHEN doc_id % 13 = 0 THEN 'missing name' WHEN doc_id % 11 = 0 THEN 'missing file' WHEN doc_id % 5 = 0 THEN 'size mismatch' ELSE 'md5 mismatch' END AS error
+FROM ({_MANIFEST}) m WHERE doc_id % 13 = 0 OR doc_id % 11 = 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0""")
 def k11_verify_manifest(spark, d):
-    have = k10_build_manifest(spark, d)
-    manifest = spark.createDataFrame([("a.txt", 4, None), ("b.txt", 7, None), ("c.txt", 1, None)], "name string, size_bytes long, md5 string")
-    return sinks.verify_manifest(manifest, have)
+    """A manifest some of whose entries have no name, no file, another size or another sum."""
+    have, n = _files(spark, d), F.col("doc_id")
+    told = sinks.build_manifest(have).withColumn("doc_id", F.split_part("name", F.lit("."), F.lit(1)).cast("long"))
+    told = told.select(
+        F.when(n % 13 > 0, F.col("name")).alias("name"), (F.col("size_bytes") + F.when(n % 5 == 0, 1).otherwise(0)).alias("size_bytes"), F.when(n % 7 == 0, "x").when(n % 3 > 0, F.col("md5")).alias("md5")
+    )
+    return sinks.verify_manifest(told, sinks.build_manifest(have.where("doc_id % 11 > 0")))
+
 
+_COMMAND_FILE = """'run --size=' || CAST(p_size AS VARCHAR) || ' ''' || p_type || ' x''' || chr(10)"""
+_CONFIG_FILE = """concat('{', chr(10), '  "brand": "', p_brand, '",', chr(10), '  "none": null,', chr(10), '  "size": ', p_size, chr(10), '}', chr(10))"""
 
-@query("SELECT 'command.txt' AS name UNION ALL SELECT 'config.json'")
+
+@query(f"SELECT p_partkey, {_COMMAND_FILE} AS command, {_CONFIG_FILE} AS config FROM part")
 def k12_repro_files(spark, d):
-    return spark.createDataFrame([(n,) for n in sinks.repro_files(["run", "--x", "a b"], {"b": 1, "a": "ü"})], "name string")
+    words = F.array(F.lit("run"), F.concat(F.lit("--size="), F.col("p_size").cast("string")), F.concat("p_type", F.lit(" x")))
+    command, config = sinks.repro_files(words, size="p_size", brand="p_brand", none=F.lit(None).cast("string"))
+    return table(spark, d, "part").select("p_partkey", command.alias("command"), config.alias("config"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 3 = 0")
@@ -701,11 +777,7 @@ def k15_patch_export(spark, d):
 
 @query("SELECT p_brand AS family, avg(p_retailprice) AS f1, CAST(row_number() OVER (ORDER BY avg(p_retailprice) DESC, p_brand) AS INTEGER) AS rank FROM part GROUP BY p_brand")
 def k16_family_comparison(spark, d):
-    from pyspark.sql import Window
-
     path = workspace(spark, "k16")
     x = table(spark, d, "part").groupBy(F.col("p_brand").alias("family")).agg(F.avg("p_retailprice").alias("f1"))
-    x.withColumn("rank", F.row_number().over(Window.orderBy(F.col("f1").desc(), "family"))).write.parquet(path)
+    ranges.rank(x, [-F.col("f1"), "family"]).write.parquet(path)
     return spark.read.parquet(path)
-
-

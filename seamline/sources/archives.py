@@ -40,16 +40,31 @@ def epub_pages(content: bytes) -> list[str]:
     return [book.read(n).decode("utf-8", "replace") for n in order]
 
 
-def read_epub(spark: SparkSession, path) -> DataFrame:
-    """(path, page, text): the text of each page of each book; markup is stripped by column expressions."""
+def epub_texts(files: DataFrame) -> DataFrame:
+    """(path, page, text): the text of each page of each book (path, content); markup is stripped by column expressions."""
 
     def run(batches):
         for pdf in batches:
             rows = [(p, k, h) for p, c in zip(pdf["path"], pdf["content"]) for k, h in enumerate(epub_pages(c))]
             yield pd.DataFrame(rows, columns=["path", "page", "html"])
 
-    pages = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, page int, html string")
-    return pages.select("path", "page", html_text("html").alias("text"))
+    return files.select("path", "content").mapInPandas(run, "path string, page int, html string").select("path", "page", html_text("html").alias("text"))
+
+
+def read_epub(spark: SparkSession, path) -> DataFrame:
+    return epub_texts(spark.read.format("binaryFile").load(path))
+
+
+def write_epub(pages: list[tuple[str, str]]) -> bytes:
+    """A book of (file name, HTML) pages in reading order."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="o/p.opf"/></rootfiles></container>')
+        items = "".join(f'<item id="i{k}" href="{name}"/>' for k, (name, _) in enumerate(pages))
+        z.writestr("o/p.opf", f"<package><manifest>{items}</manifest><spine>{''.join(f'<itemref idref=%si{k}%s/>' % (chr(34), chr(34)) for k in range(len(pages)))}</spine></package>")
+        for name, html in sorted(pages):
+            z.writestr(f"o/{name}", html)
+    return out.getvalue()
 
 
 def xmi_spans(content: bytes, scene_types: tuple[str, ...] = ("Scene",)) -> list[tuple]:
@@ -74,15 +89,19 @@ def xmi_spans(content: bytes, scene_types: tuple[str, ...] = ("Scene",)) -> list
     return sorted(out, key=lambda r: (r[0], r[1], r[2]))
 
 
-def read_xmi(spark: SparkSession, path, scene_types: tuple[str, ...] = ("Scene",)) -> DataFrame:
-    """Sentence and scene spans of XMI files; no ``scene_types``: spans of all types."""
+def xmi_rows(files: DataFrame, scene_types: tuple[str, ...] = ("Scene",)) -> DataFrame:
+    """Sentence and scene spans of XMI files (path, content); no ``scene_types``: spans of all types."""
 
     def run(batches):
         for pdf in batches:
             rows = [(p, *r) for p, c in zip(pdf["path"], pdf["content"]) for r in xmi_spans(c, scene_types)]
             yield pd.DataFrame(rows, columns=["path", "kind", "begin", "end", "text", "scene_type", "features"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, _SPANS)
+    return files.select("path", "content").mapInPandas(run, _SPANS)
+
+
+def read_xmi(spark: SparkSession, path, scene_types: tuple[str, ...] = ("Scene",)) -> DataFrame:
+    return xmi_rows(spark.read.format("binaryFile").load(path), scene_types)
 
 
 def scene_features(features: str | None, known: tuple[str, ...]) -> tuple[int | None, list[str]]:
@@ -108,18 +127,3 @@ def write_xmi(text: str, sentences: list[tuple[int, int]], scenes: list[tuple[in
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("doc.xmi", ElementTree.tostring(root))
     return out.getvalue()
-
-
-def read_workbook(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
-    """A workbook's sheet with stripped headers, all strings. Needs openpyxl; without it export the sheet as CSV."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("reading workbooks needs openpyxl; export the sheet as CSV instead") from e
-    pdf = pd.read_excel(path, sheet_name=sheet, dtype=str)
-    pdf.columns = [str(c).strip() for c in pdf.columns]
-    return spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), schema=", ".join(f"`{c}` string" for c in pdf.columns))
-
-
-def stem(path):
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\..*$", "")

@@ -34,8 +34,9 @@ def read_csv(spark: SparkSession, path, schema: str | None = None) -> DataFrame:
     return (r.schema(schema) if schema else r).csv(path)
 
 
-def read_whole_json(spark: SparkSession, path, schema: str) -> DataFrame:
-    return spark.read.option("multiLine", True).schema(schema).json(path)
+def read_documents_json(spark: SparkSession, path, schema: str) -> DataFrame:
+    """Documents as JSON, one a line, so that a task holds one of them at a time."""
+    return spark.read.schema(schema).json(path)
 
 
 def infer_role(columns: list[str], preferred: list[str], parts: list[list[str]]) -> str | None:
@@ -95,16 +96,12 @@ def explode_results(df: DataFrame) -> DataFrame:
 
 def split_sentences(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """(keys, idx, text): a line each if there are several that aren't blank, else split after ``.!?``."""
-    lines = F.filter(F.transform(F.split(text, "\n"), strip_ascii), lambda x: x != "")
-    flat = strip_ascii(F.regexp_replace(text, r"\s+", " "))
+    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
+    flat = strip(F.regexp_replace(text, r"(?U)\s+", " "))
     parts = F.filter(F.split(flat, r"(?<=[.!?]) +"), lambda x: x != "")
     return df.select(*keys, F.posexplode(F.when(F.size(lines) > 1, lines).otherwise(parts)).alias("idx", "text"))
 
 
-def strip_ascii(c):
-    return F.trim(c)
-
-
 def read_lines(spark: SparkSession, path) -> DataFrame:
     """(source_file, idx, text): one sentence a line, stripped, blank lines dropped."""
     x = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file"), "value")
@@ -172,11 +169,6 @@ def first_path_per_stem(files: DataFrame, path: str = "path") -> DataFrame:
     return files.groupBy(stem.alias("stem")).agg(F.min(path).alias("path"))
 
 
-def discover(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return first_path_per_stem(files.select("path"))
-
-
 def completed_keys(log: DataFrame, fields: list[str], column: str = "value") -> DataFrame:
     """Distinct keys of an append-only log; lines that don't parse or lack a field are skipped."""
     x = log.select(*[F.get_json_object(column, f"$.{f}").alias(f) for f in fields])
@@ -201,6 +193,12 @@ def members_with_files(members: DataFrame, files: DataFrame) -> DataFrame:
     return members.join(files, members["member"] == files["stem"], "left").select("split", "member", "path", F.col("path").isNull().alias("missing"))
 
 
-def resolve_source(explicit, manifest_first, candidates: list):
-    """The text file to read: the one named, else the manifest's first, else the first candidate there is."""
-    return F.coalesce(explicit, manifest_first, *candidates)
+def resolve_source(df: DataFrame, files: DataFrame, keys: list[str], explicit: str = "explicit", manifest_first: str = "manifest_first", candidates: str = "candidates") -> DataFrame:
+    """``df`` (one row for each value of ``keys``) with ``source``, the text file to read, and ``error``: the one
+    named, which must be there; else the manifest's first, which must be there too; else the first of the
+    candidates (an array) that is among ``files`` (path). All paths of all rows are looked up in one join."""
+    named = F.coalesce(explicit, manifest_first)
+    tried = df.select(*keys, F.posexplode(F.when(named.isNotNull(), F.array(named)).otherwise(F.col(candidates))).alias("_k", "path"))
+    found = tried.join(files.select("path").distinct(), "path", "left_semi").groupBy(*keys).agg(F.min_by("path", "_k").alias("source"))
+    missing = F.when(F.col("source").isNull(), F.when(named.isNotNull(), "missing file").otherwise("no source"))
+    return df.join(found, keys, "left").withColumn("error", missing)

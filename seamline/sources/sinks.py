@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-import shlex
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.labels import strip_controls
+from ..functions.labels import command_line, config_text, strip_controls
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -38,15 +37,6 @@ def sheet_text(df: DataFrame) -> DataFrame:
     return df.select(*[strip_controls(f.name).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema])
 
 
-def write_workbook(df: DataFrame, path: str) -> None:
-    """A workbook of up to a million rows, by the driver. Needs openpyxl."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("writing workbooks needs openpyxl; write CSV instead") from e
-    sheet_text(df.limit(1_048_575)).toPandas().to_excel(path, index=False)
-
-
 def write_per_document(df: DataFrame, path: str, key: str, kind: str = "csv", mode: str = "errorifexists") -> None:
     """A folder for each document. Rows are dealt out by it first, so a document is one file."""
     w = as_csv_values(df).repartition(key).write.mode(mode).partitionBy(key)
@@ -57,10 +47,15 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
-def build_manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(name, path, size_bytes, md5) of the files of a folder, by name."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.col("length").alias("size_bytes"), F.md5("content").alias("md5")).orderBy("name")
+def read_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, content) of the files of a folder and of those below it."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "content")
+
+
+def build_manifest(files: DataFrame, root: str = "") -> DataFrame:
+    """(name, path, size_bytes, md5) of files (path, content); paths below ``root`` are relative to it."""
+    at = F.when(F.startswith("path", F.lit(root)), F.expr(f"substring(path, {len(root) + 1})")).otherwise(F.col("path")) if root else F.col("path")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), at.alias("path"), F.octet_length("content").cast("long").alias("size_bytes"), F.md5("content").alias("md5"))
 
 
 def verify_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
@@ -81,16 +76,23 @@ def unchanged(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return files.join(manifest.select("name", "md5"), ["name", "md5"], "left_anti")
 
 
-def repro_files(command: list[str], config: dict) -> dict[str, str]:
-    """The sidecars of a run, by name."""
-    return {"command.txt": shlex.join(command) + "\n", "config.json": json.dumps(config, indent=2, sort_keys=True, ensure_ascii=False) + "\n"}
+def repro_files(command, **settings) -> list:
+    """The sidecars of a run as columns: ``command.txt`` of an array of words, ``config.json`` of its settings."""
+    return [F.concat(command_line(command), F.lit("\n")).alias("command.txt"), F.concat(config_text(**settings), F.lit("\n")).alias("config.json")]
 
 
-def markdown_table(df: DataFrame, limit: int = 200) -> str:
-    """The first rows as a table for a report."""
-    rows = [[("" if v is None else str(v)).replace("|", "\\|").replace("\n", " ") for v in r] for r in df.limit(limit).collect()]
+def markdown_rows(df: DataFrame) -> list:
+    """The head of a report's table, and the column that is its row for each row of ``df``."""
+    cell = lambda c: F.regexp_replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), "\n", " ")
     line = lambda xs: "| " + " | ".join(xs) + " |"
-    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)]) + "\n"
+    return [[line(df.columns), line(["---"] * len(df.columns))], F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, df.columns)), F.lit(" |"))]
+
+
+def markdown_report(df: DataFrame, order: list[str]) -> DataFrame:
+    """(part, line): the lines of a report's table, its head (part 0) and its rows (part 1), written in order by range."""
+    head, row = markdown_rows(df)
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.lit(1).alias("part"), row.alias("line"))
+    return df.sparkSession.createDataFrame([(0, x) for x in head], "part int, line string").coalesce(1).unionByName(rows)
 
 
 def sanitize_schema(schema, drop: tuple[str, ...] = ("$schema", "additionalProperties", "title", "$id")):
@@ -100,6 +102,18 @@ def sanitize_schema(schema, drop: tuple[str, ...] = ("$schema", "additionalPrope
     return [sanitize_schema(v, drop) for v in schema] if isinstance(schema, list) else schema
 
 
+def sanitized_schema(c, drop: tuple[str, ...] = ("$schema", "additionalProperties", "title", "$id")):
+    """``sanitize_schema`` of JSON texts; null where a text is no JSON."""
+
+    def one(text):
+        try:
+            return json.dumps(sanitize_schema(json.loads(text), drop), ensure_ascii=False, separators=(",", ":"))
+        except (TypeError, ValueError):
+            return None
+
+    return F.pandas_udf(lambda texts: texts.map(one), "string")(c)
+
+
 def output_key(model: str, family: str, mode: str) -> str:
     """The name of a run's outputs."""
     return "__".join(x.replace("/", "_").replace(":", "_") for x in (model, family, mode))
