@@ -176,5 +176,15 @@ def label_confidence_col(c) -> Column:
     return _udf(label_confidence, "label string, confidence double")(c)
 
 
+def families_col(c, families: str) -> Column:
+    """An array of what each of several families (letters) makes of a text, in one pass."""
+    names = ("family", "label", "is_valid", "error", "payload")
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [dict(zip(names, (f, *family_output(f, t if isinstance(t, str) else None)))) for f in families])
+
+    return F.pandas_udf(run, "array<struct<family: string, label: string, is_valid: boolean, error: string, payload: string>>")(c)
+
+
 def family_col(c, family: str) -> Column:
     return _udf(lambda t: family_output(family, t), "label string, is_valid boolean, error string, payload string")(c)

@@ -32,7 +32,19 @@ def c2_context_lists(spark, d):
     return x.select("doc", "idx", F.array_join("left", "|").alias("left_context"), F.array_join("right", "|").alias("right_context"))
 
 
-@query()
+# a fold over the turns: who is open, whose turn it is, what the next neighbour costs, whether it fits
+_LEFT = "(st.lo AND st.l < len(ls) AND (i % 2 = 0 OR NOT (st.ro AND st.r < len(rs))))"
+_RIGHT = f"(NOT {_LEFT} AND st.ro AND st.r < len(rs))"
+_PRICE = f"(CASE WHEN {_LEFT} THEN ls[st.l + 1] WHEN {_RIGHT} THEN rs[st.r + 1] ELSE 0 END)"
+_FITS = f"(st.used + {_PRICE} <= 40)"
+_TURN = f"""{{'l': st.l + CASE WHEN {_LEFT} AND {_FITS} THEN 1 ELSE 0 END, 'r': st.r + CASE WHEN {_RIGHT} AND {_FITS} THEN 1 ELSE 0 END, 'used': st.used + CASE WHEN {_FITS} THEN {_PRICE} ELSE 0 END,
+'lo': st.lo AND (NOT {_LEFT} OR {_FITS}), 'ro': st.ro AND (NOT {_RIGHT} OR {_FITS})}}"""
+
+
+@query(rf"""WITH {SENT}, n AS (SELECT doc_id AS doc, idx, CAST(greatest(1, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))) AS BIGINT) AS n FROM sent),
+c AS (SELECT doc, idx, coalesce(list_reverse(list(n) OVER (PARTITION BY doc ORDER BY idx ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)), []) AS ls, coalesce(list(n) OVER (PARTITION BY doc ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 40 FOLLOWING), []) AS rs FROM n),
+z AS (SELECT doc, idx, list_reduce(range(0, len(ls) + len(rs) + 4), lambda st, i: {_TURN}, {{'l': CAST(0 AS BIGINT), 'r': CAST(0 AS BIGINT), 'used': CAST(0 AS HUGEINT), 'lo': TRUE, 'ro': TRUE}}) AS s FROM c)
+SELECT doc, idx, CAST(s.l AS INTEGER) AS n_left, CAST(s.r AS INTEGER) AS n_right, CAST(s.used AS INTEGER) AS words_used FROM z""")
 def c3_token_budget(spark, d):
     x = sentences(spark, d).withColumnRenamed("doc_id", "doc")
     return W.token_budget(x, 40).select("doc", "idx", "n_left", "n_right", "words_used")

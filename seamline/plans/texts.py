@@ -257,24 +257,45 @@ def r2_render(spark, d):
     return table(spark, d, "benchmark").select("item_id", R.render(F.lit("L: {left_context} T: {target_sentence}"), values).alias("prompt"))
 
 
-@query()
-def r3_json_candidate(spark, d):
-    return responses(spark, d).select("event_id", parsers.candidate_col("raw").alias("candidate"))
+def _closing(s: str, p: str, pair: str) -> str:
+    """Where the bracket at place ``p`` of ``s`` closes, else null: as many of each kind stand from there on."""
+    o, c = pair
+    part = f"substr({s}, {p}, i - {p} + 1)"
+    return f"list_filter(range({p}, length({s}) + 1), lambda i: substr({s}, i, 1) = '{c}' AND length(replace({part}, '{o}', '')) = length(replace({part}, '{c}', '')))[1]"
 
 
-@query()
-def r4_family_output(spark, d):
-    x = responses(spark, d)
-    out = None
-    for family in "ALHI":
-        part = x.select("event_id", F.lit(family).alias("family"), parsers.family_col("raw", family).alias("r")).select("event_id", "family", "r.*")
-        out = part if out is None else out.unionByName(part)
-    return out
+def _candidate_ctes(rows: str, raw: str) -> str:
+    """CTEs on (event_id, ``raw``) of ``rows``: ``cand`` with the JSON candidate of each text."""
+    return f"""cs AS (SELECT event_id, {raw} AS t, trim({raw}, '{SPACES}') AS s FROM {rows}), cp AS (SELECT *, least(nullif(strpos(s, '{{'), 0), nullif(strpos(s, '['), 0)) AS p FROM cs),
+cand AS (SELECT event_id, t, CASE WHEN p = 1 THEN s WHEN substr(s, p, 1) = '{{' THEN substr(s, p, {_closing('s', 'p', '{}')} - p + 1) WHEN p IS NOT NULL THEN substr(s, p, {_closing('s', 'p', '[]')} - p + 1) END AS candidate FROM cp)"""
+
+
+@query(f"WITH {RESP}, {_candidate_ctes('resp', 'raw')} SELECT event_id, candidate FROM cand")
+def r3_json_candidate(spark, d):
+    return responses(spark, d).select("event_id", parsers.candidate_col("raw").alias("candidate"))
 
 
+_LABEL_WORDS = f"CASE WHEN upper(trim({{0}})) IN {_YES} THEN 'BORDER' WHEN upper(trim({{0}})) IN {_NO} THEN 'NOBORDER' END"
 _TOKEN = """CASE WHEN upper(trim(raw)) IN ('BORDER', 'TRUE', 'YES') THEN 'BORDER' WHEN regexp_matches(upper(raw), '\\bNOBORDER\\b') THEN 'NOBORDER' WHEN regexp_matches(upper(raw), '\\bBORDER\\b') THEN 'BORDER'
 WHEN regexp_matches(lower(raw), '\\b(?:does\\s+not|doesn''t)\\s+(?:start|mark|introduce)\\b') THEN 'NOBORDER' WHEN regexp_matches(lower(raw), '\\b(?:not\\s+a|no)\\s+new\\s+segment\\b') THEN 'NOBORDER'
 WHEN regexp_matches(lower(raw), '\\b(?:starts?|marks?|introduces?)\\s+(?:a\\s+)?new\\s+(?:event|scene|segment)\\b') THEN 'BORDER' END"""
+_WORD_TOKEN = "CASE WHEN regexp_matches({0}, '(?i)\\bNONE\\b') THEN 'NONE' ELSE nullif(regexp_extract({0}, '\\b(\\d+)\\b', 1), '') END"
+#: the responses, with an object that has no label
+_RAW4 = "CASE WHEN event_id % 14 = 13 THEN '{\"note\": 1}' ELSE raw END"
+_NUMBER_JSON = """CASE WHEN event_id % 14 = 0 THEN '{"label": "BORDER", "confidence": ' || CAST(CAST(json_extract_string(candidate, '$.confidence') AS DOUBLE) AS VARCHAR) || '}' ELSE candidate END"""
+_R4 = f"""{RESP}, {_candidate_ctes('resp', _RAW4)},
+pay AS (SELECT event_id, t, replace(t, 'x', 'x') AS raw, CASE WHEN json_valid(candidate) THEN {_NUMBER_JSON} END AS shown, CASE WHEN json_valid(candidate) THEN json_type(candidate) END AS kind, CASE WHEN json_valid(candidate) THEN json_extract_string(candidate, '$.label') END AS said FROM cand),
+lab AS (SELECT *, {_LABEL_WORDS.format('said')} AS label, {_TOKEN} AS token, {_WORD_TOKEN.format('raw')} AS word FROM pay)"""
+
+
+@query(f"""WITH {_R4} SELECT event_id, 'A' AS family, coalesce(token, label) AS label, coalesce(token, label) IS NOT NULL AS is_valid, CASE WHEN coalesce(token, label) IS NULL THEN 'invalid_label' ELSE '' END AS error, CASE WHEN token IS NULL AND label IS NOT NULL THEN shown ELSE t END AS payload FROM lab
+UNION ALL SELECT event_id, 'L', label, label IS NOT NULL, CASE WHEN label IS NOT NULL THEN '' WHEN shown IS NULL THEN 'json_parse_error' WHEN kind = 'OBJECT' THEN 'missing_or_invalid_label' ELSE 'json_not_object' END, shown FROM lab
+UNION ALL SELECT event_id, 'H', CASE WHEN word = 'NONE' THEN 'NOBORDER' END, word IS NOT NULL, CASE WHEN word IS NULL THEN 'invalid_sentence_id_or_none' ELSE '' END, coalesce(word, t) FROM lab
+UNION ALL SELECT event_id, 'I', NULL, coalesce(kind = 'ARRAY', FALSE), CASE WHEN shown IS NULL THEN 'json_parse_error' WHEN kind = 'ARRAY' THEN '' ELSE 'json_not_array' END, shown FROM lab
+UNION ALL SELECT event_id, 'Z', NULL, FALSE, 'unsupported_family:Z', NULL FROM lab""")
+def r4_family_output(spark, d):
+    x = responses(spark, d).select("event_id", F.expr(_RAW4).alias("raw"))
+    return x.select("event_id", F.inline(parsers.families_col("raw", "ALHIZ")))
 
 
 @query(f"WITH {RESP} SELECT event_id, {_TOKEN} AS label FROM resp")
@@ -282,17 +303,29 @@ def r5_label_token(spark, d):
     return responses(spark, d).select("event_id", R.label_token("raw").alias("label"))
 
 
-@query(f"WITH {RESP} SELECT event_id, CASE WHEN regexp_matches(raw, '(?i)\\bNONE\\b') THEN 'NONE' ELSE nullif(regexp_extract(raw, '\\b(\\d+)\\b', 1), '') END AS token FROM resp")
+@query(f"WITH {RESP} SELECT event_id, {_WORD_TOKEN.format('raw')} AS token FROM resp")
 def r6_sentence_token(spark, d):
     return responses(spark, d).select("event_id", R.sentence_token("raw").alias("token"))
 
 
-@query()
+# the first balanced braces that hold JSON: a fold over the places of opening braces, which ends where one never closes
+_OPENING = "list_filter(range(1, length(raw) + 1), lambda i: substr(raw, i, 1) = '{')"
+_FOLD = """list_reduce(pairs, lambda st, x: CASE WHEN st.dead OR st.found IS NOT NULL OR x.p < st.at THEN st WHEN x.e IS NULL THEN {'at': st.at, 'found': st.found, 'dead': TRUE}
+WHEN json_valid(substr(raw, x.p, x.e - x.p + 1)) THEN {'at': st.at, 'found': substr(raw, x.p, x.e - x.p + 1), 'dead': FALSE} ELSE {'at': x.e + 1, 'found': st.found, 'dead': FALSE} END, {'at': CAST(0 AS BIGINT), 'found': CAST(NULL AS VARCHAR), 'dead': FALSE}).found"""
+_PARSED = f"""{RESP}, op AS (SELECT event_id, raw, unnest({_OPENING}) AS p FROM resp), en AS (SELECT event_id, p, {_closing('raw', 'p', '{}')} AS e FROM op),
+pr2 AS (SELECT event_id, list({{'p': p, 'e': e}} ORDER BY p) AS pairs FROM en GROUP BY event_id), ob AS (SELECT r.event_id, r.raw, CASE WHEN pairs IS NOT NULL THEN {_FOLD} END AS found FROM resp r LEFT JOIN pr2 ON r.event_id = pr2.event_id),
+tp AS (SELECT event_id, raw, {_LABEL_WORDS.format("json_extract_string(found, '$.label')")} AS own, TRY_CAST(json_extract_string(found, '$.confidence') AS DOUBLE) AS conf,
+CASE WHEN regexp_matches(upper(raw), '\\bNOBORDER\\b') THEN 'NOBORDER' WHEN regexp_matches(upper(raw), '\\bBORDER\\b') THEN 'BORDER' END AS word FROM ob)"""
+
+
+@query(f"""WITH {_PARSED} SELECT event_id, coalesce(own, word, 'NOBORDER') AS label, CASE WHEN own IS NOT NULL THEN conf END AS confidence, coalesce(own, word) IS NOT NULL AS parse_ok, CASE WHEN coalesce(own, word) IS NULL THEN 'no_json_or_label_token' ELSE '' END AS parse_error,
+CASE WHEN own IS NOT NULL THEN 'json' WHEN word IS NOT NULL THEN 'regex_fallback' ELSE 'default_noborder' END AS parse_method FROM tp""")
 def r7_tolerant_parse(spark, d):
     return responses(spark, d).select("event_id", parsers.tolerant_col("raw").alias("r")).select("event_id", "r.*")
 
 
-@query()
+@query(f"""WITH {_R4.replace(_RAW4, 'raw')} SELECT event_id, coalesce(label, 'NOBORDER') AS label, CASE WHEN label IS NOT NULL THEN TRY_CAST(json_extract_string(shown, '$.confidence') AS DOUBLE) END AS confidence, label IS NOT NULL AS parse_ok,
+CASE WHEN label IS NOT NULL THEN '' WHEN shown IS NULL THEN 'json_parse_error' WHEN kind = 'OBJECT' THEN 'missing_or_invalid_label' ELSE 'json_not_object' END AS parse_error, CASE WHEN label IS NOT NULL THEN 'strict' ELSE 'default_noborder' END AS parse_method FROM lab""")
 def r8_strict_parse(spark, d):
     return responses(spark, d).select("event_id", parsers.strict_col("raw").alias("r")).select("event_id", "r.*")
 
@@ -365,7 +398,9 @@ def r16_feature_tags(spark, d):
     return sequence(spark, d).select("event_id", F.array_join(R.feature_tags(body, ["time", "location", "character", "action"]), ",").alias("tags"))
 
 
-@query()
+@query(f"""WITH {RESP}, w AS (SELECT event_id, k % 5 + 1 AS local, event_id % 17 = 0 AS failed, {_WORD_TOKEN.format('raw')} AS word FROM resp),
+l AS (SELECT *, CASE WHEN failed OR word IS NULL THEN NULL WHEN word <> 'NONE' AND TRY_CAST(word AS INTEGER) = local THEN 'BORDER' ELSE 'NOBORDER' END AS label FROM w)
+SELECT event_id, label, CASE WHEN failed THEN 'request_failed' WHEN label IS NULL THEN 'invalid_sentence_id_or_none' END AS error, label IS NOT NULL AS parse_ok FROM l""")
 def r17_chunk_rows(spark, d):
     """A row per sentence from chunk answers: a failed request fails, NONE is a valid no, no match is an error."""
     x = responses(spark, d).withColumn("local", F.col("k") % 5 + 1)
@@ -376,7 +411,7 @@ def r17_chunk_rows(spark, d):
     return h.select("event_id", label.alias("label"), error.alias("error"), label.isNotNull().alias("parse_ok"))
 
 
-@query()
+@query(f"""WITH {_PARSED} SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'BORDER' WHEN event_id % 2 = 0 THEN 'NOBORDER' ELSE coalesce(own, word, 'NOBORDER') END AS label, event_id % 2 = 0 OR coalesce(own, word) IS NOT NULL AS parse_ok FROM tp""")
 def r18_enrich_cached(spark, d):
     """Parses generations only where that wasn't done; labels that are there stay."""
     x = responses(spark, d).select("event_id", "raw", F.when(F.col("event_id") % 2 == 0, F.lit(True)).alias("parse_ok"), F.when(F.col("event_id") % 4 == 0, F.lit("BORDER")).alias("label"))
@@ -385,7 +420,7 @@ def r18_enrich_cached(spark, d):
     return done.select("event_id", F.coalesce("label", F.lit("NOBORDER")).alias("label"), "parse_ok").unionByName(parsed)
 
 
-@query()
+@query(f"WITH {_PARSED} SELECT event_id, coalesce(own, word, 'NOBORDER') AS label, conf AS confidence FROM tp")
 def r19_label_confidence(spark, d):
     return responses(spark, d).select("event_id", parsers.label_confidence_col("raw").alias("r")).select("event_id", "r.*")
 
