@@ -1,32 +1,35 @@
 """Language identification by mixture inference.
 
-Per language, character n-grams of the words of labelled documents are counted in Spark; a word then has a
-likelihood in each language (trigrams backed off to shorter grams). A document is a mixture of languages:
-expectation-maximisation over its words estimates the proportions, and of the nested sets of its most
-likely languages the one with the best penalised likelihood is kept.
+Per language, character n-grams of the words of labelled documents are counted in Spark, each under its full
+hash in sorted arrays in the shared folder; a word then has a likelihood in each language (trigrams backed off to
+shorter grams). A document is a mixture of languages: expectation-maximisation over its words estimates the
+proportions, and of the nested sets of its most likely languages the one with the best penalised likelihood is
+kept.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import worker
-from .wordbytes import code_points, gram_hashes, text_slices
+from . import sorted_store, worker
+from .scratch import drop_stored, stored
+from .wordbytes import code_points, gram_hashes, mix64, text_slices
 
-#: keys of the grams of each length: at most so many counts a language, whatever the corpus; more grams share keys
-KEY_BITS = {1: 14, 2: 16, 3: 18}
-#: different words held by a task while it counts, kept by a worker while it predicts, and scored at a time
-COUNTED, HELD, SCORED = 60_000, 250_000, 20_000
+#: lengths of grams, and characters that a language may have, for the mass of those not seen
+LENGTHS, CHARACTERS = (1, 2, 3), 1 << 14
+#: different words that a task holds while it counts, and different grams; words kept by a worker while it predicts, and scored at a time
+COUNTED, GRAMS, HELD, SCORED = 60_000, 1_000_000, 250_000, 20_000
 #: weight of a shorter gram's estimate, in occurrences
 BACK_OFF = 4.0
-ROUNDS, SETTLED = 30, 1e-4
+#: proportions that change by less are settled
+SETTLED = 1e-4
 UNKNOWN = "und"
 
 
@@ -35,19 +38,27 @@ def _letters(word: str) -> str:
 
 
 def _keys(words: list[str]):
-    """For each length: (keys, word of each), gram by gram; grams of one word follow one another."""
+    """For each length: (hashes, their ends), gram by gram; grams of one word follow one another; and the word of each
+    character."""
     flat, owner = code_points(words, " ", " ")
-    out = {}
-    for n, bits in KEY_BITS.items():
-        h, ends = gram_hashes(flat, owner, n)
-        out[n] = (h >> np.uint64(64 - bits)).astype(np.int64), ends
-    return out, owner
+    return {n: gram_hashes(flat, owner, n) for n in LENGTHS}, owner
+
+
+def _salted(h: np.ndarray, lang: str, length: int) -> np.ndarray:
+    return mix64(h ^ np.uint64(xxhash.xxh64_intdigest(f"{length}:{lang}")))
 
 
 def _count_grams(batches):
+    """(lang, hash, n): counts of salted grams, without language; and each language's characters in all, hash 0."""
     worker.begin("language_mixture")
     held: dict[str, Counter] = {}
-    sums: dict[tuple[str, int], np.ndarray] = {}
+    total: Counter = Counter()
+    sums: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged():
+        h = np.concatenate([x for x, _ in sums])
+        one, place = np.unique(h, return_inverse=True)
+        return one, np.bincount(place, weights=np.concatenate([n for _, n in sums]), minlength=len(one))
 
     def settle():
         for lang, words in held.items():
@@ -58,23 +69,32 @@ def _count_grams(batches):
             if known:
                 grams, owner = _keys(list(known))
                 weight = np.fromiter(known.values(), np.float64, len(known))
-                for n, (keys, ends) in grams.items():
-                    more = np.bincount(keys, weights=weight[owner[ends]], minlength=1 << KEY_BITS[n])
-                    sums[lang, n] = sums.get((lang, n), 0) + more
+                for n, (h, ends) in grams.items():
+                    one, place = np.unique(h, return_inverse=True)
+                    more = np.bincount(place, weights=weight[owner[ends]], minlength=len(one))
+                    sums.append((_salted(one, lang, n), more))
+                    if n == 1:
+                        total[lang] += int(more.sum())
         held.clear()
+        if sum(len(h) for h, _ in sums) >= 2 * GRAMS:
+            sums[:] = [merged()]
+
+    def out():
+        if sums:
+            h, n = merged()
+            sums.clear()
+            yield pa.record_batch([pa.nulls(len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "hash", "n"])
 
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             held.setdefault(lang, Counter()).update(text.lower().split())
             if sum(map(len, held.values())) >= COUNTED:
                 settle()
+                if len(sums) == 1 and len(sums[0][0]) >= GRAMS:
+                    yield from out()
     settle()
-    for (lang, n), total in sums.items():
-        used = np.flatnonzero(total)
-        yield pa.record_batch(
-            [pa.array([lang] * len(used), pa.string()), pa.array(np.full(len(used), n, np.int32)), pa.array(used), pa.array(total[used].astype(np.int64))],
-            names=["lang", "length", "key", "n"],
-        )
+    yield from out()
+    yield pa.record_batch([pa.array(total.keys(), pa.string()), pa.array([0] * len(total), pa.int64()), pa.array(total.values(), pa.int64())], names=["lang", "hash", "n"])
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -83,20 +103,26 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 class MixtureModel:
-    """Counts of gram keys per language; the languages in alphabetical order."""
+    """The languages in alphabetical order, their numbers of characters, and the store of the counts of their grams."""
+
+    def __init__(self, totals: dict[str, int], store: sorted_store.Store):
+        self.langs, self.store, self.name = sorted(totals), store, store.folder
+        self.totals = np.array([totals[x] for x in self.langs], np.float64)
 
-    def __init__(self, langs: list[str], counts: dict[int, np.ndarray]):
-        self.langs, self.counts, self.name = langs, counts, uuid.uuid4().hex
+    def _counts(self, length: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counts of the different grams, a row a language; the column of each gram)."""
+        one, place = np.unique(h, return_inverse=True)
+        found, _ = self.store.values(np.concatenate([_salted(one, lang, length) for lang in self.langs]))
+        return found.reshape(len(self.langs), len(one)), place
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Natural log-likelihood of each word (letters only) in each language."""
         grams, owner = _keys(words)
-        c1, c2, c3 = (self.counts[n] for n in (1, 2, 3))
-        total = c1.sum(axis=1, keepdims=True)
-        k1, _ = grams[1]
-        (k2, e2), (k3, e3) = grams[2], grams[3]
+        (h1, _), (h2, e2), (h3, e3) = (grams[n] for n in LENGTHS)
+        (c1, k1), (c2, k2), (c3, k3) = (self._counts(n, h) for n, h in zip(LENGTHS, (h1, h2, h3)))
+        total = self.totals[:, None]
         # the character at position e of a word, given the ones before it
-        p1 = (c1[:, k1] + 0.5) / (total + 0.5 * c1.shape[1])
+        p1 = (c1[:, k1] + 0.5) / (total + 0.5 * CHARACTERS)
         p2 = (c2[:, k2] + BACK_OFF * p1[:, e2]) / (c1[:, k1[e2 - 1]] + BACK_OFF)
         at2 = np.full(len(owner), -1)
         at2[e2] = np.arange(len(e2))
@@ -108,15 +134,13 @@ class MixtureModel:
 
 
 def learn(docs: DataFrame) -> MixtureModel:
-    """The model of ``training_rows``. At most ``2**14 + 2**16 + 2**18`` counts a language come to the driver."""
-    part = training_rows(docs).mapInArrow(_count_grams, "lang string, length int, key long, n long")
-    got = part.groupBy("lang", "length", "key").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(got["lang"].unique())
-    number = {x: k for k, x in enumerate(langs)}
-    counts = {n: np.zeros((len(langs), 1 << bits), np.float32) for n, bits in KEY_BITS.items()}
-    for n, rows in got.groupby("length"):
-        counts[n][rows["lang"].map(number).to_numpy(), rows["key"].to_numpy()] = rows["n"].to_numpy()
-    return MixtureModel(langs, counts)
+    """The model of ``training_rows``. To the driver come a row a language and a row a file of the store."""
+    part = training_rows(docs).mapInArrow(_count_grams, "lang string, hash long, n long")
+    got = stored(part.groupBy("lang", "hash").agg(F.sum("n").alias("n")), "gram_counts")
+    totals = {r["lang"]: r["n"] for r in got.where("lang is not null").collect()}
+    store = sorted_store.write(got.where("lang is null").select("hash", F.col("n").cast("double").alias("a"), F.lit(0.0).alias("b")), "language_grams")
+    drop_stored(got)
+    return MixtureModel(totals, store)
 
 
 def mixture(scores: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float]:
@@ -124,14 +148,11 @@ def mixture(scores: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float]:
     top = scores.max(axis=1, keepdims=True)
     like = np.exp(scores - top)
     pi, n = np.full(scores.shape[1], 1 / scores.shape[1]), times.sum()
-    for _ in range(ROUNDS):
+    change = 1.0
+    while change >= SETTLED:
         joint = like * pi
-        mass = joint.sum(axis=1)
-        new = (times / mass) @ joint / n
-        done = np.abs(new - pi).max() < SETTLED
-        pi = new
-        if done:
-            break
+        new = (times / joint.sum(axis=1)) @ joint / n
+        change, pi = np.abs(new - pi).max(), new
     return pi, float(times @ (np.log(like @ pi) + top[:, 0]))
 
 
@@ -207,7 +228,8 @@ def identify(docs: DataFrame, model: MixtureModel | None = None) -> DataFrame:
 
     A null text or one without letters is ``und`` with score 0, as is every text where no row could be
     learned from. A null doc_id isn't held out. Repeated rows each keep their row; columns besides doc_id,
-    text and lang are ignored; an empty table gives an empty one.
+    text and lang are ignored; an empty table gives an empty one. Of equally likely languages the first in the
+    alphabet is predicted; texts of any length are taken whole, their words counted.
     """
     model = model or learn(docs)
     x = with_language(docs.select("doc_id", "text"), model, "language")
@@ -216,6 +238,7 @@ def identify(docs: DataFrame, model: MixtureModel | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose language is known, whatever the split between the languages of a text."""
+    """Rows of ``docs`` whose language is known, whatever the split between the languages of a text. Null and empty
+    texts and those without letters go, and where no row has a language to learn from all go; repeated rows stay."""
     x = with_language(docs, learn(docs))
     return x.where(F.col("_seamline_language")["lang_pred"] != UNKNOWN).drop("_seamline_language")

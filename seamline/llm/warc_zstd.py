@@ -140,13 +140,6 @@ class Bundle:
     def record(self, frame: int, offset: int) -> tuple[dict[str, str], bytes]:
         return parse_record(self.frame(frame), offset)[:2]
 
-    def records(self):
-        for k in range(len(self.places)):
-            data, at = self.frame(k), 0
-            while at < len(data):
-                headers, block, at = parse_record(data, at)
-                yield headers, block
-
     def close(self) -> None:
         self.f.close()
 
@@ -206,38 +199,61 @@ def _described(headers: dict[str, str], block: bytes) -> tuple:
     return number("X-Page-Id"), size, digest, kind, number("X-Refers-To-Page")
 
 
-def _reader(batches):
+def _found(batches):
+    """(row, headers, block) of records at their places (page_id, record_id, uri, frame, offset, n_bytes), which stand
+    together by file and frame: a file's seek table is read once, a frame unpacked once."""
+    bundle, now, at, data = None, None, -1, b""
     for b in batches:
-        for uri in b.column(0).to_pylist():
-            bundle = Bundle(uri)
-            cols = list(zip(*(_described(*r) for r in bundle.records())))
-            bundle.close()
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            yield pa.record_batch(list(map(pa.array, cols, kinds)), names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        for row in b.to_pylist():
+            if row["uri"] != now:
+                if bundle:
+                    bundle.close()
+                bundle, now, at = Bundle(row["uri"]), row["uri"], -1
+            if row["frame"] != at:
+                at, data = row["frame"], bundle.frame(row["frame"])
+            headers, block, end = parse_record(data, row["offset"])
+            if headers["WARC-Record-ID"] != row["record_id"] or end - row["offset"] != row["n_bytes"]:
+                raise ValueError(f"{now}, frame {at}, offset {row['offset']}: not the record {row['record_id']}")
+            yield row, headers, block
+    if bundle:
+        bundle.close()
+
+
+_DESCRIBED = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+
+
+def _reader(batches):
+    rows = []
+    for _, headers, block in _found(batches):
+        rows.append(_described(headers, block))
+        if len(rows) >= 10_000:
+            yield pa.RecordBatch.from_pylist([dict(zip((n for n, _ in _DESCRIBED), r)) for r in rows], pa.schema(_DESCRIBED))
+            rows = []
+    yield pa.RecordBatch.from_pylist([dict(zip((n for n, _ in _DESCRIBED), r)) for r in rows], pa.schema(_DESCRIBED))
+
+
+def _by_place(index: DataFrame) -> DataFrame:
+    """Places of records, those of a frame together in a task."""
+    x = index.select("page_id", "record_id", "uri", "frame", "offset", "n_bytes")
+    return x.repartition("uri", "frame").sortWithinPartitions("uri", "frame", "offset")
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the indexed files."""
-    uris = index.select("uri").distinct()
-    return uris.mapInArrow(_reader, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the index, each read at its
+    frame and offset, where its identifier is checked."""
+    return _by_place(index).mapInArrow(_reader, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def fetch(index: DataFrame, wanted: DataFrame) -> DataFrame:
     """(page_id, payload) of the response records of ``wanted``'s page_ids, each by its own frame."""
 
     def run(batches):
-        for b in batches:
-            ids, payloads = [], []
-            for page_id, uri, frame, offset in zip(*(c.to_pylist() for c in b.columns)):
-                bundle = Bundle(uri)
-                headers, block = bundle.record(frame, offset)
-                bundle.close()
-                if headers["WARC-Type"] == "response":
-                    ids.append(page_id)
-                    payloads.append(block[block.index(b"\r\n\r\n") + 4 :])
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(payloads, pa.binary())], names=["page_id", "payload"])
+        for row, headers, block in _found(batches):
+            if headers["WARC-Type"] == "response":
+                yield pa.record_batch([pa.array([row["page_id"]], pa.int64()), pa.array([block[block.index(b"\r\n\r\n") + 4 :]], pa.binary())], names=["page_id", "payload"])
 
-    return index.join(wanted.select("page_id").distinct(), "page_id").select("page_id", "uri", "frame", "offset").mapInArrow(run, "page_id long, payload binary")
+    found = index.join(wanted.select("page_id").distinct(), "page_id", "left_semi")
+    return _by_place(found).mapInArrow(run, "page_id long, payload binary")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -245,7 +261,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     Null html is an empty payload. Of equal payloads of 1000 bytes or more the rows with the largest page_id
     are responses (repeated rows each), all others revisit it; rows without page_id revisit it too, unless no
-    equal row has one. A null address leaves its header out. Columns besides page_id, url and html are
-    ignored; no rows, no files.
+    equal row has one. A null address leaves its header out. A payload of any length is one record, whose frame
+    is as long as it takes. Columns besides page_id, url and html are ignored; no rows, no files.
     """
     return read_bundles(write_bundles(pages))

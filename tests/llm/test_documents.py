@@ -530,6 +530,71 @@ def test_mixture_finds_proportions():
     assert [k for k, _ in chosen] == [1, 0] and abs(chosen[0][1] - 0.7) < 0.01
 
 
+def plain_language_scores(rows):
+    """word -> log-likelihood by language, from dictionaries of all grams of the words of (lang, text) rows."""
+    counts = defaultdict(Counter)
+    for lang, text in rows:
+        for w in text.lower().split():
+            if w := "".join(filter(str.isalpha, w)):
+                for n in (1, 2, 3):
+                    counts[lang, n].update(f" {w} "[k : k + n] for k in range(len(w) + 3 - n))
+
+    def score(word, lang):
+        c, x, out = [None, *(counts[lang, n] for n in (1, 2, 3))], f" {word} ", 0.0
+        for k in range(1, len(x)):
+            p = (c[1][x[k]] + 0.5) / (sum(c[1].values()) + 0.5 * language_mixture.CHARACTERS)
+            p = (c[2][x[k - 1 : k + 1]] + 4 * p) / (c[1][x[k - 1]] + 4)
+            if k > 1:
+                p = (c[3][x[k - 2 : k + 1]] + 4 * p) / (c[2][x[k - 2 : k]] + 4)
+            out += np.log(p)
+        return out
+
+    return score
+
+
+def plain_mixture(scores, times):
+    """Proportions by plain expectation-maximisation, word by word, until nothing changes."""
+    pi = [1 / len(scores[0])] * len(scores[0])
+    for _ in range(5000):
+        new = [0.0] * len(pi)
+        for row, n in zip(scores, times):
+            joint = [p * np.exp(x - max(row)) for p, x in zip(pi, row)]
+            for k, j in enumerate(joint):
+                new[k] += n * j / sum(joint) / sum(times)
+        pi = new
+    return pi
+
+
+def test_language_model_is_as_by_plain_counts(docs, texts):
+    model = language_mixture.learn(docs)
+    rows = [(r[2], r[1]) for r in texts if r[0] is not None and r[1] is not None and r[2] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    score = plain_language_scores(rows)
+    words = ["the", "étreoi", "unseen", "中文", "a", "ouaux"]
+    assert model.langs == ["en", "fr"]
+    assert np.allclose(model.word_scores(words), [[score(w, lang) for lang in model.langs] for w in words], rtol=1e-4)
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.tuples(*[st.floats(-12, 0)] * 3, st.integers(1, 9)), min_size=1, max_size=12))
+def test_mixture_is_as_by_plain_loops(rows):
+    scores, times = np.array([r[:3] for r in rows]), np.array([r[3] for r in rows], float)
+    pi, like = language_mixture.mixture(scores, times)
+    plain = plain_mixture(scores.tolist(), times.tolist())
+    best = sum(n * np.log(sum(p * np.exp(x) for p, x in zip(plain, r))) for r, n in zip(scores.tolist(), times.tolist()))
+    assert abs(pi.sum() - 1) < 1e-9 and like <= best + 1e-6 and best - like < 0.05 * times.sum()
+
+
+def test_languages_grow_without_sharing_keys(spark, monkeypatch):
+    monkeypatch.setattr(language_mixture, "GRAMS", 3000)
+    monkeypatch.setattr(language_mixture, "COUNTED", 500)
+    rng = np.random.default_rng(2)
+    words = ["".join(map(chr, r)) for r in rng.integers(0x4E00, 0x4E00 + 2000, (9000, 4))]
+    rows = [(k, " ".join(words[k::300]), "zh") for k in range(300)]
+    model = language_mixture.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    taught = [w for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2 for w in r[1].split()]
+    assert len(model.store) == sum(len({f" {w} "[k : k + n] for w in taught for k in range(7 - n)}) for n in (1, 2, 3))
+
+
 def test_texts_in_several_languages_stay(spark):
     from tests.llm.conftest import MOTS, WORDS, prose
 

@@ -187,6 +187,19 @@ def test_records_by_offset(spark, pages, rows):
     assert got == {r[0]: r[2] for r in rows if r[0] in (5, 202)}
 
 
+def test_a_wrong_place_is_an_error(pages):
+    from pyspark.errors import PythonException
+    from pyspark.sql import functions as F
+
+    index = warc_zstd.write_bundles(pages)
+    swapped = index.withColumn("record_id", F.when(F.col("page_id") == 5, F.lit(warc_zstd.record_id(6))).otherwise(F.col("record_id")))
+    assert warc_zstd.read_bundles(index).count() == pages.count()
+    with pytest.raises(PythonException, match="not the record"):
+        warc_zstd.read_bundles(swapped).collect()
+    one = warc_zstd.read_bundles(index.where("page_id = 7")).collect()
+    assert [r.page_id for r in one] == [7]
+
+
 def test_bundle_frames(tmp_path):
     from seamline.llm.scratch import write_file
 
