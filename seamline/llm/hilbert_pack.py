@@ -2,8 +2,9 @@
 
 A document's hashed token counts, scaled to length one, are projected to three dimensions with fixed normal
 weights and squashed to 16 bits each; their Hilbert index is the document's place on the curve. The corpus is
-range-sorted by it, and each range is filled gaplessly into sequences of 4096 ids, so neighbours on the curve
-share sequences. Only the last sequence of a range can be short; a range holds millions of ids.
+range-sorted by it, in ranges of about equally many ids, and each range is filled gaplessly into sequences of
+4096 ids, so neighbours on the curve share sequences. Only the last sequence of a range can be short; a range
+holds millions of ids.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ from .wordbytes import mix64
 
 DIMS, BITS, BUCKETS, SEED = 3, 16, 1024, 20240229
 LENGTH = 4096
-#: ids in a range
-RANGE_IDS = 1 << 23
+#: ids in a range, about, and documents that stand for it when the ranges are chosen
+RANGE_IDS, SAMPLES = 1 << 23, 64
 #: sequence numbers of a range begin at its number times this
 STRIDE = 1 << 40
 
@@ -88,10 +89,12 @@ def _packer(dtype: str, length: int):
     names = [x.split()[0] for x in _PIECE.split(", ")]
 
     def run(batches):
-        at = TaskContext.get().partitionId() * STRIDE * length
+        at, now = 0, None
         for b in batches:
             rows = []
-            for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc_id, raw, part in zip(*(c.to_pylist() for c in b.columns)):
+                if part != now:
+                    at, now = part * STRIDE * length, part
                 ids = np.frombuffer(raw, dtype).astype("<u4")
                 start = 0
                 while start < len(ids):
@@ -104,17 +107,45 @@ def _packer(dtype: str, length: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end: int = END_ID, length: int = LENGTH) -> DataFrame:
+def range_ends(table: DataFrame, range_ids: int) -> tuple[np.ndarray, np.ndarray]:
+    """(curve, tie) of the first document of each range but the first. Documents stand for the ids around them: each
+    with a chance, by its hash, of its ids times ``SAMPLES`` over ``range_ids``, so about ``SAMPLES`` a range come to the
+    driver, and weigh alike; longer ones always and by their ids."""
+    share = F.col("n_tokens") * (SAMPLES / range_ids)
+    chance = F.xxhash64(F.lit(SEED), "curve", "tie") / F.lit(2.0**64) + 0.5
+    found = table.where(chance < share).select("curve", "tie", F.greatest(F.lit(1.0), share).alias("weight")).toArrow()
+    curve, tie, weight = (found[c].to_numpy() for c in ("curve", "tie", "weight"))
+    at = np.lexsort((tie, curve))
+    full = np.floor(np.cumsum(weight[at]) / SAMPLES)
+    ends = at[np.flatnonzero(full[1:] > full[:-1]) + 1]
+    return curve[ends], tie[ends]
+
+
+def range_of(curve: np.ndarray, tie: np.ndarray, ends: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The range of each document: how many range ends are at or before it."""
+    low, high = np.searchsorted(ends[0], curve, "left"), np.searchsorted(ends[0], curve, "right")
+    out = low.astype(np.int64)
+    for place in np.unique(curve[low < high]):
+        of = np.flatnonzero(curve == place)
+        i, j = low[of[0]], high[of[0]]
+        out[of] = i + np.searchsorted(ends[1][i:j], tie[of], "right")
+    return out
+
+
+def pack(docs: DataFrame, tokenizer: str | None = None, end: int = END_ID, length: int = LENGTH, range_ids: int = RANGE_IDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every row of ``docs`` is packed, repeated rows each on their own; rows at one place on the curve follow
-    one another by doc_id (nulls first), then by ids. Null or empty texts are the end id alone. Sequence
+    one another by a hash of doc_id and ids, so that a place that many documents share is split between ranges.
+    Null or empty texts are the end id alone. A text of any length is cut where a sequence is full. Sequence
     numbers ascend along the curve and are not dense. Columns besides doc_id and text are ignored; no rows,
-    no pieces. A place shared by many documents is split by doc_id between ranges.
+    no pieces.
     """
     path = tokenizer or tokens.default_tokenizer()
-    table = stored(token_table(docs, path, end, _keyed, ", curve long"), "curve")
-    total = table.agg(F.sum("n_tokens")).head()[0] or 0
-    parts = max(1, -(-total // RANGE_IDS))
-    ordered = table.repartitionByRange(parts, "curve", "doc_id", F.xxhash64("ids")).sortWithinPartitions("curve", "doc_id", "ids")
-    return ordered.select("doc_id", "ids").mapInArrow(_packer(tokens.coder(path).dtype.str, length), _PIECE)
+    table = token_table(docs, path, end, _keyed, ", curve long")
+    table = stored(table.withColumn("tie", F.xxhash64("doc_id", "ids")), "curve")
+    ends = range_ends(table, range_ids)
+    part = F.pandas_udf(lambda curve, tie: pd.Series(range_of(curve.to_numpy(), tie.to_numpy(), ends)), "long")
+    ranged = table.withColumn("part", part("curve", "tie")).repartitionById(len(ends[0]) + 1, F.col("part").cast("int"))
+    ordered = ranged.sortWithinPartitions("part", "curve", "tie", "doc_id")
+    return ordered.select("doc_id", "ids", "part").mapInArrow(_packer(tokens.coder(path).dtype.str, length), _PIECE)

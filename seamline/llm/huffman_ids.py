@@ -243,8 +243,8 @@ def _writer(folder: str, lengths: np.ndarray, dtype: str):
 
 
 def write_ids(docs: DataFrame, tokenizer: str | None = None, end: int = END_ID) -> DataFrame:
-    """Write the ids of all documents in ascending doc_id order (nulls first, then by ids); gives the table of
-    files (part, uri, n_docs, n_ids, n_bytes).
+    """Write the ids of all documents in ascending doc_id order (nulls first; rows of one doc_id in any order, by ids
+    inside a file); gives the table of files (part, uri, n_docs, n_ids, n_bytes).
 
     To the driver come the counts of ids, at most as many as the vocabulary holds, and their sum.
     """
@@ -284,7 +284,9 @@ def read_digests(files: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str | None = None, end: int = END_ID) -> DataFrame:
     """Write ``docs`` as token-id files and describe each document from what is read back.
 
-    Null or empty texts have the end id alone. Rows with equal doc_id follow one another, ordered by their
-    ids; null doc_ids come first. Columns besides doc_id and text are ignored; no rows, no files.
+    Null or empty texts have the end id alone. Rows with equal doc_id follow one another, in an order by hashes of
+    their ids between files and by the ids inside a file, so their starts agree with the files; null doc_ids come
+    first. A text of any length is written whole, in blocks. Columns besides doc_id and text are ignored; no rows,
+    no files.
     """
     return read_digests(write_ids(docs, tokenizer, end))

@@ -282,8 +282,9 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, round_trip): each text encoded and decoded again; ids_crc32 is over the ids
     as little-endian unsigned 32-bit integers, round_trip whether the text came back.
 
-    A null or empty text has no ids and comes back. Literal marks in a text come back as spaces. Repeated rows
-    each keep their row; columns besides doc_id and text are ignored; an empty table gives an empty one.
+    A null or empty text has no ids and comes back. Literal marks in a text come back as spaces. Of equally scored
+    cuts of a word the one with the longest last piece is taken. Texts and words of any length are taken whole.
+    Repeated rows each keep their row; columns besides doc_id and text are ignored; an empty table gives an empty one.
     """
     path = path or default_model()
 

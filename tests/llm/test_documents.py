@@ -1,9 +1,11 @@
 """Operators over documents against brute force, and on awkward tables."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +14,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seamline.llm import credential_automata, hilbert_pack, huffman_ids, kneser_ney, language_mixture, matroska, piece_trie, simhash_bytes, tokens
@@ -225,6 +228,34 @@ def test_packing(docs, texts, coder):
     assert short <= 1
 
 
+def test_neighbours_on_the_curve_are_packed_together(spark, docs):
+    """Along the sequences the places on the curve ascend; ranges have about as many ids each, also where a third of
+    all documents stand at one place."""
+    from seamline.llm.token_table import token_table
+
+    hot = docs.unionByName(docs.where("doc_id = 7").crossJoin(spark.range(1000, 1150).withColumnRenamed("id", "n")).select((docs.doc_id + F.col("n")).alias("doc_id"), *docs.columns[1:]))
+    table = token_table(hot, tokens.default_tokenizer(), 2, hilbert_pack._keyed, ", curve long")
+    place, size = {}, Counter()
+    for r in table.select("doc_id", "n_tokens", "curve").collect():
+        place[r.doc_id, r.n_tokens] = r.curve
+    rows = sorted(hilbert_pack.pack(hot, length=64, range_ids=3000).collect(), key=lambda r: (r.sequence_id, r.offset))
+    along = [place[r.doc_id, r.doc_tokens] for r in rows]
+    assert along == sorted(along)
+    for r in rows:
+        size[r.sequence_id // hilbert_pack.STRIDE] += r.length
+    longest = max(r.doc_tokens for r in rows)
+    assert len(size) > 8 and sorted(size.values())[-2] < 2 * 3000 and max(size.values()) < longest + 2 * 3000
+    short = sum(1 for _, g in itertools.groupby(rows, key=lambda r: r.sequence_id) if sum(r.length for r in g) < 64)
+    assert short <= len(size)
+
+
+def test_ranges_split_a_place():
+    curve, tie = np.repeat([5, 9, 9, 20], 50), np.arange(200) - 100
+    ends = np.array([9, 9, 20]), np.array([-20, 10, 60])
+    got = hilbert_pack.range_of(curve, tie, ends)
+    assert got.tolist() == [sum((c, t) <= (a, b) for c, t in zip(*(x.tolist() for x in ends))) for a, b in zip(curve.tolist(), tie.tolist())]
+
+
 def test_hilbert_neighbours():
     x = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     key = hilbert_pack.hilbert_index(x, 3)
@@ -260,6 +291,61 @@ def test_shared_prefixes(some):
     assert [m.decode(x) for x in ids] == [t.replace("▁", " ") for t in some]
 
 
+def unigram_model(path, pieces):
+    """A model file of hand-made pieces and scores, with byte fallback and without normalisation."""
+    def varint(n):
+        n, out = n % (1 << 64), b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def field(number, value):
+        if isinstance(value, float):
+            return varint(number << 3 | 5) + struct.pack("<f", value)
+        if isinstance(value, int):
+            return varint(number << 3) + varint(value)
+        return varint(number << 3 | 2) + varint(len(value)) + value
+
+    every = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256)), *((w, x, 1) for w, x in pieces.items())]
+    out = b"".join(field(1, field(1, w.encode()) + field(2, float(x)) + field(3, kind)) for w, x, kind in every)
+    out += field(2, field(3, 1) + field(4, len(every)) + field(35, 1) + field(40, 0) + field(41, 1) + field(42, 2) + field(43, -1))
+    out += field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1))
+    path.write_bytes(out)
+    return str(path)
+
+
+def plain_viterbi(word, pieces):
+    """(best score, pieces) over all cuts of a word, a character outside the pieces at ten below the worst; of equal
+    cuts that with the longest last piece."""
+    best = [(0.0, [])]
+    for end in range(1, len(word) + 1):
+        ways = [(best[k][0] + pieces[word[k:end]], [*best[k][1], word[k:end]]) for k in range(end) if word[k:end] in pieces]
+        if word[end - 1] not in pieces:
+            ways.append((best[end - 1][0] + min(pieces.values()) - 10, [*best[end - 1][1], word[end - 1]]))
+        best.append(max(ways, key=lambda x: x[0]))
+    return best[-1]
+
+
+def test_scores_are_shared_along_prefixes(tmp_path):
+    import sentencepiece
+
+    rng = random.Random(8)
+    pieces = {"▁": -2.5, **{c: -6 - rng.randint(0, 64) / 64 for c in "abcdeé"}}
+    while len(pieces) < 120:
+        w = "".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 5)))
+        pieces.setdefault(rng.choice(["", "▁"]) + w, -3 - rng.randint(0, 384) / 64)
+    path = unigram_model(tmp_path / "u.model", pieces)
+    library, model = sentencepiece.SentencePieceProcessor(model_file=path), piece_trie.PieceModel(path)
+    assert model.unigram
+    words = sorted({"▁" + "".join(rng.choice("abcdeéxß") for _ in range(rng.randint(1, 14))) for _ in range(400)})
+    for w, ids in zip(words, model.encode_sorted(words)):
+        plain = [p for x in plain_viterbi(w, pieces)[1] for p in ([library.piece_to_id(x)] if x in pieces else [library.piece_to_id(f"<0x{b:02X}>") for b in x.encode()])]
+        assert ids == plain == library.encode(w[1:])
+    texts = [" ".join(w[1:] for w in rng.sample(words, 30)) for _ in range(20)] + ["", "  a  b", "x\ny"]
+    assert model.encode_texts(texts) == [library.encode(t) for t in texts]
+    assert [model.decode(x) for x in model.encode_texts(texts)] == texts
+
+
 # -- media
 
 
