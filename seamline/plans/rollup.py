@@ -144,9 +144,12 @@ def _calls(spark, d):
     return sequence(spark, d).select("doc", F.col("idx").alias("seq"), (k % 6 != 0).alias("ok"), kind.alias("kind"))
 
 
-@query(f"""WITH {_CALLS}, r AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (WHERE NOT ok) OVER w AS bad, count(*) FILTER (WHERE kind = 'rate_limit') OVER w AS lim FROM cl WINDOW w AS (PARTITION BY doc ORDER BY seq)),
+_GUARD = f"""WITH {_CALLS}, r AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (WHERE NOT ok) OVER w AS bad, count(*) FILTER (WHERE kind = 'rate_limit') OVER w AS lim FROM cl WINDOW w AS (PARTITION BY doc ORDER BY seq)),
 y AS (SELECT doc, seq, CASE WHEN kind IN ('auth_error', 'billing_error', 'model_not_found') THEN kind WHEN n BETWEEN 2 AND 40 AND lim / n >= 0.5 THEN 'rate_limit' WHEN n BETWEEN 2 AND 40 AND bad / n > 0.25 THEN 'failures' END AS why FROM r)
-SELECT doc, min(seq) AS abort_at, min_by(why, seq) AS why FROM y WHERE why IS NOT NULL GROUP BY doc""")
+SELECT doc, min(seq) AS abort_at, min_by(why, seq) AS why FROM y WHERE why IS NOT NULL GROUP BY doc"""
+
+
+@query(_GUARD)
 def a15_guardrail(spark, d):
     return rollups.guardrail(_calls(spark, d))
 
@@ -182,3 +185,11 @@ def stream_call_counts(spark, d):
     from ..streaming.logs import replay
 
     return replay(_calls(spark, d))
+
+
+@query(_GUARD)
+def stream_guardrail(spark, d):
+    """The guardrail live: the log arrives in three parts, and each run's state says when it should stop."""
+    from ..streaming.logs import replay_guardrail
+
+    return replay_guardrail(_calls(spark, d))

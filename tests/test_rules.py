@@ -213,4 +213,4 @@ def test_live_guardrail(spark, tmp_path):
     stream = spark.readStream.schema(CALL).parquet(str(tmp_path / "log"))
     q = live_guardrail(stream).writeStream.outputMode("append").trigger(availableNow=True).foreachBatch(lambda d, _: got.extend(map(tuple, d.collect()))).start()
     q.awaitTermination()
-    assert got == [(1, 1)]
+    assert got == [(1, 1, "failures")]
