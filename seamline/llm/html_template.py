@@ -186,6 +186,18 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
+def shingle_hashes(words: list[str], size: int = 5) -> np.ndarray:
+    """Hashes of the shingles of a list of words, or of all of them if they are fewer than a shingle."""
+    of = {w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in dict.fromkeys(words)}
+    x = np.fromiter(map(of.__getitem__, words), np.uint64, len(words))
+    size = min(size, len(words))
+    n = len(words) - size + 1
+    h = np.zeros(n, np.uint64)
+    for k in range(size):
+        h = mix64(h + x[k : k + n])
+    return h
+
+
 def longest_blocks(order: list[Node], k: int = 3) -> list[tuple[int, int, int, int]]:
     """(number, hash, least and largest hash of a shingle of five words) of the k blocks with the most words, longest
     first, of equal ones the first in the page."""
@@ -199,9 +211,8 @@ def longest_blocks(order: list[Node], k: int = 3) -> list[tuple[int, int, int, i
                     words.setdefault(block, []).extend(c.split())
     out = []
     for number in sorted((b for b, w in words.items() if w), key=lambda b: (-len(words[b]), b))[:k]:
-        w = words[number]
-        shingles = [_hash(*w[i : i + 5]) for i in range(max(1, len(w) - 4))]
-        out.append((number, _hash(" ".join(w)), min(shingles), max(shingles)))
+        shingles = shingle_hashes(words[number])
+        out.append((number, _hash(*words[number]), int(shingles.min()), int(shingles.max())))
     return out
 
 
@@ -228,23 +239,29 @@ def _is_named(n: Node) -> bool:
     return n.tag == "header" or bool(n.names) and bool(_names(n) & (NOT_ARTICLE_NAMES | DOUBTFUL_NAMES | HEADERS))
 
 
-def subtree_keys(order: list[Node]) -> dict[int, tuple[int, int]]:
-    """What is counted of a page: subtrees and slots, each with (page, story) as told by the two longest blocks
-    outside of it: copies of a page have one page, and near copies (of which four shingles in five are the same)
-    mostly one story. 0 stands for the page itself."""
-    blocks = longest_blocks(order)
+def subtrees(order: list[Node]) -> dict[int, Node]:
+    """What a host's pages may share: the hashes of subtrees and slots, with the first element of each."""
+    out: dict[int, Node] = {}
+    for n in reversed(order):
+        if may_recur(n):
+            out.setdefault(n.hash, n)
+        if _is_named(n):
+            out.setdefault(_slot(n), n)
+    return out
+
+
+def stories(order: list[Node], nodes) -> list[tuple[int, int]]:
+    """(page, story) beside each of some elements, or beside nothing, as told by the two longest blocks outside of it:
+    copies of a page have one page, and near copies (of which four shingles in five are the same) mostly one story."""
+    blocks, known = longest_blocks(order), {}
 
     def outside(n: Node | None) -> tuple[int, int]:
-        two = [b for b in blocks if n is None or not n.first <= b[0] <= n.last][:2]
-        return _hash(*(f"{b[1]:x}" for b in two)), _hash(f"{two[0][2]:x}", f"{two[-1][3]:x}") if two else 0
+        two = tuple(b for b in blocks if n is None or not n.first <= b[0] <= n.last)[:2]
+        if two not in known:
+            known[two] = _hash(*(f"{b[1]:x}" for b in two)), _hash(f"{two[0][2]:x}", f"{two[-1][3]:x}") if two else 0
+        return known[two]
 
-    out = {0: outside(None)}
-    for n in reversed(order):
-        if may_recur(n) and n.hash not in out:
-            out[n.hash] = outside(n)
-        if _is_named(n) and (slot := _slot(n)) not in out:
-            out[slot] = outside(n)
-    return out
+    return [outside(n) for n in nodes]
 
 
 def main_text(page: str | None, recurs: frozenset[int] | set[int] = frozenset(), few_pages: bool = True) -> str:
@@ -355,14 +372,14 @@ def _keys(host: int, hashes: list[int]) -> np.ndarray:
 
 
 def _parsed(hosts: list[int], htmls: list[str | None]):
-    """(index, root, elements, keys, subtrees and slots) of pages with html, by slices of pages."""
+    """(index, root, elements, subtrees, keys of the host and of these) of pages with html, by slices of pages."""
     rows, size = [], 0
     for k, (host, page) in enumerate(zip(hosts, htmls)):
         if page:
             root = parse(page)
             order = measure(root)
-            found = subtree_keys(order)
-            rows.append((k, root, order, _keys(host, list(found)), found))
+            found = subtrees(order)
+            rows.append((k, root, order, found, _keys(host, [0, *found])))
             size += len(page)
         if size >= AT_ONCE:
             yield rows
@@ -374,11 +391,10 @@ def _counted(batches):
     worker.begin("html_template")
     seen: set[tuple[int, int, int]] = set()
     for b in batches:
-        hosts, htmls = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for rows in _parsed(hosts, htmls):
+        for rows in _parsed(b.column(0).to_pylist(), b.column(1).to_pylist()):
             new = set()
-            for _, _, _, keys, found in rows:
-                new.update((key, story, page) for key, (page, story) in zip(keys.tolist(), found.values()))
+            for _, _, order, found, keys in rows:
+                new.update((key, story, page) for key, (page, story) in zip(keys.tolist(), stories(order, [None, *found.values()])))
             new -= seen
             if len(seen) + len(new) > HELD:
                 seen.clear()
@@ -408,13 +424,12 @@ def _extracted(recurring: sorted_store.Store):
         for b in batches:
             texts = [""] * b.num_rows
             for rows in _parsed(b.column(3).to_pylist(), b.column(2).to_pylist()):
-                keys = [r[3] for r in rows]
-                hits = recurring.values(np.concatenate(keys))[0] > 0 if keys else []
+                hits = recurring.values(np.concatenate([r[4] for r in rows]))[0] > 0 if rows else []
                 at = 0
-                for k, root, order, own, found in rows:
-                    big, *hit = hits[at : at + len(own)].tolist()
-                    at += len(own)
-                    texts[k] = _main_text(root, order, {h for h, x in zip(list(found)[1:], hit) if x}, not big)
+                for k, root, order, found, keys in rows:
+                    big, *hit = hits[at : at + len(keys)].tolist()
+                    at += len(keys)
+                    texts[k] = _main_text(root, order, {h for h, x in zip(found, hit) if x}, not big)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run

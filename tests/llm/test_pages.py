@@ -106,7 +106,9 @@ def plain_counts(rows):
     for _, url, html in rows:
         host = re.match("[a-z]+://([^/]*)", url or "")
         if html:
-            for h, (page, one) in html_template.subtree_keys(html_template.measure(html_template.parse(html))).items():
+            order = html_template.measure(html_template.parse(html))
+            nodes = html_template.subtrees(order)
+            for h, (page, one) in zip([0, *nodes], html_template.stories(order, [None, *nodes.values()])):
                 pages, stories = found[host[1] if host else "", h]
                 pages.add((page, one))
                 stories.add(one)
@@ -121,8 +123,9 @@ def test_counts_per_host(pages, rows):
 def test_longest_blocks():
     order = html_template.measure(html_template.parse("<body><p>a b c d e f</p><div>x <b>y</b> z<p>q</p></div><script>no no no no no no no</script></body>"))
     blocks = html_template.longest_blocks(order)
-    shingles = [html_template._hash(*s) for s in ("abcde", "bcdef")]
+    shingles = [int(html_template.shingle_hashes(list(s))[0]) for s in ("abcde", "bcdef")]
     assert blocks[0][2:] == (min(shingles), max(shingles)) and len(blocks) == 3
+    assert len(set(shingles)) == 2 and html_template.shingle_hashes(["a", "b"]) != html_template.shingle_hashes(["b", "a"])
     assert html_template.longest_blocks(html_template.measure(html_template.parse("<br>"))) == []
 
 
