@@ -20,9 +20,8 @@ def fallback_join(gold: DataFrame, preds: DataFrame, last_text_wins: bool = Fals
     """Gold rows (doc, idx, text, gold) with the label of the prediction (doc, idx, text, label) at their
     position, else of one with the same text up to white space, else NOBORDER; ``matched_by`` tells which."""
     by_idx = one_per(preds.select("doc", "idx", "label", "seq"), ["doc", "idx"], ["seq"]).select("doc", "idx", F.col("label").alias("_i"))
-    text = collapse_space("text")
     # texts meet by their hashes, so none of them is shuffled
-    text = F.sha2(text, 256)
+    text = F.sha2(collapse_space("text"), 256)
     by_text = one_per(preds.select("doc", text.alias("_t"), "label", "seq"), ["doc", "_t"], ["seq"], last_text_wins).select("doc", "_t", F.col("label").alias("_x"))
     x = gold.withColumn("_t", text).join(by_idx, ["doc", "idx"], "left").join(by_text, ["doc", "_t"], "left")
     how = F.when(F.col("_i").isNotNull(), "index").when(F.col("_x").isNotNull(), "text").otherwise("none")
