@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import sorted_store, worker
 from .scratch import drop_stored, stored
-from .wordbytes import MIX, SPACES, Numbering, gathered, mix64, parts, text_slices, texts_of
+from .wordbytes import MIX, SPACES, gathered, mix64, parts, text_slices, texts_of
 
 ORDER = 5
 START, END = "\x02" * (ORDER - 1), "\x03"
@@ -50,7 +50,8 @@ def _pieces(texts: list[list[bytes]]):
     and of their ends, with the index of the text of each. The character 0 counts as U+FFFF."""
     marked = [START + b" ".join(words).decode() + END for words in texts]
     flat = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4")
-    flat = np.where(flat == 0, 0xFFFF, flat)
+    if not flat.all():
+        flat = np.where(flat == 0, np.uint32(0xFFFF), flat)
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     own, starts = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.cumsum(sizes) - sizes
     for k in range(0, len(flat), PIECE):
@@ -71,18 +72,24 @@ def _different(flat: np.ndarray, at: np.ndarray, times: bool) -> tuple[np.ndarra
     alphabet = np.flatnonzero(used)
     bits = 64 // ORDER
     if len(alphabet) <= 1 << bits:
-        number = np.zeros(0x110000, np.uint64)
-        number[alphabet] = np.arange(len(alphabet), dtype=np.uint64)
-        ids, key = number[window], np.zeros(len(ends), np.uint64)
-        for k in range(ORDER):
-            key = key << np.uint64(bits) | ids[ends - (ORDER - 1 - k)]
-        one, other = np.unique(key, return_counts=True) if times else np.unique(key, return_inverse=True)
+        number = np.zeros(0x110000, np.uint16)
+        number[alphabet] = np.arange(len(alphabet))
+        ids = number[window].astype(np.uint64)
+        n = len(ids) - ORDER + 1
+        key = ids[:n].copy()
+        for k in range(1, ORDER):
+            key <<= np.uint64(bits)
+            key |= ids[k : k + n]
+        key = key[ends - (ORDER - 1)]
+        place, one = pd.factorize(key)
         mask = np.uint64((1 << bits) - 1)
         chars = np.stack([alphabet[one >> np.uint64(bits * (ORDER - 1 - k)) & mask] for k in range(ORDER)], axis=1)
-        return chars.astype("<u4"), other
-    key = _hash(np.stack([window[ends - (ORDER - 1 - k)] for k in range(ORDER)], axis=1), 0)
-    _, first, place, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    return np.stack([window[ends[first] - (ORDER - 1 - k)] for k in range(ORDER)], axis=1).astype("<u4"), n if times else place
+    else:
+        place, one = pd.factorize(_hash(np.stack([window[ends - (ORDER - 1 - k)] for k in range(ORDER)], axis=1), 0))
+        first = np.empty(len(one), np.int64)
+        first[place[::-1]] = np.arange(len(place))[::-1]
+        chars = np.stack([window[ends[first] - (ORDER - 1 - k)] for k in range(ORDER)], axis=1)
+    return chars.astype("<u4"), np.bincount(place) if times else place
 
 
 def _hash(chars: np.ndarray, salt: int) -> np.ndarray:
@@ -250,17 +257,21 @@ def repeated(words: list[bytes]) -> int:
     n = len(words)
     if n < 4:
         return 0
-    ids = Numbering()
+    ids = dict.fromkeys(words)
+    if len(ids) == n:
+        return 0
+    ids = dict(zip(ids, range(len(ids))))
     x = np.fromiter(map(ids.__getitem__, words), np.uint64, n)
     size = np.uint64(len(ids))
     if len(ids) < 1 << 21:
         windows = (x[:-2] * size + x[1:-1]) * size + x[2:]
     else:
         windows = np.unique(x[:-2] * size + x[1:-1], return_inverse=True)[1].astype(np.uint64) * size + x[2:]
-    _, place, times = np.unique(windows, return_inverse=True, return_counts=True)
-    again = times[place] > 1
-    if not again.any():
+    ordered = np.sort(windows)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
         return 0
+    again = np.isin(windows, twice)
     covered = np.zeros(n, bool)
     for k in range(3):
         covered[k : n - 2 + k] |= again
@@ -339,10 +350,12 @@ def _verdict(perplexity, lowest, highest):
 def judge(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, perplexity).
 
-    One row per row of ``docs``. A null text has no words and so fails the base rules. Documents without a
-    language share the model and band of the language ''. Languages with fewer than ``LEAST_TEXTS`` texts
-    have a band around their own median whose spreads are shrunk towards those of all languages. Ends of a band belong to it. Columns besides doc_id, text
-    and lang are ignored; an empty table gives an empty one.
+    One row per row of ``docs``, repeated ones too. A null text has no words and so fails the base rules. Documents
+    without a language share the model and band of the language ''. Languages with fewer than ``LEAST_TEXTS`` texts
+    have a band around their own median whose spreads are shrunk towards those of all languages. Ends of a band
+    belong to it; where all texts have one perplexity the band is that, with room for rounding. Texts of any length
+    are scored whole, piece by piece. Columns besides doc_id, text and lang are ignored; an empty table gives an
+    empty one.
     """
     scored = stored(scores(docs, train(docs)), "scores")
     ends = stored(bands(scored), "bands")
@@ -353,8 +366,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that pass the base rules and lie in their language's band. A row's text is scored again
-    beside its other columns, which is cheaper than shuffling the texts to join the verdicts."""
+    """Rows of ``docs`` that pass the base rules and lie in their language's band, as by ``judge``. A row's text is scored
+    again beside its other columns, which is cheaper than shuffling the texts to join the verdicts; the bands, a row a
+    language and class of length, come to the driver."""
     model = train(docs)
     limits = {(r["lang"], r["size"]): (r["lowest"], r["highest"]) for r in bands(scores(docs, model)).collect()}
     none = (0.0, float("inf"))

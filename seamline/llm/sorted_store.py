@@ -10,6 +10,7 @@ import uuid
 from collections import OrderedDict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +56,9 @@ class Store:
 
     def values(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Both values of each hash (unsigned), 0 where it is absent."""
-        one, place = np.unique(wanted, return_inverse=True)
+        place, one = pd.factorize(wanted)
+        order = np.argsort(one)
+        one = one[order]
         out = np.zeros((2, len(one)))
         of, starts = np.unique(one >> np.uint64(64 - self.bits), return_index=True)
         for s, i, j in zip(of.tolist(), starts, [*starts[1:], len(one)]):
@@ -64,7 +67,9 @@ class Store:
                 at = np.minimum(np.searchsorted(h, one[i:j]), len(h) - 1)
                 hit = h[at] == one[i:j]
                 out[0, i:j], out[1, i:j] = np.where(hit, a[at], 0), np.where(hit, b[at], 0)
-        return out[0][place], out[1][place]
+        back = np.empty((2, len(one)))
+        back[:, order] = out
+        return back[0][place], back[1][place]
 
 
 def _writer(folder: str):
