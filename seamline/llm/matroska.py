@@ -268,26 +268,29 @@ def _digest(media: bytes) -> tuple:
     m = Media(media)
     payload = m.payload()
     last = m.seek(1 << 62)[-1]
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(media[last[4] : last[4] + last[5]]), len(media), hashlib.sha256(media).hexdigest(), features(payload)
+    packets = len(m.packets), m.packets[-1][0] + 1, max(p[2] for p in m.packets)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(media[last[4] : last[4] + last[5]]), len(media), hashlib.sha256(media).hexdigest(), features(payload), *packets
 
 
-_DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_packets long, n_clusters long, last_ms long"
 
 
 def _digested(batches):
     names = [x.split()[0] for x in _DIGEST.split(", ")]
     for b in batches:
         rows = list(map(_digest, b.column(2).to_pylist()))
-        cols = [list(c) for c in zip(*rows)] or [[]] * 6
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        cols = [list(c) for c in zip(*rows)] or [[]] * len(names)
+        kinds = [pa.string() if x.endswith("string") else pa.int64() for x in _DIGEST.split(", ")]
         yield pa.record_batch([b.column(0), b.column(1), *map(pa.array, cols, kinds)], names=["doc_id", "n_bytes", *names])
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
     """Store every text as Matroska in a table, read the stored bytes back, and describe them.
 
-    One row per row of ``docs``, repeated rows and null doc_ids included. A null or empty text is 64 zero
-    samples. Columns besides doc_id and text are ignored; an empty table gives an empty one.
+    One row per row of ``docs``, repeated rows and null doc_ids included; the last columns count the packets and
+    clusters of its file and give the last packet's time. A null or empty text is 64 zero samples; a text of any
+    length is as many clusters as it takes. Columns besides doc_id and text are ignored; an empty table gives an
+    empty one.
     """
     media = stored(to_media(docs), "media")
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_digested, f"doc_id long, n_bytes long, {_DIGEST}")

@@ -612,7 +612,8 @@ def test_held_out_rows_teach_nothing(docs, texts):
 
 def test_mixture_finds_proportions():
     scores = np.array([[0.0, -9.0, -9.0]] * 30 + [[-9.0, 0.0, -9.0]] * 70)
-    chosen = language_mixture.choose(scores, np.ones(100))
+    chosen, alone = language_mixture.choose_all(np.concatenate([scores, scores[:1]]), np.ones(101), np.array([0, 100]))
+    assert alone == [(0, 1.0)]
     assert [k for k, _ in chosen] == [1, 0] and abs(chosen[0][1] - 0.7) < 0.01
 
 
@@ -664,7 +665,10 @@ def test_language_model_is_as_by_plain_counts(docs, texts):
 @given(st.lists(st.tuples(*[st.floats(-12, 0)] * 3, st.integers(1, 9)), min_size=1, max_size=12))
 def test_mixture_is_as_by_plain_loops(rows):
     scores, times = np.array([r[:3] for r in rows]), np.array([r[3] for r in rows], float)
-    pi, like = language_mixture.mixture(scores, times)
+    # the same alone and beside other documents
+    (pi,), (like,) = language_mixture.mixtures(scores, times, np.array([0]))
+    beside, _ = language_mixture.mixtures(np.concatenate([scores[:1], scores, scores[::-1]]), np.r_[1.0, times, times[::-1]], np.array([0, 1, 1 + len(rows)]))
+    assert np.allclose(beside[1], pi, atol=1e-12)
     plain = plain_mixture(scores.tolist(), times.tolist())
     best = sum(n * np.log(sum(p * np.exp(x) for p, x in zip(plain, r))) for r, n in zip(scores.tolist(), times.tolist()))
     assert abs(pi.sum() - 1) < 1e-9 and like <= best + 1e-6 and best - like < 0.05 * times.sum()
@@ -869,6 +873,75 @@ def test_pipeline_stages(spark, odd_docs):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= len(kept)
 
 
+def plain_quality(rows):
+    """The rows that stay, by plain base values, plain counts of grams and sorted perplexities."""
+    def register(r):
+        words = "".join(words_of(r["text"]))
+        laden = 100 * sum(words.count(c) for c in kneser_ney.SYMBOLS) > kneser_ney.SYMBOL_PERCENT * len(words)
+        return (r["lang"] or "") + ("#" if laden else "")
+
+    texts = defaultdict(list)
+    for r in rows:
+        if words_of(r["text"]):
+            texts[register(r)].append(r["text"])
+    score = {key: plain_kneser_ney(t) for key, t in texts.items()}
+    scored = []
+    for r in rows:
+        b, lang = plain_base(r["text"]), r["lang"] or ""
+        model = score.get(lang) or score.get(f"{lang}#")
+        x = -model(r["text"]) / (len(" ".join(words_of(r["text"]))) + 1) if model and b[0] else None
+        scored.append((r, b[0] < 50 or 100 * b[4] > 50 * b[0], x, lang, max(b[0], 1).bit_length() - 1))
+    groups = defaultdict(list)
+    for _, failed, x, lang, size in scored:
+        if not failed and x is not None:
+            groups[lang, size].append(x)
+            groups[lang, -1].append(x)
+    quantile = lambda v, q: sorted(v)[max(0, math.ceil(q * len(v)) - 1)]
+    spread = {k: (len(v), quantile(v, 0.5), quantile(v, 0.5) - quantile(v, 0.25), quantile(v, 0.75) - quantile(v, 0.5)) for k, v in groups.items()}
+    least, prior = kneser_ney.LEAST_TEXTS, kneser_ney.PRIOR
+    whole = [v for (_, size), v in spread.items() if size == -1]
+    pooled = [(sum(v[0] * v[j] for v in whole) + least * prior) / (sum(v[0] for v in whole) + least) for j in (2, 3)]
+    kept = []
+    for r, failed, x, lang, size in scored:
+        n, mid, *sides = spread.get((lang, size)) if spread.get((lang, size), (0,))[0] >= least else spread.get((lang, -1), (0, 0, 0, 0))
+        share = min(1, n / least)
+        below, above = (max(share * a + (1 - share) * b, kneser_ney.ROUNDING) for a, b in zip(sides, pooled))
+        if not failed and (x is None or mid - kneser_ney.LOW_SPREADS * below <= x <= mid + kneser_ney.HIGH_SPREADS * above):
+            kept.append(r)
+    return kept
+
+
+def test_pipeline_is_as_by_plain_stages(spark, odd_docs, tmp_path, coder):
+    odd_docs.where("doc_id is null or doc_id <> 505").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [r.asDict() for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()]
+    rows = plain_quality([r for r in rows if any(map(str.isalpha, r["text"] or ""))])
+    # near-duplicates: the least doc_id of each group of linked fingerprints
+    fps, group = [plain_fingerprint(r["text"]) for r in rows], {}
+    for a in range(len(rows)):
+        linked = {group[b] for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2}
+        for b in range(a):
+            if group[b] in linked:
+                group[b] = a
+        group[a] = a
+    first = {}
+    for k, r in enumerate(rows):
+        if r["doc_id"] is not None and (group[k] not in first or r["doc_id"] < first[group[k]]["doc_id"]):
+            first[group[k]] = r
+    for k, r in enumerate(rows):
+        first.setdefault(group[k], r)
+    want = Counter()
+    for r in first.values():
+        text = credential_automata.redacted(r["text"], plain_spans(r["text"]))
+        want[r["doc_id"], len(ids_of(coder, text))] += 1
+    got, ends = Counter(), defaultdict(int)
+    for r in sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id] and r.offset + r.length <= 4096
+        ends[r.sequence_id] += r.length
+        if r.start == 0:
+            got[r.doc_id, r.doc_tokens] += 1
+    assert got == want and sum(ends.values()) == sum(n * k for (_, n), k in want.items()) and len(want) > 150
+
+
 def test_pipeline_on_nothing(spark, no_docs):
     docs = no_docs
     for _, stage in corpus_pipeline.STAGES:
