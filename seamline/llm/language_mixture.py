@@ -143,37 +143,64 @@ def learn(docs: DataFrame) -> MixtureModel:
     return MixtureModel(totals, store)
 
 
-def mixture(scores: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float]:
-    """(proportions, log-likelihood) of a mixture of the columns of ``scores``, row k standing ``times[k]`` times."""
-    top = scores.max(axis=1, keepdims=True)
+def mixtures(scores: np.ndarray, times: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(proportions, log-likelihood) of a mixture of the columns of ``scores`` for each document, whose rows begin at
+    ``starts``; row k stands ``times[k]`` times. A document is left as it is once settled, whatever the others do."""
+    n = np.add.reduceat(times, starts)
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(times)]))
+    # a row a language: sums over languages and over a document's words both go along memory
+    scores = np.ascontiguousarray(scores.T)
+    top = scores.max(axis=0)
     like = np.exp(scores - top)
-    pi, n = np.full(scores.shape[1], 1 / scores.shape[1]), times.sum()
-    change = 1.0
-    while change >= SETTLED:
-        joint = like * pi
-        new = (times / joint.sum(axis=1)) @ joint / n
-        change, pi = np.abs(new - pi).max(), new
-    return pi, float(times @ (np.log(like @ pi) + top[:, 0]))
-
-
-def choose(scores: np.ndarray, times: np.ndarray) -> list[tuple[int, float]]:
-    """(language, proportion) of the chosen set, largest first; ties go to the language first in the alphabet.
-
-    A further language costs half the logarithm of the number of words.
+    pi = np.full((len(scores), len(starts)), 1 / len(scores))
+    docs, first, x, t, own = np.arange(len(starts)), starts, like, times, owner
+    alive = np.ones(len(starts), bool)
+    while alive.any():
+        here = pi[:, docs]
+        joint = x * here[:, own]
+        joint *= t / joint.sum(axis=0)
+        new = np.add.reduceat(joint, first, axis=1) / n[docs]
+        change = np.abs(new - here).max(axis=0)
+        pi[:, docs[alive]] = new[:, alive]
+        alive &= change >= SETTLED
+        if 2 * alive.sum() < len(alive) and alive.any():
+            # the settled ones leave
+            rows = alive[own]
+            sizes = np.diff(np.r_[first, len(t)])[alive]
+            docs, x, t = docs[alive], x[:, rows], t[rows]
+            first, own, alive = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes), np.ones(len(sizes), bool)
+    return pi.T, np.add.reduceat(times * (np.log((like * pi[:, owner]).sum(axis=0)) + top), starts)
+
+
+def choose_all(scores: np.ndarray, times: np.ndarray, starts: np.ndarray) -> list[list[tuple[int, float]]]:
+    """(language, proportion) of the chosen set of each document, largest first; ties go to the language first in the
+    alphabet.
+
+    Sets are the most likely language alone, with the second, and so on, as long as one more has half a word at
+    least. A further language costs half the logarithm of the number of words.
     """
     scores = scores.astype(np.float64)
-    pi, _ = mixture(scores, times)
-    order = np.argsort(-pi, kind="stable")
-    n = times.sum()
-    best, best_value = None, -np.inf
-    for k in range(1, len(order) + 1):
-        if k > 1 and pi[order[k - 1]] * n < 0.5:
+    sizes = np.diff(np.r_[starts, len(times)])
+    n = np.add.reduceat(times, starts)
+    pi, _ = mixtures(scores, times, starts)
+    order = np.argsort(-pi, axis=1, kind="stable")
+    best = [[(int(k), 1.0)] for k in order[:, 0]]
+    value = np.add.reduceat(times * np.take_along_axis(scores, np.repeat(order[:, :1], sizes, axis=0), axis=1)[:, 0], starts)
+    going = np.ones(len(starts), bool)
+    for k in range(2, scores.shape[1] + 1):
+        going &= pi[np.arange(len(pi)), order[:, k - 1]] * n >= 0.5
+        docs = np.flatnonzero(going)
+        if not len(docs):
             break
-        own, like = mixture(scores[:, order[:k]], times) if k > 1 else (np.ones(1), float(times @ scores[:, order[0]]))
-        value = like - 0.5 * (k - 1) * np.log(max(n, 2))
-        if value > best_value:
-            best, best_value = [(int(a), float(p)) for a, p in zip(order[:k], own)], value
-    return sorted(best, key=lambda x: (-x[1], x[0]))
+        rows = np.repeat(going, sizes)
+        own = sizes[docs]
+        some = np.take_along_axis(scores[rows], np.repeat(order[docs, :k], own, axis=0), axis=1)
+        shares, like = mixtures(some, times[rows], np.cumsum(own) - own)
+        worth = like - 0.5 * (k - 1) * np.log(np.maximum(n[docs], 2))
+        for i in np.flatnonzero(worth > value[docs]):
+            d = docs[i]
+            value[d], best[d] = worth[i], list(zip(order[d, :k].tolist(), shares[i].tolist()))
+    return [sorted(x, key=lambda x: (-x[1], x[0])) for x in best]
 
 
 _WORKERS: dict[str, tuple[dict, list]] = {}
@@ -199,16 +226,17 @@ def predict_texts(model: MixtureModel, texts: list[str | None]) -> list[tuple[st
         number.update((w, next(at) if x else -1) for w, x in zip(new, plain))
         if kept and model.langs:
             rows[0] = np.concatenate([rows[0], *(model.word_scores(kept[k : k + SCORED]) for k in range(0, len(kept), SCORED))])
-    out = []
-    for ws in split:
-        ids = np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))
-        ids = ids[ids >= 0]
-        if not len(ids) or not model.langs:
-            out.append((UNKNOWN, 0.0, ""))
-            continue
-        ids, times = np.unique(ids, return_counts=True)
-        chosen = choose(rows[0][ids], times.astype(np.float64))
-        out.append((model.langs[chosen[0][0]], min(1.0, max(0.0, chosen[0][1])), ",".join(f"{model.langs[k]}:{p:.4f}" for k, p in chosen)))
+    ids = [np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)) for ws in split]
+    doc = np.repeat(np.arange(len(ids)), np.fromiter(map(len, ids), np.int64, len(ids)))
+    flat = np.concatenate([*ids, np.zeros(0, np.int64)])
+    doc, flat = doc[flat >= 0], flat[flat >= 0]
+    out = [(UNKNOWN, 0.0, "")] * len(texts)
+    if len(flat) and model.langs:
+        pairs, times = np.unique(doc * len(rows[0]) + flat, return_counts=True)
+        doc, flat = np.divmod(pairs, len(rows[0]))
+        found, starts = np.unique(doc, return_index=True)
+        for d, chosen in zip(found.tolist(), choose_all(rows[0][flat], times.astype(np.float64), starts)):
+            out[d] = model.langs[chosen[0][0]], min(1.0, max(0.0, chosen[0][1])), ",".join(f"{model.langs[k]}:{p:.4f}" for k, p in chosen)
     return out
 
 
