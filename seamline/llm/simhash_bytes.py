@@ -20,13 +20,15 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sorted_store, worker
 from .components import components
 from .scratch import drop_stored, stored
-from .wordbytes import texts_of
+from .wordbytes import MIX, mix64, texts_of
 
 #: rows of hashes turned to bits at a time
 _ROWS = 1 << 16
@@ -146,17 +148,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     none else. Repeated rows each keep their row. An empty table gives an empty one. Documents without a word
     have the fingerprint zero and link like any other. A bit that exactly half of the shingles set is 0. Texts
     of any length are taken whole, their bits summed in slices. Columns besides doc_id and text are ignored.
+    Components of fingerprints that aren't alone are looked up in sorted files, so a group of copies of any size
+    stays where its rows are.
     """
     own = stored(fingerprints(docs), "fingerprints")
-    first = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    first = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "classes")
     label = components(links(first))
     near = label.join(first, label["node"] == first["fp"]).select("node", "label", "first_id")
     least = stored(near.groupBy("label").agg(F.min("first_id").alias("least_id")), "least")
     near = label.join(least, "label").select("node", "least_id")
-    found = stored(first.join(near, first["fp"] == near["node"], "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")), "found")
+    # what a document is alone needs no telling
+    told = first.join(near, first["fp"] == near["node"], "left").where("n > 1 or node is not null")
+    told = told.select("fp", F.coalesce("least_id", "first_id").alias("value")).where("value is not null")
+    store = sorted_store.write(told.mapInArrow(_keyed, "hash long, value long"), "components")
     for used in (first, label, least):
         drop_stored(used)
-    return own.join(found, "fp", "left").select("doc_id", "fp", "component_id")
+
+    def run(batches):
+        worker.begin("simhash_bytes")
+        for b in batches:
+            value, hit = store.longs(_key(np.asarray(b.column(1))))
+            found = pc.if_else(pa.array(hit), pa.array(value), b.column(0))
+            yield pa.record_batch([*b.columns, found], names=["doc_id", "fp", "component_id"])
+
+    return own.mapInArrow(run, "doc_id long, fp long, component_id long")
+
+
+worker.keeps("simhash_bytes", lambda: None)
+
+
+def _key(fp: np.ndarray) -> np.ndarray:
+    return mix64(fp.view(np.uint64) + MIX)
+
+
+def _keyed(batches):
+    for b in batches:
+        yield pa.record_batch([pa.array(_key(np.asarray(b.column(0))).view(np.int64)), b.column(1)], names=["hash", "value"])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -27,8 +27,8 @@ _OPEN: OrderedDict[str, tuple[np.ndarray, ...]] = OrderedDict()
 worker.keeps("sorted_store", _OPEN.clear)
 
 
-def _arrays(uri: str, n: int) -> tuple[np.ndarray, ...]:
-    """(hashes, first values, second values) of a file."""
+def _arrays(uri: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bytes of their values) of a file."""
     if uri in _OPEN:
         _OPEN.move_to_end(uri)
         return _OPEN[uri]
@@ -41,7 +41,7 @@ def _arrays(uri: str, n: int) -> tuple[np.ndarray, ...]:
             raw = np.frombuffer(f.read(), np.uint8)
     while len(_OPEN) >= (OPEN_MAPPED if mounted else OPEN_READ):
         _OPEN.popitem(last=False)
-    _OPEN[uri] = raw[: 8 * n].view("<u8"), raw[8 * n : 12 * n].view("<f4"), raw[12 * n : 16 * n].view("<f4")
+    _OPEN[uri] = raw[: 8 * n].view("<u8"), raw[8 * n : 16 * n]
     return _OPEN[uri]
 
 
@@ -54,22 +54,37 @@ class Store:
     def __len__(self) -> int:
         return sum(n for _, n in self.files.values())
 
-    def values(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Both values of each hash (unsigned), 0 where it is absent."""
+    def _found(self, wanted: np.ndarray, kinds: tuple[str, ...]) -> list[np.ndarray]:
+        """Of each wanted hash (unsigned): the values of the given kinds, zeros where it is absent, and whether it is there."""
         place, one = pd.factorize(wanted)
         order = np.argsort(one)
         one = one[order]
-        out = np.zeros((2, len(one)))
+        out = [np.zeros(len(one), k) for k in (*kinds, "?")]
         of, starts = np.unique(one >> np.uint64(64 - self.bits), return_index=True)
         for s, i, j in zip(of.tolist(), starts, [*starts[1:], len(one)]):
             if s in self.files:
-                h, a, b = _arrays(*self.files[s])
+                h, raw = _arrays(*self.files[s])
                 at = np.minimum(np.searchsorted(h, one[i:j]), len(h) - 1)
                 hit = h[at] == one[i:j]
-                out[0, i:j], out[1, i:j] = np.where(hit, a[at], 0), np.where(hit, b[at], 0)
-        back = np.empty((2, len(one)))
-        back[:, order] = out
-        return back[0][place], back[1][place]
+                begin = 0
+                for k, values in zip(kinds, out):
+                    size = len(h) * np.dtype(k).itemsize
+                    values[i:j] = np.where(hit, raw[begin : begin + size].view(k)[at], 0)
+                    begin += size
+                out[-1][i:j] = hit
+        back = np.empty(len(one), np.int64)
+        back[order] = np.arange(len(one))
+        return [x[back][place] for x in out]
+
+    def values(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both numbers of each hash, 0 where it is absent."""
+        a, b, _ = self._found(wanted, ("<f4", "<f4"))
+        return a.astype(np.float64), b.astype(np.float64)
+
+    def longs(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the long of each hash, whether it is there)."""
+        value, hit = self._found(wanted, ("<i8",))
+        return value, hit
 
 
 def _writer(folder: str):
@@ -83,7 +98,8 @@ def _writer(folder: str):
             h = x["hash"].to_numpy().view(np.uint64)
             at = np.argsort(h)
             uri = f"{folder}/{uuid.uuid4().hex}"
-            write_file(uri, [h[at].astype("<u8").tobytes(), *(x[c].to_numpy()[at].astype("<f4").tobytes() for c in ("a", "b"))])
+            kinds = {"a": "<f4", "b": "<f4", "value": "<i8"}
+            write_file(uri, [h[at].astype("<u8").tobytes(), *(x[c].to_numpy()[at].astype(kinds[c]).tobytes() for c in x.column_names[2:])])
             held.clear()
             return pa.record_batch([pa.array([now], pa.int64()), pa.array([uri]), pa.array([len(h)], pa.int64())], names=["segment", "uri", "n"])
 
@@ -104,12 +120,13 @@ def _writer(folder: str):
 
 
 def write(rows: DataFrame, name: str) -> Store:
-    """A store of the rows (hash long, a double, b double); no hash may stand twice."""
+    """A store of the rows (hash long, a double, b double) or (hash long, value long); no hash may stand twice."""
     spark = rows.sparkSession
-    rows = stored(rows.select("hash", "a", "b"), name)
+    columns = ["value"] if "value" in rows.columns else ["a", "b"]
+    rows = stored(rows.select("hash", *columns), name)
     bits = max(1, (rows.count() // SEGMENT).bit_length())
     folder = new_path(spark, f"{name}_store")
-    x = rows.select(F.expr(f"shiftrightunsigned(hash, {64 - bits})").alias("segment"), "hash", "a", "b")
+    x = rows.select(F.expr(f"shiftrightunsigned(hash, {64 - bits})").alias("segment"), "hash", *columns)
     x = x.repartition("segment").sortWithinPartitions("segment")
     files = x.mapInArrow(_writer(folder), "segment long, uri string, n long").collect()
     drop_stored(rows)
