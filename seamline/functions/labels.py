@@ -14,9 +14,13 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: the characters of white space
+SPACES = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(c) -> Column:
     """Without white space at either end (``trim`` takes spaces only)."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def nullable_label(c) -> Column:
@@ -40,7 +44,7 @@ def as_label(flag) -> Column:
 
 
 def collapse_space(c, lower: bool = False) -> Column:
-    x = strip(F.regexp_replace(col(c), r"(?U)\s+", " "))
+    x = F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))
     return F.lower(x) if lower else x
 
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .responses import _PHRASES
 
@@ -109,6 +113,16 @@ def sentence_word(text: str | None) -> str | None:
 JSON_FAMILIES = frozenset("BCDEFGJKLMNOPQ")
 
 
+@lru_cache(maxsize=8)
+def _payload(text: str | None) -> tuple[object, str | None]:
+    """(what the JSON candidate of a text holds, that as text); the text is None without JSON. Families ask in turn."""
+    try:
+        payload = json.loads(json_candidate(text) or "")
+    except ValueError:
+        return None, None
+    return payload, json.dumps(payload, ensure_ascii=False)
+
+
 def family_output(family: str, text: str | None) -> tuple[str | None, bool, str, str | None]:
     """(label, is_valid, error, payload as text) by the family's contract."""
     family = family.upper()
@@ -121,14 +135,9 @@ def family_output(family: str, text: str | None) -> tuple[str | None, bool, str,
         return label, True, "", text
     if family not in JSON_FAMILIES and family not in "AI":
         return None, False, f"unsupported_family:{family}", None
-    try:
-        candidate = json_candidate(text)
-        if candidate is None:
-            raise ValueError("no_json_found")
-        payload = json.loads(candidate)
-    except ValueError:
+    payload, shown = _payload(text)
+    if shown is None:
         return (None, False, "invalid_label", text) if family == "A" else (None, False, "json_parse_error", None)
-    shown = json.dumps(payload, ensure_ascii=False)
     if family == "I":
         return (None, True, "", shown) if isinstance(payload, list) else (None, False, "json_not_array", shown)
     label = label_of(payload.get("label")) if isinstance(payload, dict) else None
@@ -176,14 +185,21 @@ def label_confidence_col(c) -> Column:
     return _udf(label_confidence, "label string, confidence double")(c)
 
 
-def families_col(c, families: str) -> Column:
-    """An array of what each of several families (letters) makes of a text, in one pass."""
-    names = ("family", "label", "is_valid", "error", "payload")
+def by_family(df: DataFrame, column: str, families: str) -> DataFrame:
+    """The other columns of ``df`` and (family, label, is_valid, error, payload): what each of several families (letters)
+    makes of a text, in one pass."""
+    keep = [c for c in df.columns if c != column]
+    kinds = {"family": pa.string(), "label": pa.string(), "is_valid": pa.bool_(), "error": pa.string(), "payload": pa.string()}
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(names, (f, *family_output(f, t if isinstance(t, str) else None)))) for f in families])
+    def run(batches):
+        for b in batches:
+            rows = [(f, *family_output(f, t)) for t in b.column(len(keep)).to_pylist() for f in families]
+            at = pa.array(np.repeat(np.arange(b.num_rows), len(families)))
+            found = zip(*rows) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(len(keep))), *(pa.array(c, k) for c, k in zip(found, kinds.values()))], names=[*keep, *kinds])
 
-    return F.pandas_udf(run, "array<struct<family: string, label: string, is_valid: boolean, error: string, payload: string>>")(c)
+    schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(n, T.BooleanType() if n == "is_valid" else T.StringType()) for n in kinds)])
+    return df.select(*keep, column).mapInArrow(run, schema)
 
 
 def family_col(c, family: str) -> Column:

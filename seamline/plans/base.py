@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.labels import SPACES
 from ..sources.readers import split_sentences
 
 
@@ -24,19 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, idx, event_id, event_type, value, k, gold, pred, conf)"""
-    e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    # named before it is numbered, so that windows by document find the rows where they are
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), "ts", "event_id", "event_type", "value", k.alias("k"))
+    w = Window.partitionBy("doc").orderBy("ts", "event_id")
     return e.select(
-        F.col("user_id").alias("doc"),
+        "doc",
         (F.row_number().over(w) - 1).alias("idx"),
         "event_id",
         "event_type",
         "value",
-        k.alias("k"),
+        "k",
         (F.col("event_type") == "error").alias("gold"),
         (F.col("value") > 60).alias("pred"),
-        F.when(k % 7 != 0, k / 100.0).alias("conf"),
+        F.when(F.col("k") % 7 != 0, F.col("k") / 100.0).alias("conf"),
     )
 
 
@@ -62,8 +64,6 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(d, "text", ["doc_id", "lang"])
 
 
-#: the characters of white space, and a pattern of them
-SPACES = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, '{SPACES}')), lambda x: x <> '')"
 _PARTS = rf"list_filter(string_split(regexp_replace(trim(regexp_replace(text, '[{SPACES}]+', ' ', 'g')), '([.!?]) +', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
 SENT = f"""sent AS (

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions.labels import SPACES
 from ..functions import parsers
 from ..functions import responses as R
 from ..operators import ranges
 from ..operators import windows as W
 from ..sources import readers, sinks, workbooks
-from .base import PRED, RESP, SENT, SEQ, SPACES, predictions, responses, sentences, sequence, table, workspace
+from .base import PRED, RESP, SENT, SEQ, predictions, responses, sentences, sequence, table, workspace
 from .registry import query
 
 # labels in many spellings
@@ -295,7 +296,7 @@ UNION ALL SELECT event_id, 'I', NULL, coalesce(kind = 'ARRAY', FALSE), CASE WHEN
 UNION ALL SELECT event_id, 'Z', NULL, FALSE, 'unsupported_family:Z', NULL FROM lab""")
 def r4_family_output(spark, d):
     x = responses(spark, d).select("event_id", F.expr(_RAW4).alias("raw"))
-    return x.select("event_id", F.inline(parsers.families_col("raw", "ALHIZ")))
+    return parsers.by_family(x, "raw", "ALHIZ")
 
 
 @query(f"WITH {RESP} SELECT event_id, {_TOKEN} AS label FROM resp")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.labels import strip
+from ..functions.labels import collapse_space, strip
 
 SENTENCE = "sentence_index int, sentence_text_full string, source_file string"
 GOLD = "sentence_index int, sentence_text_full string, ground_truth_label string, source_file string, scene_id_raw string"
@@ -97,7 +97,7 @@ def explode_results(df: DataFrame) -> DataFrame:
 def split_sentences(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """(keys, idx, text): a line each if there are several that aren't blank, else split after ``.!?``."""
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
-    flat = strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    flat = collapse_space(text)
     parts = F.filter(F.split(flat, r"(?<=[.!?]) +"), lambda x: x != "")
     return df.select(*keys, F.posexplode(F.when(F.size(lines) > 1, lines).otherwise(parts)).alias("idx", "text"))
 
