@@ -30,7 +30,7 @@ SYMBOLS = "#*$%&|<>"
 #: base rules
 LEAST_WORDS, REPEATED_PERCENT = 50, 50
 #: the band: so many spreads (from the median to the outer percentile) below and above the median, in logarithms
-LOW_SPREADS, HIGH_SPREADS, LOW_CUT, HIGH_CUT = 10.0, 8.0, 0.25, 0.75
+LOW_SPREADS, HIGH_SPREADS, LOW_CUT, HIGH_CUT = 12.0, 12.0, 0.25, 0.75
 #: a class of length with fewer texts has the band of its whole language; a language with fewer has spreads shrunk
 #: towards those of all languages together, and these, in so small a table, towards PRIOR
 LEAST_TEXTS, PRIOR = 100, 0.05
