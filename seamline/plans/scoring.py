@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import alerts
 from ..operators import align, metrics, planning, ranges, sampling
-from ..operators import windows as W
-from ..operators.metrics import ratio
 from .base import PRED, SAMPLE, SENT, SEQ, predictions, sample, sentences, sequence, table
 from .ordered import tolerant_sql
 from .registry import query
