@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import worker
-from .scratch import drop_stored, local_path, new_path, open_fs, remove, stored, write_file
+from .scratch import drop_stored, local_path, new_path, open_fs, stored, write_file
 
 #: hashes in a file, about; more hashes make more files
 SEGMENT = 1 << 18
@@ -131,7 +131,3 @@ def write(rows: DataFrame, name: str) -> Store:
     files = x.mapInArrow(_writer(folder), "segment long, uri string, n long").collect()
     drop_stored(rows)
     return Store(folder, bits, {r["segment"]: (r["uri"], r["n"]) for r in files})
-
-
-def drop(spark, store: Store) -> None:
-    remove(spark, store.folder)

@@ -44,19 +44,6 @@ def text_slices(texts: list) -> list[slice]:
     return [slice(k, k + step) for k in range(0, len(texts), step)]
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+``: ``bytes.split`` ends words at exactly these six bytes."""
-    return text.split() if text else []
-
-
-class Numbering(dict):
-    """Gives each new key the next number."""
-
-    def __missing__(self, key):
-        n = self[key] = len(self)
-        return n
-
-
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 
