@@ -25,7 +25,7 @@ from .wordbytes import MIX, SPACES, gathered, mix64, parts, text_slices, texts_o
 ORDER = 5
 START, END = "\x02" * (ORDER - 1), "\x03"
 #: characters that are looked at together, and different grams that a task holds before it hands its counts on
-PIECE, HELD = 1 << 20, 1_000_000
+PIECE, HELD = 1 << 18, 1_000_000
 SYMBOLS = "#*$%&|<>"
 #: base rules
 LEAST_WORDS, REPEATED_PERCENT = 50, 50
