@@ -211,7 +211,7 @@ _AREA = "CASE WHEN p_size % 3 = 0 THEN 'reproduction' ELSE 'prompting' END"
 _COMMAND = """'run ''--brand=' || p_brand || ''' ''' || p_type || ' x'' ''it''"''"''s'''"""
 
 
-@query(f"SELECT p_partkey, replace(p_brand, '/', '_') || '__' || p_type || '__x' AS key, {_COMMAND} AS command, '/r/outputs/' || (CASE WHEN p_size % 3 = 0 THEN '' ELSE 'runs/' END) || {_AREA} || '/2026-05-14/' || CAST(p_partkey AS VARCHAR) AS folder FROM part")
+@query(f"SELECT p_partkey, replace(p_brand, '/', '_') || '__' || p_type || '__x' AS key, {_COMMAND} AS command, '/r/outputs/' || (CASE WHEN p_size % 3 = 0 THEN '' ELSE 'runs/' END) || {_AREA} || '/2024-01-31/' || CAST(p_partkey AS VARCHAR) AS folder FROM part")
 def f27_output_key(spark, d):
     key = sinks.output_key("{0}", "{1}", "x")
     words = F.array(F.lit("run"), F.concat(F.lit("--brand="), "p_brand"), F.concat("p_type", F.lit(" x")), F.lit("it's"))
@@ -219,7 +219,7 @@ def f27_output_key(spark, d):
         "p_partkey",
         F.replace(F.replace(F.lit(key), F.lit("{0}"), F.col("p_brand")), F.lit("{1}"), F.col("p_type")).alias("key"),
         L.command_line(words).alias("command"),
-        L.run_folder(F.lit("/r"), "area", F.lit("2026-05-14"), F.col("p_partkey").cast("string")).alias("folder"),
+        L.run_folder(F.lit("/r"), "area", F.lit("2024-01-31"), F.col("p_partkey").cast("string")).alias("folder"),
     )
 
 
